@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media
+from . import bpe, chat, licenses, media
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and all signature rules over each text."""
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda p: p["first"])
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda p: p["label"])))
+    every = F.array_sort(F.array_distinct(F.concat(base, F.transform("detections", lambda p: p["label"]))))
+    covered = F.aggregate("detections", F.lit(0), lambda n, p: n + p["last"] - p["first"] + 1)
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        F.when(F.col("n_words") > 0, covered / F.col("n_words")).otherwise(F.lit(0.0)).cast("double").alias("score"),
+        F.size("detections").cast("long").alias("n_detections"),
+    )
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a PNG, checked and read back; digests of payload and stored form, cosine hash."""
     made = media.to_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +101,7 @@ FROM sized GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
     "op7_bpe_codec": op7_bpe_codec,
     "op10_chat_format": op10_chat_format,
