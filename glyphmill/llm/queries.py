@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media
+from . import bpe, chat, langid, licenses, media
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text, learned from the labelled rows outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and all signature rules over each text."""
     found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -101,6 +109,7 @@ FROM sized GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
     "op7_bpe_codec": op7_bpe_codec,
