@@ -36,8 +36,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate(([1], np.full(max(n - 1, 0), _ODD, dtype=U64))).astype(U64))
+    steps = np.full(n, _ODD, dtype=U64)
+    steps[:1] = 1
+    return np.cumprod(steps)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

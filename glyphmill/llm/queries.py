@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, media
+from . import bpe, chat, langid, licenses, lm, media
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and PPM log-probabilities of each text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, ~lm.held_out(F.col("doc_id")))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Each text encoded by the streaming transducer and decoded again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
+    "op6_lm_score": op6_lm_score,
     "op7_bpe_codec": op7_bpe_codec,
     "op10_chat_format": op10_chat_format,
 }
