@@ -115,33 +115,37 @@ def runs(key: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of sorted rows, cut anew so that rows with equal keys come together.
+def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, fp, place): those whose h has more than one fp; equal rows come once.
 
-    Holds one batch and the last group only, so a group must fit in memory.
+    Keeps the rows of one h only as long as they have a single fp, then one row.
     """
-    kept: list[pa.RecordBatch] = []
+    kept: pa.RecordBatch | None = None
+    done = False  # kept is one row of a run that is known to be shared, and has been given
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for k in keys:
-            v = batch.column(k).to_numpy(zero_copy_only=False)
-            new[1:] |= v[1:] != v[:-1]
-            new[0] |= not kept or kept[-1].column(k)[-1].as_py() != v[0]
-        cuts = np.flatnonzero(new)
-        if not len(cuts):
-            kept.append(batch)
-            continue
-        if kept or cuts[0] > 0:
-            if cuts[0] > 0:
-                kept.append(batch.slice(0, int(cuts[0])))
-            if len(cuts) > 1:
-                kept.append(batch.slice(int(cuts[0]), int(cuts[-1] - cuts[0])))
-        elif len(cuts) > 1:
-            kept.append(batch.slice(0, int(cuts[-1])))
-        if kept:
-            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-        kept = [batch.slice(int(cuts[-1]))]
-    if kept:
-        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        batch = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        h, fp, place = (batch.column(c).to_numpy() for c in ("h", "fp", "place"))
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1]) | (place[1:] != place[:-1])])
+        h, fp = h[new], fp[new]
+        cut = runs(h)
+        shared = fp[cut[:-1]] != fp[cut[1:] - 1]
+        shared[0] |= done
+        out = np.repeat(shared, np.diff(cut))
+        out[0] &= not done
+        done = bool(shared[-1])
+        kept = batch.take(pa.array(new[-1:] if done else new[cut[-2] :]))
+        if out.any():
+            yield batch.take(pa.array(new[out]))
+
+
+def lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts end to end: m + 1 offsets of their lines, the text and the number of each line."""
+    feed = np.flatnonzero(raw == 10)
+    start = np.concatenate((at[:-1], feed + 1))
+    text = np.concatenate((np.arange(len(at) - 1), np.searchsorted(at, feed, "right") - 1))
+    order = np.lexsort((start, text))
+    text = text[order]
+    first = np.searchsorted(text, np.arange(len(at) - 1))
+    return np.append(start[order], len(raw)), text, np.arange(len(text)) - first[text]

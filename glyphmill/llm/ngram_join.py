@@ -31,20 +31,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._kernel import LOWER, U64, flat, fold, shingles, slices, word_hashes, words
-from ._store import materialize
+from ._kernel import LOWER, U64, flat, fold, shared_runs, shingles, slices, word_hashes, words
+from ._store import likely, materialize, once_each
 
 WIDTH, PERCENT = 5, 75
 #: Counters of the sketch, and how many a row of partial counts holds.
 COUNTERS, CHUNK = 1 << 22, 1 << 18
-#: Bits of the table that tells which sets may be candidates.
-BITS = 1 << 23
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -121,30 +118,6 @@ def _postings(shared, width: int, percent: int):
     return work
 
 
-def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, fp): those whose h has more than one fp, each fp once. Keeps one row."""
-    last: pa.RecordBatch | None = None
-    last_out = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        batch = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        h, fp = batch.column("h").to_numpy(), batch.column("fp").to_numpy()
-        same = h[1:] == h[:-1]
-        keep = np.r_[True, ~same | (fp[1:] != fp[:-1])]
-        h, at = h[keep], np.flatnonzero(keep)
-        again = h[1:] == h[:-1]
-        out = np.r_[False, again] | np.r_[again, False]
-        first_done = last is not None and last_out
-        last_out = bool(out[-1]) or (len(h) == 1 and first_done)
-        if first_done:
-            out[0] = False
-        last = batch.slice(int(at[-1]), 1)
-        # the last row is given when what follows is known, unless its run is known to be shared
-        if out.any():
-            yield batch.take(pa.array(at[out]))
-
-
 def _candidates(both: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs from rows with (fp, place) of two sets under one shingle, by length and position."""
     n = lambda s: F.shiftright(f"place{s}", 32)
@@ -182,13 +155,7 @@ def _verify(percent: int):
 
 
 def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """fp, set for each fp of wanted: a written table, each fp once.
-
-    A bit table of fixed size (at most BITS / 64 rows, hence broadcast) keeps
-    most other sets from the shuffle; a task passes each fp on once.
-    """
-    bit = lambda c: F.pmod(F.col(c), F.lit(BITS))
-    table = wanted.groupBy(F.shiftright(bit("fp"), 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(fp, {BITS}) & 63 as int)))").alias("bits"))
+    """fp, set for each fp of wanted: a written table, each fp once. A task passes each fp on once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -201,25 +168,14 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     own.append(s.view(np.int64))
                     size.append(size[-1] + len(s))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))], names=["fp", "set"])
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            fp = batch.column("fp").to_numpy()
-            if len(fp):
-                new = np.r_[last is None or fp[0] != last, fp[1:] != fp[:-1]]
-                last = fp[-1]
-                yield batch.filter(pa.array(new))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))], names=["fp", "values"])
 
-    sets = texts.select("text").mapInArrow(emit, "fp long, set array<long>").withColumn("word", F.shiftright(bit("fp"), 6))
-    some = sets.join(F.broadcast(table), "word").filter(F.expr(f"shiftright(bits, cast(pmod(fp, {BITS}) & 63 as int)) & 1 = 1")).select("fp", "set")
-    return materialize(some.repartition("fp").sortWithinPartitions("fp").mapInArrow(once, "fp long, set array<long>"))
+    return once_each(likely(texts.select("text").mapInArrow(emit, "fp long, values array<long>"), wanted))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -228,7 +184,7 @@ def link_components(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT
     spark = texts.sparkSession
     ranks = spark.sparkContext.broadcast(sketch(texts, width))
     postings = texts.select("text").mapInArrow(_postings(ranks, width, percent), "h long, fp long, place long")
-    runs = materialize(postings.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(_shared_runs, "h long, fp long, place long"))
+    runs = materialize(postings.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, "h long, fp long, place long"))
     weight = runs.groupBy("fp").agg(F.count("*").alias("n"))
     weighed = materialize(runs.join(weight, "fp").select("h", "fp", "place", "n"))
     hubs = weighed.groupBy("h").agg(F.max(F.struct("n", "fp", "place")).alias("hub")).select("h", F.col("hub.fp").alias("fp1"), F.col("hub.place").alias("place1"))

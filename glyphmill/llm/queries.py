@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licenses, lm, media
+from ..cluster import ship
+from . import bpe, chat, langid, licenses, line_dedup, lm, media, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary_path() -> str:
@@ -64,6 +65,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text without the lines that have an earlier copy or near copy."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and PPM log-probabilities of each text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,6 +86,11 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under similar sets of five-word shingles."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one of control strings only, formatted, then read back from the result."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -118,8 +130,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
+    "op5_line_dedup": op5_line_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_bpe_codec": op7_bpe_codec,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {"op10_chat_format": _OP10_SQL}
