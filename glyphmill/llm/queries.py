@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import bpe, chat, langid, licenses, line_dedup, lm, media, ngram_join
+from . import bpe, chat, decontaminate, langid, licenses, line_dedup, lm, media, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where items of benchmark occur in documents."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and all signature rules over each text."""
     found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -128,6 +133,7 @@ FROM sized GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_decontaminate": op2_decontaminate,
     "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
     "op5_line_dedup": op5_line_dedup,
