@@ -5,8 +5,9 @@ run of letters with a start and an end mark; contexts stay inside a word).
 Counts of the highest order are raw, those of lower orders count the different
 letters before (raw at a word's start), each order has one absolute discount
 from its counts of counts. A model is, for each order, a sorted array of 64-bit
-n-gram hashes with two columns: the interpolated log-probability and the
-back-off weight of the n-gram as a context. A text's score in a language is its
+n-gram hashes with two columns a language: the interpolated log-probability and
+the back-off weight of the n-gram as a context; the languages share the hashes,
+and an n-gram that one of them lacks holds what its back-off gives. A text's score in a language is its
 cross-entropy in bits a symbol; the lowest wins, ties by name.
 
 Calibration uses a fifth of the sample that no model has seen: the mean and the
@@ -42,7 +43,7 @@ UNKNOWN = "und"
 SAMPLE = 1500
 ORDER = 5
 #: Words whose scores a worker keeps.
-CACHE = 1 << 17
+CACHE = 1 << 19
 #: Spreads above the mean cross-entropy at which a text is rejected.
 SLACK = 8.0
 _START, _END = 2, 3
@@ -70,8 +71,11 @@ def _grams(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray,
     return made, place, word
 
 
-def fit(counts: Counter, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: sorted hashes, log2-probabilities, log2 back-off weights."""
+Fitted = list[dict[str, np.ndarray]]
+
+
+def fit(counts: Counter, order: int = ORDER) -> Fitted:
+    """For each order: sorted hashes, log2-probabilities, log2 back-off weights, and the hashes of context and suffix."""
     words = sorted(counts)
     grams, place, word = _grams(words, order)
     weight = np.array([counts[w] for w in words], dtype=np.float64)[word]
@@ -80,75 +84,102 @@ def fit(counts: Counter, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarra
         real = np.flatnonzero(place >= k)
         keys, at, back = np.unique(g[real], return_index=True, return_inverse=True)
         types.append((keys, real[at], np.bincount(back, weights=weight[real])))
-    tables, lower = [], None
+    made: Fitted = []
     for k, (keys, at, raw) in enumerate(types):
-        n = raw.copy()
+        n = raw
         if k + 1 < order:  # different letters before; at a word's start nothing stands before
-            longer = types[k + 1][1]
-            left = np.searchsorted(keys, grams[k][longer])
-            cont = np.bincount(left, minlength=len(keys)).astype(np.float64)
-            n = np.where(place[at] == k, raw, cont)
+            left = np.searchsorted(keys, grams[k][types[k + 1][1]])
+            n = np.where(place[at] == k, raw, np.bincount(left, minlength=len(keys)))
         predicted = place[at] > 0  # the start mark itself is given
         once, twice = (n[predicted] == 1).sum(), (n[predicted] == 2).sum()
         cut = once / (once + 2 * twice) if once and twice else 0.5
+        own = {"keys": keys, "weight": np.zeros(len(keys))}
         if k == 0:
             total, kinds = n[predicted].sum(), predicted.sum()
-            p = np.where(predicted, (np.maximum(n - cut, 0) + cut * kinds / (kinds + 1)) / total, 0)
-            floor = cut * kinds / (kinds + 1) / total
-            tables.append([keys, p, np.ones(len(keys)), floor])
+            own["floor"] = np.array([np.log2(cut * kinds / (kinds + 1) / total)])
+            p = np.where(predicted, (np.maximum(n - cut, 0) + cut * kinds / (kinds + 1)) / total, 1.0)
         else:
-            context = grams[k - 1][at - 1]
-            ctx, inv = np.unique(context, return_inverse=True)
+            before, lower = grams[k - 1], made[-1]
+            own["context"], own["suffix"] = before[at - 1], before[at]
+            ctx, inv = np.unique(own["context"], return_inverse=True)
             mass, kinds = np.bincount(inv, weights=n), np.bincount(inv)
-            weight_of = cut * kinds / mass
-            where = np.searchsorted(lower[0], grams[k - 1][at])
-            p = np.maximum(n - cut, 0) / mass[inv] + weight_of[inv] * lower[1][where]
-            lower[2][np.searchsorted(lower[0], ctx)] = weight_of
-            tables.append([keys, p, np.ones(len(keys)), 0.0])
-        lower = tables[-1]
-    floor = tables[0][3]
-    with np.errstate(divide="ignore"):
-        made = [(t[0], np.log2(np.maximum(t[1], floor)), np.log2(np.maximum(t[2], 1e-12))) for t in tables]
-    return [(np.append(made[0][0], U64(2**64 - 1)), np.append(made[0][1], np.log2(floor)), np.append(made[0][2], 0.0)), *made[1:]]
-
-
-def bits(words: list[str], model: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The code length of each word in bits; its end mark counts."""
-    grams, place, word = _grams(words, len(model))
-    score, before = None, None
-    for k, (keys, logp, weight) in enumerate(model):
-        at = np.minimum(np.searchsorted(keys, grams[k]), len(keys) - 1)
-        seen = (keys[at] == grams[k]) & (place >= k)
-        if k == 0:
-            score = np.where(seen, logp[at], logp[-1])
-        else:
-            score = np.where(seen, logp[at], score + np.where(place >= k, before, 0.0))
-        own = np.where(seen, weight[at], 0.0)
-        before = np.r_[0.0, own[:-1]]  # of the n-gram that ends one symbol before: the next order's context
-    score[place == 0] = 0.0
-    return -np.bincount(word, weights=score, minlength=len(words))
+            share = cut * kinds / mass
+            p = np.maximum(n - cut, 0) / mass[inv] + share[inv] * np.exp2(lower["logp"][np.searchsorted(lower["keys"], own["suffix"])])
+            lower["weight"][np.searchsorted(lower["keys"], ctx)] = np.log2(share)
+        own["logp"] = np.log2(p)
+        made.append(own)
+    return made
 
 
-def _pack(arrays: list[tuple[np.ndarray, ...]]) -> bytes:
+def union(models: list[Fitted]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the sorted hashes of all models, and a column a model of probabilities and back-off weights."""
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(len(models[0])):
+        keys, at = np.unique(np.concatenate([m[k]["keys"] for m in models]), return_index=True)
+        logp, weight = np.empty((len(keys), len(models)), np.float32), np.zeros((len(keys), len(models)), np.float32)
+        if k:
+            low, low_p, low_w = tables[-1]
+            context, suffix = (np.searchsorted(low, np.concatenate([m[k][c] for m in models])[at]) for c in ("context", "suffix"))
+        for j, m in enumerate(models):
+            own = m[k]
+            i = np.minimum(np.searchsorted(own["keys"], keys), len(own["keys"]) - 1)
+            seen = own["keys"][i] == keys
+            other = low_w[context, j] + low_p[suffix, j] if k else own["floor"][0]
+            logp[:, j] = np.where(seen, own["logp"][i], other)
+            weight[seen, j] = own["weight"][i[seen]]
+        tables.append((keys, logp, weight))
+    return tables
+
+
+def bits(words: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: np.ndarray) -> np.ndarray:
+    """The code length of each word in bits, a column a model; its end mark counts."""
+    grams, place, word = _grams(words, len(tables))
+    score, before = np.broadcast_to(floor, (len(place), len(floor))).astype(np.float32), None
+    for k, (keys, logp, weight) in enumerate(tables):
+        at = np.minimum(np.searchsorted(keys, grams[k]), len(keys) - 1)
+        seen = (keys[at] == grams[k]) & (place >= k)
+        if k:  # the context is the n-gram of the order below that ends one symbol before
+            some = np.flatnonzero((place >= k) & ~seen)
+            score[some] += before[some - 1]
+        score[seen] = logp[at[seen]]
+        if k + 1 < len(tables):
+            before = np.where(seen[:, None], weight[at], np.float32(0))
+    score[place == 0] = 0
+    first = np.flatnonzero(place == 0)
+    return -np.add.reduceat(score, first, axis=0) if len(first) else np.zeros((0, len(floor)), np.float32)
+
+
+def _pack(fitted: Fitted) -> bytes:
     out = io.BytesIO()
-    np.savez(out, *[a for row in arrays for a in row])
+    np.savez(out, **{f"{k}_{name}": a for k, own in enumerate(fitted) for name, a in own.items()})
     return out.getvalue()
 
 
-def _unpack(blob: bytes) -> list[tuple[np.ndarray, ...]]:
+def _unpack(blob: bytes) -> Fitted:
+    made: Fitted = []
     with np.load(io.BytesIO(blob)) as f:
-        flat = [f[f"arr_{i}"] for i in range(len(f.files))]
-    return [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
+        for name in f.files:
+            k, _, own = name.partition("_")
+            while len(made) <= int(k):
+                made.append({})
+            made[int(k)][own] = f[name]
+    return made
 
 
 class Identifier:
     """Models by language, with what calibration has found."""
 
-    def __init__(self, models: dict[str, list], sharp: float = 16.0, limits: dict[str, tuple[float, float]] | None = None):
-        self.names, self.models, self.sharp = sorted(models), models, sharp
-        self.limits = limits or {}
+    def __init__(self, models: dict[str, Fitted]):
+        self.names = sorted(models)
+        self.tables = union([models[x] for x in self.names]) if models else []
+        self.floor = np.array([models[x][0]["floor"][0] for x in self.names], np.float32)
+        self.sharp, self.limits = 16.0, {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache of words."""
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.names)))
+        self.rows = [np.zeros((0, len(self.names)), np.float32)]
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits a symbol for each text and language; symbols of each text."""
@@ -157,17 +188,19 @@ class Identifier:
         coded = pa.array([w for x in listed for w in x], pa.string()).dictionary_encode()
         unique = coded.dictionary.to_pylist()
         if len(self.known) + len(unique) > CACHE:
-            self.known, self.rows = {}, self.rows[:0]
+            self.forget()
         new = [w for w in unique if w not in self.known]
         if new:
-            start = len(self.rows)
+            start = len(self.known)
             self.known.update(zip(new, range(start, start + len(new)), strict=True))
-            self.rows = np.vstack([self.rows, np.stack([bits(new, self.models[x]) for x in self.names], axis=1)])
-        row = np.array([self.known[w] for w in unique], dtype=np.int64)
+            self.rows.append(bits(new, self.tables, self.floor))
+            if len(self.rows) > 16:
+                self.rows = [np.concatenate(self.rows)]
+        of_unique = np.concatenate(self.rows)[np.array([self.known[w] for w in unique], dtype=np.int64)] if unique else self.rows[0][:0]
         index = coded.indices.to_numpy().astype(np.int64)
         text = np.repeat(np.arange(len(texts)), sizes)
         symbols = np.bincount(text, weights=np.array([len(w) + 1 for w in unique], dtype=np.float64)[index], minlength=len(texts)) if len(index) else np.zeros(len(texts))
-        cost = np.stack([np.bincount(text, weights=self.rows[row, j][index], minlength=len(texts)) if len(index) else np.zeros(len(texts)) for j in range(len(self.names))], axis=1)
+        cost = np.stack([np.bincount(text, weights=of_unique[index, j], minlength=len(texts)) if len(index) else np.zeros(len(texts)) for j in range(len(self.names))], axis=1)
         return cost / np.maximum(symbols, 1)[:, None], symbols
 
     def calibrate(self, texts: list[str], langs: list[str]) -> None:
@@ -240,9 +273,9 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Identifier:
     models = picked.groupBy("lang").applyInPandas(_train, "lang string, model binary").filter("model IS NOT NULL").collect()
     made = Identifier({r["lang"]: _unpack(bytes(r["model"])) for r in models})
     held = picked.filter((F.col("fold") == 0) & F.col("text").isNotNull()).select("lang", "text").collect()
-    held = [r for r in held if r["lang"] in made.models]
+    held = [r for r in held if r["lang"] in made.names]
     made.calibrate([r["text"] for r in held], [r["lang"] for r in held])
-    made.known, made.rows = {}, made.rows[:0]
+    made.forget()
     return made
 
 
