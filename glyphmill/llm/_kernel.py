@@ -149,3 +149,29 @@ def lines(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     text = text[order]
     first = np.searchsorted(text, np.arange(len(at) - 1))
     return np.append(start[order], len(raw)), text, np.arange(len(text)) - first[text]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by keys (longs), cut anew so that rows with equal keys come together.
+
+    Holds a batch and the last group, so a group must fit in memory.
+    """
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(k).to_numpy() for k in keys]
+        differs = np.zeros(batch.num_rows, bool)
+        for v in own:
+            differs[1:] |= v[1:] != v[:-1]
+        differs[0] = not kept or any(kept[-1].column(k)[-1].as_py() != v[0] for k, v in zip(keys, own, strict=True))
+        cut = np.flatnonzero(differs)
+        if len(cut):
+            kept.append(batch.slice(0, int(cut[-1])))
+            if sum(b.num_rows for b in kept):
+                yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept = [batch.slice(int(cut[-1]))]
+        else:
+            kept.append(batch)
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from . import bpe, chat, decontaminate, langid, licenses, line_dedup, lm, media, ngram_join
+from . import bpe, chat, decontaminate, langid, licenses, line_dedup, lm, media, ngram_join, passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,11 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
+def op8_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that repeat across documents."""
+    return passages.find_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document under similar sets of five-word shingles."""
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_fuzzy_passages": op8_fuzzy_passages,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_format": op10_chat_format,
 }
