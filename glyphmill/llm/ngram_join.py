@@ -7,12 +7,12 @@
    that are similar share a shingle of their prefixes. Prefixes are shuffled by
    shingle and sorted there; runs of one shingle are streamed, never held, and
    those with one set only are dropped.
-3. Candidates pass the length filter and the positional filter (the sets cannot
-   reach the overlap with what follows the common shingle), are made distinct,
-   meet their sets, pass the suffix filter (counts between quartiles bound the
+3. Candidates pass the length filter and the positional filter (enough must
+   follow the first common shingle, in both sets), are made distinct, meet their
+   sets, pass the suffix filter (counts between quartiles bound the
    overlap) and are verified by intersection, each pair once.
 4. For components not every pair is needed: in each run, all sets are first
-   paired with one hub, the set with most shingles in shared runs. Only where a
+   paired with one hub, the set with the fewest rarer shingles. Only where a
    run still holds sets of different components, the pairs across components
    follow, all of them. No link between different texts is lost; pairs within a
    component are never listed.
@@ -119,13 +119,16 @@ def _postings(shared, width: int, percent: int):
 
 
 def _candidates(both: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs from rows with (fp, place) of two sets under one shingle, by length and position."""
+    """Distinct pairs from rows with (fp, place) of two sets under one shingle, by length and position.
+
+    The first shingle that two similar sets have in common leaves enough behind
+    it in both; what does so under no common shingle is not similar.
+    """
     n = lambda s: F.shiftright(f"place{s}", 32)
     p = lambda s: F.col(f"place{s}").bitwiseAND(F.lit((1 << 32) - 1))
     least, most = F.least(n(1), n(2)), F.greatest(n(1), n(2))
     overlap = F.floor((percent * (n(1) + n(2)) + (100 + percent - 1)) / (100 + percent))
-    reach = F.least(p(1), p(2)) + 1 + F.least(n(1) - p(1), n(2) - p(2)) - 1
-    ok = (F.col("fp1") != F.col("fp2")) & (100 * least >= percent * most) & (reach >= overlap)
+    ok = (F.col("fp1") != F.col("fp2")) & (100 * least >= percent * most) & (n(1) - p(1) >= overlap) & (n(2) - p(2) >= overlap)
     return both.filter(ok).select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).distinct()
 
 
@@ -173,8 +176,9 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return once_each(likely(texts.select("text").mapInArrow(emit, "fp long, values array<long>"), wanted))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
+    sets = _sets_of(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")), texts, width)
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
@@ -185,23 +189,23 @@ def link_components(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT
     ranks = spark.sparkContext.broadcast(sketch(texts, width))
     postings = texts.select("text").mapInArrow(_postings(ranks, width, percent), "h long, fp long, place long")
     runs = materialize(postings.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, "h long, fp long, place long"))
-    weight = runs.groupBy("fp").agg(F.count("*").alias("n"))
-    weighed = materialize(runs.join(weight, "fp").select("h", "fp", "place", "n"))
-    hubs = weighed.groupBy("h").agg(F.max(F.struct("n", "fp", "place")).alias("hub")).select("h", F.col("hub.fp").alias("fp1"), F.col("hub.place").alias("place1"))
-    sets = _sets_of(weight, texts, width)
-    members = weighed.select("h", F.col("fp").alias("fp2"), F.col("place").alias("place2"))
+    # the hub has fewest rarer shingles before the common one
+    rank = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 32) + F.shiftrightunsigned("fp", 32)
+    hubs = runs.groupBy("h").agg(F.min_by("fp", rank).alias("fp1"), F.min_by("place", rank).alias("place1"))
+    members = runs.select("h", F.col("fp").alias("fp2"), F.col("place").alias("place2"))
     tried = materialize(_candidates(members.join(hubs, "h"), percent))
-    links = materialize(_linked(tried, sets, percent))
+    links = materialize(_linked(tried, texts, width, percent))
     # what a run still holds of different components
-    found = components(links)
-    named = weighed.select("h", "fp", "place").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialize(named)
+    found = materialize(components(links))
+    named = runs.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     mixed = named.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("h")
     left = named.join(mixed, "h", "left_semi")
     side = lambda s: left.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("fp", "place", "component")])
     across = side(1).join(side(2), "h").filter("component1 < component2")
-    more = _candidates(across, percent).join(tried, ["a", "b"], "left_anti")
-    return components(links.unionAll(_linked(materialize(more), sets, percent)))
+    more = materialize(_candidates(across, percent).join(tried, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return found
+    return components(links.unionAll(_linked(more, texts, width, percent)))
 
 
 def _fingerprints(width: int):
