@@ -1,15 +1,17 @@
-"""Sends this package to the executors' Python workers."""
+"""What a job needs from the cluster: the package's source on the workers, and tables that cut lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+_own: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,3 +27,39 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(name)
         _sent.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or of the context's checkpoints.
+
+    Only a local master, where driver and executors are one process, gets a
+    temporary folder when neither is set.
+    """
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="glyphmill-"))
+    return _own[0]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again.
+
+    A lost executor then costs a reread instead of the whole lineage, and an
+    iteration starts from a plan of one scan. The tables stay until release().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that this application has materialized."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,4 +1,267 @@
-"""Registered queries."""
+"""The registered queries of this package's operators, each over its whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..cluster import ship
+from ..functions import media, results, text, urls
+from ..functions.metrics import macro_metrics, score_rows
+from ..operators import chat, collate, crawl, evaluate, runs
+from ..sources import examples
+from ..sources.pages import PageStore
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+#: What a reader puts for a letter that it cannot make out; it occurs in no document.
+UNREAD = "\ue000"
+FOLDER = "/data/set"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over as many tasks as the session shuffles into: distances cost far more than the scan."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _readings(spark: SparkSession, sf_dir: str, lost: str) -> DataFrame:
+    """Documents as references, with a reading that loses the letter lost at the end of words."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _spread(docs.select("doc_id", F.col("text").alias("ref"), F.replace("text", F.lit(f"{lost} "), F.lit(f"{UNREAD} ")).alias("pred")))
+
+
+def ocr_cer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character edits and error rate of each document."""
+    rows = _readings(spark, sf_dir, "e")
+    edits = text.char_distance(F.col("pred"), F.col("ref"))
+    return rows.select("doc_id", edits.cast("long").alias("char_edits"), F.char_length("ref").cast("long").alias("n_chars")).withColumn("cer", F.round(F.when(F.col("n_chars") == 0, 0.0).otherwise(F.col("char_edits") / F.col("n_chars")), 6))
+
+
+def ocr_wer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word edits and error rate of each document."""
+    rows = _readings(spark, sf_dir, "e")
+    counted = rows.select("doc_id", text.word_distance("pred", "ref").alias("word_edits"), F.size(text.words(F.col("ref"))).cast("long").alias("n_words"))
+    return counted.withColumn("wer", F.round(F.when(F.col("n_words") == 0, 0.0).otherwise(F.col("word_edits") / F.col("n_words")), 6))
+
+
+def ocr_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates against empty and blank strings: each document's text against six fixed ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = F.array(*[F.struct(F.lit(i).alias("case"), p.alias("pred"), r.alias("ref")) for i, (p, r) in enumerate([(F.lit(""), F.lit("")), (F.col("text"), F.lit("")), (F.lit(" "), F.lit("")), (F.lit(""), F.col("text")), (F.lit(""), F.lit(" ")), (F.col("text"), F.col("text"))])])
+    rows = _spread(docs).select("doc_id", F.explode(pairs).alias("x")).select("doc_id", F.col("x.case").alias("case"), "x.pred", "x.ref")
+    return score_rows(rows).select("doc_id", "case", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
+
+
+def ocr_eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro averages over all documents."""
+    return macro_metrics(score_rows(_readings(spark, sf_dir, "e"))).select(F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"), "num_samples")
+
+
+def ocr_compare_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of the same documents, and the difference of their averages."""
+    both = evaluate.compare(_readings(spark, sf_dir, "e"), _readings(spark, sf_dir, "t"))
+    return both.select(*[F.round(c, 6).alias(c) if c.endswith("er") else F.col(c) for c in both.columns])
+
+
+def ocr_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples of the documents' report, in its order."""
+    rows = _readings(spark, sf_dir, "e").select(F.col("doc_id").alias("row_idx"), F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("p/"), "doc_id").alias("image_path"), "ref", "pred")
+    one = evaluate.report(rows)
+    listed = one.select(F.posexplode("examples").alias("position", "e"))
+    return listed.select("position", "e.id", "e.image_path", F.char_length("e.ref").alias("ref_chars"), F.md5("e.pred").alias("pred_md5"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a JSON line, in order of ids; every third has an id of its own."""
+    docs = _table(spark, sf_dir, "documents")
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    line = F.to_json(F.struct(F.concat(F.lit("i/"), F.col("doc_id"), F.lit(".png")).alias("image_path"), "text", own.alias("id")))
+    return examples.index_by(docs.select("doc_id", line.alias("value")), "doc_id")
+
+
+def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines parsed, with positions and default ids, paths resolved."""
+    rows = examples.parse(_lines(spark, sf_dir))
+    return rows.select("row_idx", examples.resolve_path(F.col("image_path"), FOLDER).alias("image_path"), "id", F.md5("text").alias("text_md5"))
+
+
+def dataset_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows by position, as a loader with a sample limit reads them."""
+    return examples.parse(examples.prefix(_lines(spark, sf_dir), 100)).select("row_idx", "id", F.md5("text").alias("text_md5"))
+
+
+def prompt_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt before each text."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(collate.with_prompt(F.col("text"), "Read this: ")).alias("prompted_md5"))
+
+
+def batch_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight documents of word lengths, padded to the longest, padding masked."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), F.transform(text.words(F.col("text")), lambda w: F.char_length(w)).alias("input_ids"))
+    made = collate.batches(docs, 8)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select("row_idx", "batch", F.col("width").cast("long").alias("width"), total("input_ids").alias("ids_sum"), total("labels").alias("labels_sum"), F.size(F.filter("labels", lambda x: x == collate.IGNORED)).cast("long").alias("masked"))
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return crawl.extract_links(pages.select("url", F.col("html").alias("body"), F.array("page_id").alias("ord")))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page, by kind and position."""
+    return _links(spark, sf_dir).select("url", F.when(F.element_at("ord", -2) == 0, "a").otherwise("img").alias("kind"), F.element_at("ord", -1).alias("position"), "link")
+
+
+def page_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links as absolute URLs, and whether they stay on their page's host."""
+    found = _links(spark, sf_dir).select("url", urls.resolve_link("url", "link").alias("target"))
+    return found.select("url", "target", urls.same_host(F.col("url"), F.col("target")).alias("same_host"))
+
+
+#: Endings that tell the URL tests apart.
+ENDINGS = ("", ".png", ".JPG?x=1", ".pdf#f", ".gif", "/a/", "/b c(1).tiff", ".webp?a.b", "/x.tif;v=1")
+
+
+def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", "html", F.posexplode(F.array(*[F.concat("url", F.lit(e)) for e in ENDINGS])).alias("n", "url"))
+
+
+def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which responses are stored, and which are searched for links, by URL, type and body."""
+    rows = _endings(spark, sf_dir)
+    kinds = F.array(*[F.lit(k) for k in ("", "text/html; charset=utf-8", "image/png", "application/pdf", "text/plain")])
+    rows = rows.withColumn("ctype", F.explode(kinds))
+    return rows.select("page_id", "n", "ctype", urls.is_downloadable(F.col("url")).alias("downloadable"), urls.wants_download(F.col("url"), F.col("ctype")).alias("stored"), urls.is_html(F.col("ctype"), F.col("html")).alias("searched"))
+
+
+def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file name of each URL."""
+    return _endings(spark, sf_dir).select("page_id", "n", urls.safe_filename(F.col("url")).alias("name"))
+
+
+def crawl_one_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl over the table of pages from its first one."""
+    pages = _table(spark, sf_dir, "pages").select("url", F.col("html").alias("body"), F.lit("text/html").alias("content_type"))
+    seed = pages.agg(F.min("url")).first()[0]
+    if seed is None:
+        return spark.createDataFrame([], "type string, url string")
+    return crawl.crawl(spark, seed, PageStore(pages), max_pages=1000, max_downloads=1000).events.select("type", "url")
+
+
+def crawl_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as one level of a crawl, as far as budgets for pages and downloads go."""
+    pages = _table(spark, sf_dir, "pages")
+    level = pages.select(F.array("page_id").alias("ord"), "page_id", (F.col("page_id") % 5 != 0).alias("ok"), (F.col("page_id") % 7 == 1).alias("hit"))
+    level = level.withColumn("downloaded", F.col("ok") & F.col("hit"))
+    return crawl.within_budget(level, 120, 15).select("page_id", "ok", "downloaded")
+
+
+def frontier_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all pages, each once at its first place, without the pages already seen."""
+    pages = _table(spark, sf_dir, "pages")
+    links = _links(spark, sf_dir).select(urls.resolve_link("url", "link").alias("url"), "ord")
+    found = crawl.first_unvisited(links, pages.select("url"))
+    return found.select("url", F.col("ord")[0].alias("page_id"), F.col("ord")[1].alias("kind"), F.col("ord")[2].alias("position"))
+
+
+def chat_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each user turn, read back by path."""
+    turns = _table(spark, sf_dir, "conversations").filter("role = 'user'")
+    made = turns.select("conv_id", "turn", chat.payload("reader-1", F.col("text"), F.lit("data:image/png;base64,AA=="), max_tokens=64).alias("r"))
+    at = lambda p: F.get_json_object("r", p)
+    return made.select("conv_id", "turn", at("$.model").alias("model"), at("$.max_tokens").cast("long").alias("max_tokens"), at("$.messages[0].role").alias("role"), F.md5(at("$.messages[0].content[0].text")).alias("prompt_md5"), at("$.messages[0].content[1].image_url.url").alias("image_url"), at("$.messages[0].content[0].image_url").isNull().alias("no_null_fields"))
+
+
+def chat_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each assistant turn wrapped as a response; of a response without choices, all of it."""
+    turns = _table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    message = F.struct(F.struct(F.col("text").alias("content")).alias("message"))
+    whole = F.to_json(F.struct(F.array(message).alias("choices")))
+    odd = F.col("turn") % 4 == 3
+    made = turns.select("conv_id", "turn", results.message_text(F.when(odd, F.to_json(F.struct(F.lit("none").alias("error")))).otherwise(whole)).alias("t"))
+    return made.select("conv_id", "turn", F.md5("t").alias("text_md5"))
+
+
+def result_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of several shapes, made from events, as text."""
+    events = _table(spark, sf_dir, "events")
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    shapes = [F.concat(F.lit('{"text":"'), kind, F.lit('"}')), F.concat(F.lit('{"text":'), n, F.lit(',"result":"'), kind, F.lit('"}')), F.concat(F.lit('{"pred":"p'), n, F.lit('"}')), F.concat(F.lit('{"k":'), n, F.lit("}")), F.concat(F.lit('"'), kind, F.lit('"')), F.lit("null")]
+    rows = events.select("event_id", F.posexplode(F.array(*shapes)).alias("shape", "answer"))
+    return rows.select("event_id", "shape", results.coerce_json(F.col("answer")).alias("answer_text"))
+
+
+def data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's bytes as an inline URL."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("d"), F.col("doc_id"), F.lit(".png"))
+    url = media.data_url(path, F.encode("text", "UTF-8"))
+    return docs.select("doc_id", F.char_length(url).cast("long").alias("url_chars"), F.md5(url).alias("url_md5"))
+
+
+#: Endings that tell the file tests apart.
+SUFFIXES = (".jpg", ".JPEG", ".png", ".webp", ".tiff", ".gif", "", ".tar.png")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.array(*[F.concat(F.lit("/img/d"), F.col("doc_id"), F.lit(s)) for s in SUFFIXES])).alias("n", "path"))
+
+
+def mime_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, suffix and stem by file name."""
+    return _paths(spark, sf_dir).select("doc_id", "n", media.mime_type(F.col("path")).alias("mime"), media.suffix(F.col("path")).alias("suffix"), media.stem(F.col("path")).alias("stem"), media.is_image(F.col("path")).alias("image"))
+
+
+def stem_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of image files with one stem, the last by path keeps the result file."""
+    rows = _paths(spark, sf_dir).filter(media.is_image(F.col("path"))).withColumn("stem", media.stem(F.col("path")))
+    order = Window.partitionBy("stem").orderBy(F.desc("path"))
+    return rows.withColumn("last", F.row_number().over(order) == 1).select("doc_id", "path", "stem", "last")
+
+
+def trigger_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which steps are logged and which evaluated."""
+    events = _table(spark, sf_dir, "events")
+    step: Column = F.col("event_id")
+    return events.select("event_id", runs.logs_at(step, 10).alias("logs"), runs.evaluates_at(step, 200).alias("evaluates"))
+
+
+def module_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma-separated lists: entries trimmed, empty ones dropped; numbers once."""
+    part = _table(spark, sf_dir, "part")
+    names = F.concat(F.replace("p_type", F.lit(" "), F.lit(" , ")), F.lit(",, "))
+    numbers = F.concat_ws(", ", F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.lit(""))
+    return part.select("p_partkey", F.array_join(results.split_list(names), "|").alias("names"), F.array_join(F.array_sort(results.id_set(numbers)), "|").alias("ids"))
+
+
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric log that events would leave: values of logged steps as (run, step, name, value)."""
+    events = _table(spark, sf_dir, "events").filter(runs.logs_at(F.col("event_id"), 10))
+    return events.select(F.lit("run").alias("run"), F.col("event_id").alias("step"), F.concat(F.lit("train/"), "event_type").alias("name"), "value")
+
+
+def endpoint_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and authorization for hosts of several spellings."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("http://h"), "c_custkey", F.when(F.col("c_custkey") % 2 == 0, "/v1//").otherwise("/v1")).alias("base"), F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "k").alias("key"))
+    return rows.select("c_custkey", chat.endpoint(F.col("base")).alias("address"), chat.headers(F.col("key"))["Authorization"].alias("authorization"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        ocr_cer_rows, ocr_wer_rows, ocr_edge_cases, ocr_eval_summary, ocr_compare_delta, ocr_report_rows, dataset_scan, dataset_prefix, prompt_concat, batch_pad_mask,
+        page_links, page_links_resolved, url_classify, safe_filenames, crawl_one_seed, crawl_budget_prefix, frontier_dedupe, chat_payload, chat_response,
+        result_coercion, data_url, mime_by_suffix, stem_collision, trigger_steps, module_list_parse, metric_log, endpoint_headers,
+    )
+}
