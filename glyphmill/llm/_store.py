@@ -1,58 +1,19 @@
-"""Tables that cut lineage, kept in the folder all executors share."""
+"""Tables that cut lineage, and joins by fingerprint on them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import materialize
+
 #: Bits of the table that tells which fingerprints may be wanted.
 BITS = 1 << 23
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or of the context's checkpoints.
-
-    Only a local master, where driver and executors are one process, gets a
-    temporary folder when neither is set.
-    """
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get()
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="glyphmill-"))
-    return _own[0]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again.
-
-    A lost executor then costs a reread instead of the whole lineage, and an
-    iteration starts from a plan of one scan. The tables stay until the folder
-    is cleared with the application's other checkpoints.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes every table that this application has materialized."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rows (fp, ...) without most of those whose fp is not in wanted (fp), and without losing one that is.

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ._kernel import slices
 
@@ -241,19 +242,18 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode_decode(docs: DataFrame, vocabulary_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int), decoded (text read back from ids). No shuffle."""
-    return _mapped(docs, vocabulary_json, id_col, text_col, whole=True)
+def encode_decode(docs: DataFrame, vocabulary_json: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, ids (array of int), decoded (text read back from ids), and the columns of keep. No shuffle."""
+    return _mapped(docs, vocabulary_json, id_col, text_col, True, keep or [])
 
 
 def digests(docs: DataFrame, vocabulary_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as encode_decode, but a document's tokens are never held together."""
-    return _mapped(docs, vocabulary_json, id_col, text_col, whole=False)
+    return _mapped(docs, vocabulary_json, id_col, text_col, False, [])
 
 
-def _mapped(docs: DataFrame, vocabulary_json: str, id_col: str, text_col: str, whole: bool) -> DataFrame:
+def _mapped(docs: DataFrame, vocabulary_json: str, id_col: str, text_col: str, whole: bool, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_json)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def steps(encoder: Encoder, text: str) -> Iterator[tuple[bytes, str]]:
         machine = Decoder(encoder.vocabulary)
@@ -263,7 +263,7 @@ def _mapped(docs: DataFrame, vocabulary_json: str, id_col: str, text_col: str, w
 
     def values(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.Array]:
         sizes, ids, texts = [0], [], []
-        for text in batch.column("text"):
+        for text in batch.column("_encoded"):
             n, out = 0, []
             for piece, decoded in steps(encoder, text.as_py() or ""):
                 n += len(piece) // 4
@@ -276,7 +276,7 @@ def _mapped(docs: DataFrame, vocabulary_json: str, id_col: str, text_col: str, w
 
     def hashes(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.Array]:
         found = []
-        for text in batch.column("text"):
+        for text in batch.column("_encoded"):
             n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
             for piece, decoded in steps(encoder, text.as_py() or ""):
                 n += len(piece) // 4
@@ -286,12 +286,15 @@ def _mapped(docs: DataFrame, vocabulary_json: str, id_col: str, text_col: str, w
         for column, kind in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True):
             yield pa.array(column, kind)
 
-    schema = "ids array<int>, decoded string" if whole else "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
+    source = docs.select(docs[id_col].alias("doc_id"), *[docs[c] for c in keep], docs[text_col].alias("_encoded"))
+    schema = source.drop("_encoded").schema
+    for name, column in (("ids", T.ArrayType(T.IntegerType())), ("decoded", "string")) if whole else (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")):
+        schema = schema.add(name, column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _load(shared.value)
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(values if whole else hashes)(encoder, batch)], names=names)
+        for batch in slices(batches, "_encoded"):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *keep)], *(values if whole else hashes)(encoder, batch)], names=names)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(work, f"doc_id {kind}, {schema}")
+    names = schema.names
+    return source.mapInArrow(work, schema)
