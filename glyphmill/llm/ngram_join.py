@@ -8,9 +8,10 @@
    shingle and sorted there; runs of one shingle are streamed, never held, and
    those with one set only are dropped.
 3. Candidates pass the length filter and the positional filter (enough must
-   follow the first common shingle, in both sets), are made distinct, meet their
-   sets, pass the suffix filter (counts between quartiles bound the
-   overlap) and are verified by intersection, each pair once.
+   follow the first common shingle, in both sets) and are made distinct. The
+   suffix filter compares the parities of two small hash tables, whose distance
+   is at most that of the sets; what passes meets the sets and is verified by
+   intersection, each pair once.
 4. For components not every pair is needed: in each run, all sets are first
    paired with one hub, the set with the fewest rarer shingles. Only where a
    run still holds sets of different components, the pairs across components
@@ -143,13 +144,6 @@ def _verify(percent: int):
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 u, v = x[ax[i] : ax[i + 1]], y[ay[i] : ay[i + 1]]
-                need = -(-percent * (len(u) + len(v)) // (100 + percent))
-                # suffix filter: in each quarter of u's values, no more can be common than either has
-                at = np.arange(1, 4) * len(u) // 4
-                cut = np.searchsorted(v, u[at])
-                own, other = np.diff(np.r_[0, at, len(u)]), np.diff(np.r_[0, cut, len(v)])
-                if np.minimum(own, other).sum() < need:
-                    continue
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 good[i] = 100 * common >= percent * (len(u) + len(v) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
@@ -158,27 +152,61 @@ def _verify(percent: int):
 
 
 def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """fp, set for each fp of wanted: a written table, each fp once. A task passes each fp on once."""
+    """fp, values, cells, size for each fp of wanted: a written table, each fp once. A task passes each fp on once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            ids, own, size = [], [], [0]
+            ids, own, cells, size = [], [], [], [0]
             for s in _sets(batch, width):
                 if len(s) and (ident := fold(s)) not in seen:
                     seen.add(ident)
                     ids.append(ident)
                     own.append(s.view(np.int64))
+                    cells.append(parity(s))
                     size.append(size[-1] + len(s))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))], names=["fp", "values"])
+                values = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), values, pa.array(cells, pa.binary()), pa.array(np.diff(size), pa.int64())], names=["fp", "values", "cells", "size"])
+
+    return once_each(likely(texts.select("text").mapInArrow(emit, "fp long, values array<long>, cells binary, size long"), wanted))
+
+
+def parity(values: np.ndarray) -> bytes:
+    """Whether each cell of a hash table holds an odd number of a set's values; at least two cells a value."""
+    cells = max(256, 1 << int(2 * len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values & U64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """At most the number of values that one set has and the other lacks: each turns one cell over."""
+    u, v = (np.frombuffer(s, np.uint8) for s in (x, y))
+    while len(u) != len(v):  # the larger table is folded: cells that agree in the lower bits fall together
+        u, v = (u, v) if len(u) > len(v) else (v, u)
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def _close(percent: int):
+    """Suffix filter: pairs whose parities leave room for the overlap."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, m, n in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "m", "n")], strict=True):
+                need = -(-percent * (m + n) // (100 + percent))
+                good.append(parity_distance(x, y) <= m + n - 2 * need)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return once_each(likely(texts.select("text").mapInArrow(emit, "fp long, values array<long>"), wanted))
+    return work
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar."""
     sets = _sets_of(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")), texts, width)
+    cells = lambda side, own, n: sets.select(F.col("fp").alias(side), F.col("cells").alias(own), F.col("size").alias(n))
+    pairs = pairs.join(cells("a", "x", "m"), "a").join(cells("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_close(percent), "a long, b long")
+    pairs = materialize(pairs)
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
@@ -218,13 +246,34 @@ def _fingerprints(width: int):
     return work
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def _named(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, fp, component for each row; component is null without shingles."""
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     found = link_components(texts, width, percent)
     rows = materialize(texts.mapInArrow(_fingerprints(width), f"doc_id {kind}, n_shingles long, fp long"))
-    named = rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    alone = F.col("n_shingles") == 0
-    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "fp"))
+    return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "n_shingles", "fp", own.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    named = _named(docs, id_col, text_col, width, percent)
+    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, that of least id; rows without shingles all stay."""
+    named = _named(docs, id_col, text_col, width, percent)
+    first = named.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp"))
+    names = docs.columns
+    plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs[text_col].alias("text"))
+    schema = plain.drop("text").schema.add("n_shingles", "long").add("fp", "long")
+    marked = plain.mapInArrow(_fingerprints(width), schema)
+    own = f"c{names.index(id_col)}"
+    alone = marked.filter("n_shingles = 0")
+    chosen = marked.filter("n_shingles > 0").join(first, (F.col("fp") == F.col("_fp")) & F.col(own).eqNullSafe(F.col("_id")), "left_semi")
+    # rows that repeat both id and text are told apart by nothing: any of them stays
+    chosen = chosen.dropDuplicates(["fp", own])
+    return chosen.unionByName(alone).drop("n_shingles", "fp").toDF(*names)
