@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.media import data_url
 from ..functions.results import message_text
@@ -59,7 +60,7 @@ def http_post(base_url: str, api_key: str | None = None) -> Callable[[], Callabl
 
 def call(requests: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
     """requests (request, ...) with response and text; the poster is made once for each task."""
-    schema = requests.schema.add("response", "string")
+    schema = T.StructType([*requests.schema.fields, T.StructField("response", T.StringType())])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         post = make()

@@ -17,6 +17,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..cluster import materialize
 from ..functions.urls import is_html, resolve_link, safe_filename, same_host, wants_download
@@ -108,7 +109,7 @@ def file_writer(directory: str) -> Callable[[DataFrame], DataFrame]:
                         errors.append(str(e))
                 yield batch.assign(write_error=errors)
 
-        return rows.mapInPandas(work, rows.schema.add("write_error", "string"))
+        return rows.mapInPandas(work, T.StructType([*rows.schema.fields, T.StructField("write_error", T.StringType())]))
 
     return write
 

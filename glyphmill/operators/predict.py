@@ -8,6 +8,7 @@ from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..functions.results import coerce_result
 
@@ -58,7 +59,7 @@ def first_of(*factories: Factory) -> Factory:
 
 def apply_predictor(items: DataFrame, factory: Factory, path_col: str = "image_path") -> DataFrame:
     """items with pred. The model is made once for each task; rows go to it in Arrow batches."""
-    schema = items.schema.add("pred", "string")
+    schema = T.StructType([*items.schema.fields, T.StructField("pred", T.StringType())])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()

@@ -83,9 +83,9 @@ def resolve_path(path: Column, base: str) -> Column:
     """path itself if absolute, else under base, with dot segments taken out."""
     root = str(Path(base).resolve())
 
-    @F.udf("string")
-    def normal(p: str) -> str:
-        return os.path.normpath(os.path.join(root, p))
+    @F.udf(T.StringType())
+    def normal(p):  # noqa: ANN001, ANN202
+        return None if p is None else os.path.normpath(os.path.join(root, p))
 
     # only what has a dot segment or doubled slash leaves the JVM
     odd = F.rlike(path, F.lit(r"(^|/)\.{1,2}(/|$)|//|/$"))

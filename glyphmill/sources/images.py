@@ -12,7 +12,7 @@ from ..functions.media import is_image
 
 
 def list_images(spark: SparkSession, directory: str) -> DataFrame:
-    """path of each image directly in directory, by path. File contents are not read."""
+    """path of each image directly in directory, by path. Contents are not read; Spark lists no files of zero bytes."""
     found = spark.read.format("binaryFile").load(directory).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
     return found.filter(is_image(F.col("path"))).orderBy("path")
 
