@@ -10,9 +10,9 @@ from glyphmill.operators.predict import InferenceOptions, ReplacePredictor, appl
 from glyphmill.streaming.events import count_by_type, tail_events
 
 
-class Upper:
-    def __call__(self, paths):
-        return [p.upper() for p in paths]
+def upper():
+    """A factory that the workers need not import."""
+    return lambda: lambda paths: [p.upper() for p in paths]
 
 
 def _items(spark):
@@ -51,7 +51,7 @@ def test_predictors(spark):
     def broken():
         raise RuntimeError
 
-    assert isinstance(first_of(broken, Upper)(), Upper) and first_of(broken)() is None
+    assert first_of(broken, upper())()(["a"]) == ["A"] and first_of(broken)() is None
     with pytest.raises(Exception, match="can be called"):
         apply_predictor(_items(spark), first_of(broken)).collect()
 
@@ -60,10 +60,10 @@ def test_directory(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
     with pytest.raises(Exception):  # noqa: B017
-        batch_infer.infer_directory(spark, str(source), str(out), Upper)
+        batch_infer.infer_directory(spark, str(source), str(out), upper())
     for name in ("a.jpg", "a.png", "b.webp", "n.txt"):
         (source / name).write_bytes(b"x")
-    rows = batch_infer.infer_directory(spark, str(source), str(out), Upper, str(out / "summary"))
+    rows = batch_infer.infer_directory(spark, str(source), str(out), upper(), str(out / "summary"))
     assert rows.count() == 3
     assert (out / "a.txt").read_text() == str(source / "a.png").upper() and (out / "b.txt").exists()
     listed = [json.loads(x) for p in (out / "summary").glob("part-*") for x in p.read_text().splitlines()]
