@@ -86,13 +86,13 @@ def build(items: list, texts: list[str | None]) -> Index:
         raw, at = flat(pa.array([text], pa.string()))
         x, _, _ = normalize(raw, at)
         x = x[:-1] if len(x) and x[-1] == 32 else x
-        for a in range(0, max(1, len(x) - STRIDE), STRIDE) if len(x) > PIECE else (0,):
-            part = x[a : a + PIECE] if len(x) - a - PIECE >= STRIDE or len(x) <= PIECE else x[max(0, len(x) - PIECE) :]
+        starts = list(range(0, max(1, len(x) - PIECE + 1), STRIDE))
+        if starts[-1] + PIECE < len(x):
+            starts.append(len(x) - PIECE)
+        for part in [x[a : a + PIECE] for a in starts]:
             if len(part) >= LEAST:
                 ids.append(item)
                 pieces.append(part)
-            if a and len(x) - a - PIECE < STRIDE:
-                break
     every = [qgrams(p) for p in pieces]
     known, times = np.unique(np.concatenate([np.zeros(0, U64), *every]), return_counts=True)
     edits, need, grams, piece, place = [], [], [], [], []
