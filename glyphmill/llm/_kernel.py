@@ -80,13 +80,18 @@ def words(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tup
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; equal words, equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, U64)
     size = ends - starts
-    first = np.cumsum(size) - size
-    inner = np.arange(int(size.sum())) - np.repeat(first, size)
-    value = _BYTE[raw[inner + np.repeat(starts, size)]] * _powers(int(size.max()))[inner]
-    return mix(np.add.reduceat(value, first) + size.astype(U64))
+    total = np.cumsum(size)
+    # words go in groups of SLICE_BYTES, so that a very long text needs no more working memory than others
+    cut = np.r_[0, np.flatnonzero(np.diff((total - size) // SLICE_BYTES)) + 1, len(size)] if len(size) else [0]
+    out = [np.zeros(0, U64)]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own = size[a:b]
+        first = np.cumsum(own) - own
+        inner = np.arange(int(own.sum())) - np.repeat(first, own)
+        value = _BYTE[raw[inner + np.repeat(starts[a:b], own)]] * _powers(int(own.max()))[inner]
+        out.append(mix(np.add.reduceat(value, first) + own.astype(U64)))
+    return np.concatenate(out)
 
 
 def shingles(word: np.ndarray, width: int) -> np.ndarray:

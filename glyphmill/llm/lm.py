@@ -50,13 +50,13 @@ def held_out(doc_id: Column, folds: int = 7) -> Column:
 def _context_keys(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table index of each byte after the two before it, and of the end of each text."""
     size = np.diff(at)
-    one = np.r_[np.uint8(START), raw[:-1]][: len(raw)].astype(np.int64)
-    two = np.r_[np.uint8(START), np.uint8(START), raw[:-2]][: len(raw)].astype(np.int64)
+    one = np.r_[np.uint8(START), raw[:-1]][: len(raw)].astype(np.int32)
+    two = np.r_[np.uint8(START), np.uint8(START), raw[:-2]][: len(raw)].astype(np.int32)
     one[at[:-1][size > 0]] = START
     two[at[:-1][size > 0]] = START
     two[at[:-1][size > 1] + 1] = START
-    last = np.where(size > 0, raw[np.maximum(at[1:] - 1, 0)] if len(raw) else START, START).astype(np.int64)
-    prior = np.where(size > 1, raw[np.maximum(at[1:] - 2, 0)] if len(raw) else START, START).astype(np.int64)
+    last = np.where(size > 0, raw[np.maximum(at[1:] - 1, 0)] if len(raw) else START, START).astype(np.int32)
+    prior = np.where(size > 1, raw[np.maximum(at[1:] - 2, 0)] if len(raw) else START, START).astype(np.int32)
     return (two * 256 + one) * SYMBOLS + raw, (prior * 256 + last) * SYMBOLS + END
 
 

@@ -136,6 +136,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), n AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, z) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, n.y FROM r JOIN n ON r.z = n.x)
+SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
@@ -148,4 +164,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {"op10_chat_format": _OP10_SQL}
+ORACLES: dict[str, str] = {"op9_ngram_jaccard": _OP9_SQL, "op10_chat_format": _OP10_SQL}
