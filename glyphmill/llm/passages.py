@@ -6,16 +6,18 @@
    Equal texts are one node, known by a fingerprint of its words.
 2. Seeds are shuffled by hash, sorted and streamed; those of one text only are
    dropped. Then, text by text, seeds go that do not lie in a stretch of shared
-   seeds long enough for a passage: a short line goes here however many
-   documents hold it.
-3. In each run of a seed the texts, in an order by hash, are paired with the
-   first and with the REACH before them: all pairs where few share a seed, and a
-   number in proportion to the rows where many do. Two texts are compared if they
-   met in such a small run or if the places where they met span a passage. A
-   text's seeds that no passage has covered go into another round with another
-   order, until a round finds no passage. What is reported is pairs and the
-   membership of copies; that two texts both repeat a third's passage is not
-   listed a second time.
+   seeds, at most APART words apart, that spans SPAN words and covers COVER: a
+   short line goes here however many documents hold it.
+3. In each run of a seed the rows are sorted by the shared seeds that follow in
+   their text, then by a hash of the text, and each is paired with the run's hub
+   (the text of least hash), the first with the same FOLLOW seeds, and the one
+   before it: a number
+   in proportion to the rows, however many share a seed. Texts that repeat a
+   passage share runs of seeds, so they stand together there. Up to SMALL texts
+   of a run are all paired. Two texts are compared if they met in such a small
+   run or if the places where they met span a passage. What is reported is pairs
+   and the membership of copies; that two texts both repeat a third's passage
+   is not always listed a second time.
 4. Compared texts meet each other's seeds. The matches of two texts are merged along diagonals and chained: the best
    predecessor of each, ending before it in both texts, comes from a Fenwick tree
    of prefix maxima over places in the second text, swept along the first; a gap
@@ -44,12 +46,13 @@ from ._store import likely, materialize, once_each
 
 K, W = 8, 12
 LEAST, SLOPPY = 50, 5
-#: Words between seeds of one passage at most; what a passage's seeds span at least.
-APART, SPAN = 64, LEAST - 2 * (W - 1)
-REACH = 4
-GAP = 0.25
+#: Words between seeds of one passage at most; what a passage's seeds span and what they cover at least.
+APART, SPAN, COVER = 32, LEAST - 2 * (W - 1), 16
+#: Seeds after one that order its run; texts of a run that are all paired by the rule.
+FOLLOW, SMALL = 3, 3
+GAP = 0.1
 #: Words on either side of a chain that the alignment may extend over; matching words that an edit there must be followed by.
-MARGIN, FIRM = 96, 4
+MARGIN, FIRM = 64, 4
 
 
 def minimizers(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,10 +61,17 @@ def minimizers(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     seed = shingles(word, K)
     if len(seed) <= W:
-        at = np.array([int(seed.argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(seed, W)
-        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+        at = np.flatnonzero(seed == seed.min())
+    else:  # the least of each W: a seed that is the least of one of the windows it lies in
+        low = np.minimum(seed[:-1], seed[1:])
+        low = np.minimum(low[:-2], low[2:])
+        low = np.minimum(low[: len(seed) - W + 1], np.minimum(low[4 : len(seed) - W + 5], low[8:]))
+        pad = np.zeros(W - 1, U64)
+        high = np.concatenate((pad, low, pad))
+        high = np.maximum(high[:-1], high[1:])
+        high = np.maximum(high[:-2], high[2:])
+        high = np.maximum(high[: len(seed)], np.maximum(high[4 : len(seed) + 4], high[8:]))
+        at = np.flatnonzero(seed == high)
     return seed[at], at
 
 
@@ -101,43 +111,50 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (fp, place): those in a stretch that could hold a passage."""
+    """Of rows by (fp, place): those in a stretch that could hold a passage, with a hash of the seeds that follow there."""
     for batch in whole_groups(batches, ["fp"]):
-        fp, place = batch.column("fp").to_numpy(), batch.column("place").to_numpy()
+        h, fp, place = (batch.column(c).to_numpy() for c in ("h", "fp", "place"))
         cut = np.r_[0, np.flatnonzero((fp[1:] != fp[:-1]) | (place[1:] - place[:-1] > APART)) + 1, len(fp)]
-        long = place[cut[1:] - 1] + K - place[cut[:-1]] >= SPAN
-        yield batch.filter(pa.array(np.repeat(long, np.diff(cut))))
+        own = np.minimum(np.r_[place[1:] - place[:-1], K], K)  # words that the next seed does not cover too
+        own[cut[1:] - 1] = K
+        long = (place[cut[1:] - 1] + K - place[cut[:-1]] >= SPAN) & (np.add.reduceat(own, cut[:-1]) >= COVER)
+        keep = np.repeat(long, np.diff(cut))
+        end = np.repeat(cut[1:], np.diff(cut))
+        after = np.zeros(len(h), U64)
+        for j in range(1, FOLLOW + 1):
+            at = np.minimum(np.arange(len(h)) + j, end - 1)
+            after = mix(after + np.where(np.arange(len(h)) + j < end, h[at], 0).view(U64) + U64(j))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(after.view(np.int64))], names=["h", "fp", "place", "after"]).filter(pa.array(keep))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by h and an order: each paired with the first of its h and with REACH rows before it."""
+    """Of rows by (h, after) and an order: each paired with the hub of its h, the first of its (h, after) and the row before."""
     kept: pa.RecordBatch | None = None
-    head: tuple[int, int, int] | None = None
+    head = (0, 0)
     for batch in batches:
         if not batch.num_rows:
             continue
-        old = 0 if kept is None else kept.num_rows
+        old = 0 if kept is None else 1
         batch = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-        h, fp, place, n = (batch.column(c).to_numpy() for c in ("h", "fp", "place", "n"))
-        start = np.r_[True, h[1:] != h[:-1]]
+        h, after, fp, place, n, hub, hub_place = (batch.column(c).to_numpy() for c in ("h", "after", "fp", "place", "n", "hub", "hub_place"))
+        start = np.r_[True, (h[1:] != h[:-1]) | (after[1:] != after[:-1])]
         first = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
-        top_fp, top_place = fp[first], place[first]
-        if head is not None and head[0] == h[0]:
-            top_fp[h == h[0]], top_place[h == h[0]] = head[1], head[2]
+        top, top_place = fp[first], place[first]
+        if old:  # the first group goes on from the batch before
+            top[first == 0], top_place[first == 0] = head
         late = np.arange(old, len(h))
-        parts = [np.stack([fp[late], place[late], top_fp[late], top_place[late], n[late]])]
-        for back in range(1, REACH + 1):
-            i = late[late >= back]
-            i = i[h[i] == h[i - back]]
-            parts.append(np.stack([fp[i], place[i], fp[i - back], place[i - back], n[i]]))
+        i = late[late >= 1]
+        i = i[h[i] == h[i - 1]]
+        parts = [np.stack([fp[late], place[late], other[late], at[late], n[late]]) for other, at in ((hub, hub_place), (top, top_place))]
+        parts.append(np.stack([fp[i], place[i], fp[i - 1], place[i - 1], n[i]]))
         a, pa_, b, pb, n = np.concatenate(parts, axis=1)
         swap = a > b
         a, b, pa_, pb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, pb, pa_), np.where(swap, pa_, pb)
         some = np.flatnonzero(a != b)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a, b, pa_, pb, n)], names=["a", "b", "pa", "pb", "n"])
-        head = (int(h[-1]), int(top_fp[-1]), int(top_place[-1]))
-        kept = batch.slice(max(0, batch.num_rows - REACH))
+        head = (top[-1], top_place[-1])
+        kept = batch.slice(batch.num_rows - 1)
 
 
 def segments(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,7 +229,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = segments(y, x)
             for chain in chains(*own):
                 s, t, n = (v[chain] for v in own)
-                if min(s[-1] + n[-1] - s[0], t[-1] + n[-1] - t[0]) >= SPAN:
+                if n.sum() >= COVER and min(s[-1] + n[-1] - s[0], t[-1] + n[-1] - t[0]) >= SPAN:
                     for name, value in zip(out, (batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), s, t, n), strict=True):
                         out[name].append(value)
         if out["a"]:
@@ -275,9 +292,11 @@ def _passage(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: l
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
-        names = ("a", "b", "u", "v", "from_u", "from_v", "ya", "xa", "size")
-        for a, b, u, v, fu, fv, ys, xs, size in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
-            for s, e, t, f, edits in align_chain(np.array(u), np.array(v), [y - fu for y in ys], [x - fv for x in xs], size):
+        scalar = [batch.column(c).to_pylist() for c in ("a", "b", "from_u", "from_v")]
+        listed = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("u", "v", "ya", "xa", "size")]
+        for i, (a, b, fu, fv) in enumerate(zip(*scalar, strict=True)):
+            u, v, ys, xs, size = (v[at[i] : at[i + 1]] for at, v in listed)
+            for s, e, t, f, edits in align_chain(u, v, (ys - fu).tolist(), (xs - fv).tolist(), size.tolist()):
                 good.append((a, b, fu + s, fu + e, fv + t, fv + f, edits))
         if good:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], names=["a", "b", "start_a", "end_a", "start_b", "end_b", "edits"])
@@ -300,54 +319,32 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))], names=["fp", "values"])
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of seeds (place) and passages (place to until) by (fp, place): the seeds outside passages."""
-    for batch in whole_groups(batches, ["fp"]):
-        fp, place, until = (batch.column(c).to_numpy() for c in ("fp", "place", "until"))
-        cut = runs(fp)
-        reach = np.concatenate([np.maximum.accumulate(until[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
-        out = batch.filter(pa.array((until < 0) & (place + K > reach)))
-        yield out.select(["h", "fp", "place"])
-
-
 def repeated(texts: DataFrame) -> DataFrame:
     """Passages between the distinct texts of texts (text), by fingerprint: a, b, their word spans, edits."""
     seeds = texts.select("text").mapInArrow(_seeds, "h long, fp long, place long")
     by_seed = lambda d: d.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, "h long, fp long, place long")
-    by_text = lambda d: d.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_stretches, "h long, fp long, place long")
-    left = materialize(by_text(by_seed(seeds)))
-    left = materialize(by_text(by_seed(left)))
-    tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), left.select("fp")))
-    found, turn, compared_before = None, 0, None
-    while True:
-        many = left.groupBy("h").agg(F.count("*").alias("n"))
-        placed = left.join(many, "h").withColumn("o", F.xxhash64(F.lit(turn), F.col("fp")))
-        met = placed.repartition("h").sortWithinPartitions("h", "o", "fp", "place").select("h", "fp", "place", "n").mapInArrow(_pairs, "a long, b long, pa long, pb long, n long")
-        spread = F.least(F.max("pa") - F.min("pa"), F.max("pb") - F.min("pb")) + K
-        compared = met.groupBy("a", "b").agg(F.min("n").alias("n"), spread.alias("spread")).filter((F.col("n") <= REACH + 1) | (F.col("spread") >= SPAN)).select("a", "b")
-        if compared_before is not None:
-            compared = compared.join(compared_before, ["a", "b"], "left_anti")
-        compared = materialize(compared)
-        compared_before = compared if compared_before is None else compared_before.unionAll(compared)
-        seeds_of = left.groupBy("fp").agg(F.collect_list(F.struct("h", "place")).alias("s"))
-        own = lambda side: seeds_of.select(F.col("fp").alias(side), F.col("s.h").alias(f"h{side}"), F.col("s.place").alias(f"p{side}"))
-        linked = compared.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ha", "pa", "hb", "pb").mapInArrow(_chain, "a long, b long, ya array<long>, xa array<long>, size array<long>")
-        linked = materialize(linked)
-        part = lambda side, key: tokens.select(F.col("fp").alias(side), F.col("values").alias(key))
-        cut = lambda v, at, start: F.slice(v, F.col(start) + 1, F.element_at(at, -1) + F.element_at("size", -1) + MARGIN - F.col(start))
-        begin = lambda at: F.greatest(F.lit(0), F.element_at(at, 1) - MARGIN).cast("int")
-        framed = linked.withColumns({"from_u": begin("ya"), "from_v": begin("xa")})
-        one = framed.join(part("a", "u"), "a").withColumn("u", cut("u", "ya", "from_u"))
-        two = one.join(part("b", "v"), "b").withColumn("v", cut("v", "xa", "from_v"))
-        new = materialize(two.select("a", "b", "u", "v", "from_u", "from_v", "ya", "xa", "size").mapInArrow(_aligned, _FOUND))
-        if new.isEmpty():
-            return new if found is None else found
-        found = new if found is None else found.unionAll(new)
-        spans = new.select(F.col("a").alias("fp"), F.col("start_a").alias("place"), F.col("end_a").alias("until")).unionAll(new.select("b", "start_b", "end_b"))
-        marked = left.select("h", "fp", "place", F.lit(-1).cast("long").alias("until")).unionAll(spans.select(F.lit(0).cast("long").alias("h"), "fp", "place", "until"))
-        rest = marked.repartition("fp").sortWithinPartitions("fp", "place", F.desc("until")).mapInArrow(_covered, "h long, fp long, place long")
-        left = materialize(by_text(by_seed(rest)))
-        turn += 1
+    by_text = lambda d: d.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_stretches, "h long, fp long, place long, after long")
+    once = by_text(by_seed(seeds)).select("h", "fp", "place")
+    left = materialize(by_text(by_seed(once)))
+    placed = left.withColumn("o", F.xxhash64("fp"))
+    hubs = placed.groupBy("h").agg(F.count("*").alias("n"), F.min_by("fp", "o").alias("hub"), F.min_by("place", "o").alias("hub_place"))
+    placed = placed.join(hubs, "h")
+    met = placed.repartition("h").sortWithinPartitions("h", "after", "o", "fp", "place").drop("o").mapInArrow(_pairs, "a long, b long, pa long, pb long, n long")
+    spread = F.least(F.max("pa") - F.min("pa"), F.max("pb") - F.min("pb")) + K
+    compared = met.groupBy("a", "b").agg(F.min("n").alias("n"), spread.alias("spread")).filter((F.col("n") <= SMALL) | (F.col("spread") >= SPAN)).select("a", "b")
+    seeds_of = left.groupBy("fp").agg(F.collect_list(F.struct("h", "place")).alias("s"))
+    own = lambda side: seeds_of.select(F.col("fp").alias(side), F.col("s.h").alias(f"h{side}"), F.col("s.place").alias(f"p{side}"))
+    linked = compared.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ha", "pa", "hb", "pb").mapInArrow(_chain, "a long, b long, ya array<long>, xa array<long>, size array<long>")
+    linked = materialize(linked)
+    wanted = linked.select(F.col("a").alias("fp")).unionAll(linked.select("b"))
+    tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), wanted))
+    part = lambda side, key: tokens.select(F.col("fp").alias(side), F.col("values").alias(key))
+    cut = lambda v, at, start: F.slice(v, F.col(start) + 1, F.element_at(at, -1) + F.element_at("size", -1) + MARGIN - F.col(start))
+    begin = lambda at: F.greatest(F.lit(0), F.element_at(at, 1) - MARGIN).cast("int")
+    framed = linked.withColumns({"from_u": begin("ya"), "from_v": begin("xa")})
+    one = framed.join(part("a", "u"), "a").withColumn("u", cut("u", "ya", "from_u"))
+    two = one.join(part("b", "v"), "b").withColumn("v", cut("v", "xa", "from_v"))
+    return materialize(two.select("a", "b", "u", "v", "from_u", "from_v", "ya", "xa", "size").mapInArrow(_aligned, _FOUND))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
