@@ -27,8 +27,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows over as many tasks as the session shuffles into: distances cost far more than the scan."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Rows over as many tasks as the session shuffles into, where a small table's scan has fewer: distances cost far more."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def _readings(spark: SparkSession, sf_dir: str, lost: str) -> DataFrame:
