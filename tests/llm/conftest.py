@@ -1,5 +1,3 @@
-import re
-
 import pytest
 
 
@@ -14,14 +12,3 @@ def docs(spark):
         return spark.createDataFrame(rows, "doc_id long, text string")
 
     return make
-
-
-def lower(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-
-
-def tokens(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
-
-
-ODD = [None, "", " \n\t ", "a", "A a A a", "é" * 3, "x " * 30000, "same text again", "same text again"]

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD, tokens
+from llm_helpers import ODD, tokens
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,8 +1,8 @@
 import numpy as np
 import pyarrow as pa
-from conftest import ODD, tokens  # noqa: F401  (tests/llm)
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_helpers import tokens
 
 from glyphmill.llm import _kernel as k
 

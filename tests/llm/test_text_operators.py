@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD, lower, tokens
+from llm_helpers import ODD, lower, tokens
 from pyspark.sql import functions as F
 
 from glyphmill.llm import bpe, chat, langid, licenses, lm, media
@@ -148,8 +148,8 @@ def test_scores(spark, docs, head, monkeypatch):
 
 def _ppm_by_hand(counts, context, symbol):
     p, gone = 1.0, set()
-    for order in (2, 1, 0):
-        own = {s: c for s, c in counts.get(context[2 - order :], {}).items() if s not in gone}
+    for order in (3, 2, 1, 0):
+        own = {s: c for s, c in counts.get(context[3 - order :], {}).items() if s not in gone}
         if own:
             n, d = sum(own.values()), len(own)
             if symbol in own:
@@ -160,27 +160,26 @@ def _ppm_by_hand(counts, context, symbol):
 
 
 def test_ppm_is_that_of_the_definition(spark, docs):
-    text = "abracadabra cad"
-    padded = [10, 10, *text.encode(), 256]
+    text = "abracadabra cad abra"
+    padded = [10, 10, 10, *text.encode(), 256]
     counts = {}
-    for i in range(2, len(padded)):
-        for order in range(3):
+    for i in range(3, len(padded)):
+        for order in range(4):
             own = counts.setdefault(tuple(padded[i - order : i]), collections.Counter())
             own[padded[i]] += 1
-    table = docs([(3, text)])
-    assert zlib.crc32(b"3") % 7 != 2
-    probes = [text, "abz", "", "zzz", "rab"]
-    got = lm.score(table.unionByName(docs([(2, "q")])).filter("doc_id = 3"), F.lit(True)).collect()
-    assert got[0].score == pytest.approx(sum(math.log10(_ppm_by_hand(counts, tuple(padded[i - 2 : i]), padded[i])) for i in range(2, len(padded))), rel=1e-5)
-    keys = np.array(sorted({(padded[i - 2] * 256 + padded[i - 1]) * 257 + padded[i] for i in range(2, len(padded))}))
-    times = collections.Counter((padded[i - 2] * 256 + padded[i - 1]) * 257 + padded[i] for i in range(2, len(padded)))
-    made = lm.code_lengths(keys, np.array([float(times[k]) for k in keys.tolist()]))
-    for probe in probes:
-        own = [10, 10, *probe.encode(), 256]
-        for i in range(2, len(own)):
-            want = math.log10(_ppm_by_hand(counts, tuple(own[i - 2 : i]), own[i]))
-            assert made[(own[i - 2] * 256 + own[i - 1]) * 257 + own[i]] == pytest.approx(want, rel=1e-5)
-    assert np.allclose((10.0 ** made.reshape(-1, 257).astype(float)).sum(axis=1), 1, atol=1e-5)
+    probes = [text, "abz", "", "zzz", "rab", "abrr", "cadd a"]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learned = next(i for i in range(200) if i not in held)
+    rows = [(learned, text), *zip(held, probes, strict=False)]
+    got = {r.doc_id: r.score for r in lm.score(docs(rows), ~lm.held_out(F.col("doc_id"))).collect()}
+    for i, probe in rows:
+        own = [10, 10, 10, *probe.encode(), 256]
+        want = sum(math.log10(_ppm_by_hand(counts, tuple(own[j - 3 : j]), own[j])) for j in range(3, len(own)))
+        assert got[i] == pytest.approx(want, rel=1e-5), probe
+    for context in ("", "abr", "a c", "zzz", "rab"):
+        before = [10, 10, 10, *context.encode()][-3:]
+        total = sum(_ppm_by_hand(counts, tuple(before), s) for s in range(257))
+        assert total == pytest.approx(1)
 
 
 @pytest.fixture(scope="module")
