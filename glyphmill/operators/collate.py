@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +33,36 @@ def mask(ids: Column, pad_id: int) -> Column:
 
 
 def batches(rows: DataFrame, batch_size: int, pad_id: int = 0, most: int | None = None) -> DataFrame:
-    """rows (row_idx, input_ids, maybe labels) with batch, width and padded input_ids; labels are masked unless given."""
+    """rows (row_idx, input_ids, maybe labels) with batch, width and padded input_ids; where labels are null or missing, ids with padding masked."""
     if "input_ids" not in rows.columns:
         raise ValueError("rows need input_ids")
     given = "labels" in rows.columns
     cut = rows.withColumns({"input_ids": truncate(F.col("input_ids"), most), "batch": F.floor(F.col("row_idx") / batch_size)})
     width = cut.groupBy("batch").agg(F.max(F.size("input_ids")).alias("width"))
     padded = cut.join(width, "batch").withColumn("input_ids", pad(F.col("input_ids"), F.col("width"), pad_id))
-    return padded if given else padded.withColumn("labels", mask(F.col("input_ids"), pad_id))
+    own = mask(F.col("input_ids"), pad_id)
+    return padded.withColumn("labels", F.coalesce("labels", own) if given else own)
+
+
+def process(rows: DataFrame, factory: Callable[[], Callable[..., dict]], prompt: str = "", most: int | None = None) -> DataFrame:
+    """rows (row_idx, image_path, text) as input_ids, and labels if the processor gives any.
+
+    The processor is made once for each task and called with images, text and
+    max_length for a batch of rows; it must answer with input_ids for each. A
+    row without labels of its own gets null, which batches() masks.
+    """
+    texts = rows.select("row_idx", "image_path", with_prompt(F.col("text"), prompt).alias("text"))
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        processor = factory()
+        for frame in frames:
+            made = processor(images=frame.image_path.tolist(), text=frame.text.tolist(), max_length=most)
+            if "input_ids" not in made:
+                raise ValueError("a processor must answer with input_ids")
+            labels = made.get("labels", [None] * len(frame))
+            yield pd.DataFrame({"row_idx": frame.row_idx, "input_ids": list(made["input_ids"]), "labels": list(labels)})
+
+    return texts.mapInPandas(work, "row_idx long, input_ids array<int>, labels array<int>")
 
 
 def collate(rows: DataFrame, batch_size: int, **options) -> DataFrame:

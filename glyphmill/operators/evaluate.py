@@ -63,6 +63,13 @@ def write_report(made: dict, path: str) -> None:
         json.dump(made, f, ensure_ascii=False, indent=2)
 
 
+def write_step_report(made: dict, output_dir: str, step: int) -> str:
+    """The report of an evaluation within a run, named after its step; the path."""
+    path = os.path.join(output_dir, f"eval_step_{step}.json")
+    write_report(made, path)
+    return path
+
+
 def write_report_rows(results: DataFrame, path: str) -> None:
     """A report too large for one document: scored examples as JSON lines in a folder, written in parallel."""
     score_rows(results).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -32,6 +32,7 @@ def test_report(spark, tmp_path):
     evaluate.write_report(made, str(tmp_path / "r" / "report.json"))
     text = (tmp_path / "r" / "report.json").read_text(encoding="utf-8")
     assert list(json.loads(text)) == ["metrics", "num_samples", "examples"] and "é" in text and text.startswith('{\n  "metrics"')
+    assert evaluate.write_step_report(made, str(tmp_path), 200).endswith("eval_step_200.json") and (tmp_path / "eval_step_200.json").exists()
     assert evaluate.report_dict(rows.limit(0)) == {"metrics": {"cer": 0.0, "wer": 0.0}, "num_samples": 0, "examples": []}
 
 
@@ -97,14 +98,26 @@ def test_collate(spark):
     assert got[0].input_ids == [[5, 6, 7], [8, 0, 0]] and got[0].labels == [[5, 6, 7], [8, -100, -100]] and got[1].input_ids == [[9]]
     cut = collate.batches(rows, 2, most=2).filter("row_idx = 0").first()
     assert cut.input_ids == [5, 6]
-    given = collate.batches(rows.withColumn("labels", F.lit(1)), 2).filter("row_idx = 1").first()
-    assert given.labels == 1
+    given = collate.batches(rows.withColumn("labels", F.when(F.col("row_idx") > 0, F.array(F.lit(1)))), 2).orderBy("row_idx").collect()
+    assert [r.labels for r in given] == [[5, 6, 7], [1], [1]]
     with pytest.raises(ValueError, match="input_ids"):
         collate.batches(rows.drop("input_ids"), 2)
     once, again = ([r.row_idx for r in collate.shuffled(rows, 3).collect()] for _ in range(2))
     assert once == again and sorted(once) == [0, 1, 2]
 
 
+def test_processor(spark):
+    rows = spark.createDataFrame([(0, "a.png", "xy"), (1, "b.png", "z")], "row_idx long, image_path string, text string")
+
+    def spell(images, text, max_length):
+        return {"input_ids": [[ord(c) for c in t][:max_length] for t in text]}
+
+    got = collate.process(rows, lambda: spell, prompt="> ", most=3).orderBy("row_idx").collect()
+    assert [(r.input_ids, r.labels) for r in got] == [([62, 32, 120], None), ([62, 32, 122], None)]
+    with pytest.raises(Exception, match="input_ids"):
+        collate.process(rows, lambda: lambda **_: {}).collect()
+
+
 def test_runs(spark, tmp_path):
     steps = spark.range(601)
     assert steps.filter(runs.logs_at(steps.id, 10)).count() == 61
