@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What is downloaded by its suffix.
+#: The pattern of what is downloaded, and of what a file name cannot hold.
 DOWNLOADABLE = r"(?i)\.(png|jpg|jpeg|webp|tif|tiff|pdf)(\?.*)?$"
+UNSAFE = "[^a-zA-Z0-9._-]+"
 _PARTS = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)"
 
 
@@ -51,7 +52,7 @@ def safe_filename(url: Column) -> Column:
     """The last component of the path with other characters than letters, digits, dot, dash, underscore as one underscore."""
     parts = F.filter(F.split(path(url), "/"), lambda p: (p != "") & (p != "."))
     name = F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise("download")
-    return F.regexp_replace(name, "[^a-zA-Z0-9._-]+", "_")
+    return F.regexp_replace(name, UNSAFE, "_")
 
 
 @F.pandas_udf(T.StringType())

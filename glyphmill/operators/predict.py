@@ -22,13 +22,17 @@ class Predictor(Protocol):
     def __call__(self, paths: list[str]) -> list[Any]: ...
 
 
+#: The default prompt, and an image's and a tile's side.
+PROMPT, BASE_SIDE, TILE_SIDE = "<image>\nFree OCR.", 1024, 640
+
+
 @dataclass(frozen=True)
 class InferenceOptions:
     """What a predictor factory is told; extra holds options of one model only, such as decoding constraints."""
 
-    prompt: str = "<image>\nFree OCR."
-    base_size: int = 1024
-    image_size: int = 640
+    prompt: str = PROMPT
+    base_size: int = BASE_SIDE
+    image_size: int = TILE_SIDE
     crop_mode: bool = True
     dtype: str = "bfloat16"
     device: str = "cpu"
