@@ -1,14 +1,16 @@
 """Document scores under two models of the corpus: unigrams of words, and PPM over bytes.
 
-PPM. The trie holds the byte contexts of orders 0, 1 and 2 with the counts of
-the symbols that follow (256 bytes and one end of text); a text starts after two
-line feeds. In a context with n symbols of d kinds, a kind seen m times has
+PPM. The trie holds the byte contexts of orders 0 to 3 with the counts of the
+symbols that follow (256 bytes and one end of text); a text starts after line
+feeds. In a context with n symbols of d kinds, a kind seen m times has
 probability m / (n + d) and escape has d / (n + d) (method C). After an escape,
 the symbols of the longer context are excluded: they no longer count in n and d
 of the shorter one. What no order knows is uniform over the symbols left. The
-model is pretrained on the training rows; because its trie has at most
-257 * (2^16 + 2^8 + 1) nodes whatever the corpus, it is what is broadcast, and a
-worker lays out the code length of each symbol in each context as one table.
+model is pretrained on the training rows. Up to order 2 the trie is whole, at
+most 257 * (2^16 + 2^8 + 1) nodes whatever the corpus; of order 3 it has the
+nodes that make up at least one in NODES of the training symbols, which can be
+no more than NODES. So the trie is what is broadcast. A worker lays out the code
+lengths of order 2 as one table; order 3 corrects them by two lookups a byte.
 
 Unigrams. Every distinct word of the corpus has its count; that table grows with
 the corpus and is never collected. The most frequent words, at most HEAD of them,
@@ -38,6 +40,8 @@ from ._store import materialize
 SYMBOLS, END, START = 257, 256, 10
 #: Most words whose counts are broadcast; distinct keys that a task gathers before it passes them on.
 HEAD, GATHER = 1 << 17, 1 << 20
+#: Most nodes of order 3.
+NODES = 1 << 21
 #: Stands for the end of a text among word hashes.
 END_HASH = -1
 
@@ -47,17 +51,17 @@ def held_out(doc_id: Column, folds: int = 7) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == 2, F.lit(False))
 
 
-def _context_keys(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table index of each byte after the two before it, and of the end of each text."""
-    size = np.diff(at)
-    one = np.r_[np.uint8(START), raw[:-1]][: len(raw)].astype(np.int32)
-    two = np.r_[np.uint8(START), np.uint8(START), raw[:-2]][: len(raw)].astype(np.int32)
-    one[at[:-1][size > 0]] = START
-    two[at[:-1][size > 0]] = START
-    two[at[:-1][size > 1] + 1] = START
-    last = np.where(size > 0, raw[np.maximum(at[1:] - 1, 0)] if len(raw) else START, START).astype(np.int32)
-    prior = np.where(size > 1, raw[np.maximum(at[1:] - 2, 0)] if len(raw) else START, START).astype(np.int32)
-    return (two * 256 + one) * SYMBOLS + raw, (prior * 256 + last) * SYMBOLS + END
+def _symbols(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte, and of the end after each text's bytes: its key of order 2, its context of order 3, itself."""
+    n = len(at) - 1
+    text = np.repeat(np.arange(n, dtype=np.int32), np.diff(at) + 1)
+    place = np.arange(len(raw) + n, dtype=np.int64) + 3 * (text + 1)  # three line feeds before each text
+    stream = np.full(len(raw) + 4 * n, START, np.int32)
+    stream[np.arange(len(raw)) + 4 * np.repeat(np.arange(n), np.diff(at)) + 3] = raw
+    stream[at[1:] + 4 * np.arange(n) + 3] = END
+    symbol, one, two, three = (stream[place - k] for k in range(4))
+    low = two << 8 | one
+    return low * SYMBOLS + symbol, three << 16 | low, symbol
 
 
 class _Gather:
@@ -92,20 +96,23 @@ class _Gather:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, grams, texts = _Gather(0), _Gather(1), 0
+    tokens, grams, longer, texts = _Gather(0), _Gather(1), _Gather(2), 0
     for batch in slices(batches, "text"):
         raw, at = flat(batch.column("text"))
         raw = LOWER[raw]
         texts += batch.num_rows
         starts, ends, _ = words(raw, at)
         tokens.add(word_hashes(raw, starts, ends).view(np.int64))
-        grams.add(np.concatenate(_context_keys(raw, at)))
-        if tokens.full():
-            yield from tokens.rows()
+        low, context, symbol = _symbols(raw, at)
+        grams.add(low)
+        longer.add(context.astype(np.int64) * SYMBOLS + symbol)
+        for own in (tokens, longer):
+            if own.full():
+                yield from own.rows()
     if texts:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([END_HASH], pa.int64()), pa.array([texts], pa.int64())], names=["kind", "key", "n"])
-    yield from tokens.rows()
-    yield from grams.rows()
+    for own in (tokens, grams, longer):
+        yield from own.rows()
 
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -139,35 +146,75 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Head:
-    """What is sent to every worker: the frequent words by hash with their counts, N, V and the trie's counts."""
+    """What is sent to every worker: the frequent words by hash with their counts, N, V and the trie's counts by sorted key."""
 
     hashes: np.ndarray
     counts: np.ndarray
     total: int
     kinds: int
-    trie_keys: np.ndarray
-    trie_counts: np.ndarray
-
-
-_laid: dict[int, np.ndarray] = {}
-
-
-def _table(ident: int, head: Head) -> np.ndarray:
-    """The code lengths, laid out once in each Python worker."""
+    keys: np.ndarray
+    key_counts: np.ndarray
+    nodes: np.ndarray
+    node_counts: np.ndarray
+
+
+class Model:
+    """The trie, laid out for scoring."""
+
+    def __init__(self, head: Head):
+        self.table = code_lengths(head.keys, head.key_counts)
+        self.seen = np.zeros(len(self.table), bool)
+        self.seen[head.keys] = True
+        n2, d2 = np.bincount(head.keys // SYMBOLS, weights=head.key_counts, minlength=1 << 16), np.bincount(head.keys // SYMBOLS, minlength=1 << 16)
+        self.nodes = head.nodes
+        self.contexts, inverse = np.unique(head.nodes // SYMBOLS, return_inverse=True)
+        n3, d3 = np.bincount(inverse, weights=head.node_counts), np.bincount(inverse)
+        low = self.contexts & 0xFFFF
+        self.node_cost = np.log10(head.node_counts / (n3 + d3)[inverse]).astype(np.float32)
+        # order 2 without the symbols that order 3 has told apart
+        same = np.searchsorted(head.keys, low[inverse] * SYMBOLS + head.nodes % SYMBOLS)
+        n2x = n2[low] - np.bincount(inverse, weights=head.key_counts[same])
+        d2x = d2[low] - d3
+        left = np.maximum(n2x + d2x, 1)
+        escape = np.log10(d3 / (n3 + d3))
+        e2x, e2 = np.where(d2x > 0, d2x / left, 1.0), d2[low] / (n2[low] + d2[low])
+        self.if_seen = (escape + np.log10((n2[low] + d2[low]) / left)).astype(np.float32)
+        self.if_not = (escape + np.log10(np.maximum(e2x, 1e-300) / e2)).astype(np.float32)
+
+    def costs(self, low: np.ndarray, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each symbol."""
+        cost = self.table[low]
+        if not len(self.nodes):
+            return cost
+        at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+        some = np.flatnonzero(self.contexts[at] == context)
+        at = at[some]
+        key = context[some].astype(np.int64) * SYMBOLS + symbol[some]
+        node = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
+        lower = cost[some] + np.where(self.seen[low[some]], self.if_seen[at], self.if_not[at])
+        cost[some] = np.where(self.nodes[node] == key, self.node_cost[node], lower)
+        return cost
+
+
+_laid: dict[int, Model] = {}
+
+
+def _model(ident: int, head: Head) -> Model:
+    """The model, laid out once in each Python worker."""
     if ident not in _laid:
         _laid.clear()
-        _laid[ident] = code_lengths(head.trie_keys, head.trie_counts)
+        _laid[ident] = Model(head)
     return _laid[ident]
 
 
-def _slice_rows(batch: pa.RecordBatch, head: Head, table: np.ndarray, uid: int) -> pa.RecordBatch:
+def _slice_rows(batch: pa.RecordBatch, head: Head, model: Model, uid: int) -> pa.RecordBatch:
     """One row for each text with what the frequent words give, then one for each rare word of each text."""
     raw, at = flat(batch.column("text"))
     raw = LOWER[raw]
     n = batch.num_rows
-    inner, ends_at = _context_keys(raw, at)
-    cost = np.concatenate(([0.0], np.cumsum(table[inner], dtype=np.float64)))
-    score = cost[at[1:]] - cost[at[:-1]] + table[ends_at]
+    cost = np.concatenate(([0.0], np.cumsum(model.costs(*_symbols(raw, at)), dtype=np.float64)))
+    bounds = at + np.arange(n + 1)  # each text has its end besides its bytes
+    score = cost[bounds[1:]] - cost[bounds[:-1]]
     starts, ends, first = words(raw, at)
     token = word_hashes(raw, starts, ends).view(np.int64)
     text = np.repeat(np.arange(n), np.diff(first))
@@ -225,17 +272,20 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     frequent = vocabulary.filter(F.col("n") >= least).toPandas() if least is not None else vocabulary.limit(0).toPandas()
     end = vocabulary.filter(F.col("key") == END_HASH).collect()
     frequent = frequent[frequent.key != END_HASH].sort_values("key")
-    trie = counts.filter("kind = 1").select("key", "n").toPandas()
-    head = Head(frequent.key.to_numpy(np.int64), frequent.n.to_numpy(np.int64), total, kinds, trie.key.to_numpy(np.int64), trie.n.to_numpy(np.float64))
+    trie = counts.filter("kind = 1").select("key", "n").toPandas().sort_values("key")
+    symbols = int(trie.n.sum())
+    nodes = counts.filter((F.col("kind") == 2) & (F.col("n") * NODES >= symbols)).select("key", "n").toPandas().sort_values("key")
+    arrays = [x for df in (trie, nodes) for x in (df.key.to_numpy(np.int64), df.n.to_numpy(np.float64))]
+    head = Head(frequent.key.to_numpy(np.int64), frequent.n.to_numpy(np.int64), total, kinds, *arrays)
     shared = spark.sparkContext.broadcast(head)
     ident = shared._jbroadcast.id() if shared._jbroadcast is not None else id(head)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        table = _table(ident, own)
+        model = _model(ident, own)
         uid = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            yield _slice_rows(batch, own, table, uid)
+            yield _slice_rows(batch, own, model, uid)
             uid += batch.num_rows
 
     kind = rows.schema["doc_id"].dataType.simpleString()
