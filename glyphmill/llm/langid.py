@@ -184,7 +184,7 @@ class Identifier:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits a symbol for each text and language; symbols of each text."""
         listed = [words_of(t) for t in texts]
-        sizes = np.array([len(x) for x in listed])
+        sizes = np.array([len(x) for x in listed], dtype=np.int64)
         coded = pa.array([w for x in listed for w in x], pa.string()).dictionary_encode()
         unique = coded.dictionary.to_pylist()
         if len(self.known) + len(unique) > CACHE:

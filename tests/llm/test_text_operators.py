@@ -42,6 +42,8 @@ def test_language_without_labels(spark, docs):
     model = langid.learn(docs(ODD).withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify(docs(ODD), model).collect()} == {"und"}
     assert langid.identify(docs([]), model).count() == 0
+    few = spark.createDataFrame([(1, "ein kleiner hund", "yy")], "doc_id long, text string, lang string")  # nothing left to calibrate with
+    assert [r.lang_pred for r in langid.identify(few, langid.learn(few)).collect()] == ["yy"]
 
 
 def test_kneser_ney_is_a_distribution():
