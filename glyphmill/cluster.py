@@ -10,12 +10,20 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that the operators ask for where the session still has Spark's default.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
 _sent: set[str] = set()
 _own: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds the package's source to the application's Python files, once; workers need not have it installed."""
+    """Adds the package's source to the application's Python files, once; workers need not have it installed.
+
+    Arrow batches of the session are held to BATCH_BYTES, unless it sets them:
+    ten thousand long texts at a time would fill small executors.
+    """
+    if spark.conf.get(BATCH_KEY, BATCH_BYTES) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId not in _sent:
         root = Path(__file__).resolve().parent
