@@ -295,6 +295,7 @@ def _mapped(docs: DataFrame, vocabulary_json: str, id_col: str, text_col: str, w
         encoder = _load(shared.value)
         for batch in slices(batches, "_encoded"):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", *keep)], *(values if whole else hashes)(encoder, batch)], names=names)
+        encoder.words.clear()  # a worker outlives the task
 
     names = schema.names
     return source.mapInArrow(work, schema)

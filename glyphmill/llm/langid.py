@@ -279,17 +279,6 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Identifier:
     return made
 
 
-_in_use: list[Identifier] = []
-
-
-def _use(model: Identifier) -> Identifier:
-    """model; a worker that had another empties that one's cache, as its broadcast may outlive the query."""
-    if _in_use and _in_use[0] is not model:
-        _in_use[0].forget()
-    _in_use[:] = [model]
-    return model
-
-
 def identify(docs: DataFrame, model: Identifier, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (all columns but those of the same names) with lang_pred, score, rejected, cross_entropy. No shuffle."""
     added = ("lang_pred", "score", "rejected", "cross_entropy")
@@ -301,11 +290,12 @@ def identify(docs: DataFrame, model: Identifier, text_col: str = "text", keep: l
         schema = schema.add(name, kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _use(shared.value)
+        own = shared.value
         for batch in slices(batches, "_text_to_identify"):
             found = own.predict(batch.column("_text_to_identify").to_pylist())
             more = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *more], names=[*keep, *added])
+        own.forget()  # a worker and its broadcasts outlive the task
 
     return source.mapInArrow(work, schema)
 
