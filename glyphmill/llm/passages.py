@@ -327,7 +327,9 @@ def repeated(texts: DataFrame) -> DataFrame:
     once = by_text(by_seed(seeds)).select("h", "fp", "place")
     left = materialize(by_text(by_seed(once)))
     placed = left.withColumn("o", F.xxhash64("fp"))
-    hubs = placed.groupBy("h").agg(F.count("*").alias("n"), F.min_by("fp", "o").alias("hub"), F.min_by("place", "o").alias("hub_place"))
+    # the hash's upper bits, then the place: both minima fall on one row, whichever task comes first
+    least = F.col("o").bitwiseAND(F.lit(~0xFFFFF)).bitwiseOR(F.col("place").bitwiseAND(F.lit(0xFFFFF)))
+    hubs = placed.groupBy("h").agg(F.count("*").alias("n"), F.min_by("fp", least).alias("hub"), F.min_by("place", least).alias("hub_place"))
     placed = placed.join(hubs, "h")
     met = placed.repartition("h").sortWithinPartitions("h", "after", "o", "fp", "place").drop("o").mapInArrow(_pairs, "a long, b long, pa long, pb long, n long")
     spread = F.least(F.max("pa") - F.min("pa"), F.max("pb") - F.min("pb")) + K
@@ -363,7 +365,8 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = texts.schema["doc_id"].dataType.simpleString()
     found = repeated(texts)
     rows = materialize(texts.mapInArrow(_fingerprints, f"doc_id {kind}, n_words long, fp long"))
-    first = rows.filter(F.col("n_words") >= LEAST - LEAST // SLOPPY).groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    # written, so that the join is of two plain shuffles and a text of very many copies can be split
+    first = materialize(rows.filter(F.col("n_words") >= LEAST - LEAST // SLOPPY).groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     name = lambda side, own: first.select(F.col("fp").alias(side), F.col("least").alias(own))
     pairs = found.join(name("a", "doc_id"), "a").join(name("b", "other_id"), "b")
     pairs = pairs.select("doc_id", "other_id", F.col("start_a").alias("start_word"), F.col("end_a").alias("end_word"), F.col("start_b").alias("other_start"), F.col("end_b").alias("other_end"), "edits", F.lit("passage").alias("kind"))
