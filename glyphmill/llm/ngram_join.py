@@ -259,7 +259,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     named = _named(docs, id_col, text_col, width, percent)
-    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # written, so that the join is of two plain shuffles and a component of very many rows can be split
+    least = materialize(named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")))
     return named.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
