@@ -8,16 +8,12 @@
    dropped. Then, text by text, seeds go that do not lie in a stretch of shared
    seeds, at most APART words apart, that spans SPAN words and covers COVER: a
    short line goes here however many documents hold it.
-3. In each run of a seed the rows are sorted by the shared seeds that follow in
-   their text, then by a hash of the text, and each is paired with the run's hub
-   (the text of least hash), the first with the same FOLLOW seeds, and the one
-   before it: a number
-   in proportion to the rows, however many share a seed. Texts that repeat a
-   passage share runs of seeds, so they stand together there. Up to SMALL texts
-   of a run are all paired. Two texts are compared if they met in such a small
-   run or if the places where they met span a passage. What is reported is pairs
-   and the membership of copies; that two texts both repeat a third's passage
-   is not always listed a second time.
+3. Each text of a seed's run is compared with the run's hub, the text of least
+   hash. A text whose place there lies in no passage with the hub is then compared
+   with every text of the run: no pair is capped. So two texts that share a
+   passage and a seed in it are compared, or both have a passage with one hub
+   over a seed that they share, which is how the texts of a large group are
+   reported: by membership in the hub's stretch.
 4. Compared texts meet each other's seeds. The matches of two texts are merged along diagonals and chained: the best
    predecessor of each, ending before it in both texts, comes from a Fenwick tree
    of prefix maxima over places in the second text, swept along the first; a gap
@@ -48,8 +44,6 @@ K, W = 8, 12
 LEAST, SLOPPY = 50, 5
 #: Words between seeds of one passage at most; what a passage's seeds span and what they cover at least.
 APART, SPAN, COVER = 32, LEAST - 2 * (W - 1), 16
-#: Seeds after one that order its run; texts of a run that are all paired by the rule.
-FOLLOW, SMALL = 3, 3
 GAP = 0.1
 #: Words on either side of a chain that the alignment may extend over; matching words that an edit there must be followed by.
 MARGIN, FIRM = 64, 4
@@ -111,50 +105,15 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (fp, place): those in a stretch that could hold a passage, with a hash of the seeds that follow there."""
+    """Of rows by (fp, place): those in a stretch that could hold a passage."""
     for batch in whole_groups(batches, ["fp"]):
-        h, fp, place = (batch.column(c).to_numpy() for c in ("h", "fp", "place"))
+        fp, place = (batch.column(c).to_numpy() for c in ("fp", "place"))
         cut = np.r_[0, np.flatnonzero((fp[1:] != fp[:-1]) | (place[1:] - place[:-1] > APART)) + 1, len(fp)]
         own = np.minimum(np.r_[place[1:] - place[:-1], K], K)  # words that the next seed does not cover too
         own[cut[1:] - 1] = K
         long = (place[cut[1:] - 1] + K - place[cut[:-1]] >= SPAN) & (np.add.reduceat(own, cut[:-1]) >= COVER)
         keep = np.repeat(long, np.diff(cut))
-        end = np.repeat(cut[1:], np.diff(cut))
-        after = np.zeros(len(h), U64)
-        for j in range(1, FOLLOW + 1):
-            at = np.minimum(np.arange(len(h)) + j, end - 1)
-            after = mix(after + np.where(np.arange(len(h)) + j < end, h[at], 0).view(U64) + U64(j))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(after.view(np.int64))], names=["h", "fp", "place", "after"]).filter(pa.array(keep))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (h, after) and an order: each paired with the hub of its h, the first of its (h, after) and the row before."""
-    kept: pa.RecordBatch | None = None
-    head = (0, 0)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        old = 0 if kept is None else 1
-        batch = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-        h, after, fp, place, n, hub, hub_place = (batch.column(c).to_numpy() for c in ("h", "after", "fp", "place", "n", "hub", "hub_place"))
-        start = np.r_[True, (h[1:] != h[:-1]) | (after[1:] != after[:-1])]
-        first = np.maximum.accumulate(np.where(start, np.arange(len(h)), 0))
-        top, top_place = fp[first], place[first]
-        if old:  # the first group goes on from the batch before
-            top[first == 0], top_place[first == 0] = head
-        late = np.arange(old, len(h))
-        i = late[late >= 1]
-        i = i[h[i] == h[i - 1]]
-        parts = [np.stack([fp[late], place[late], other[late], at[late], n[late]]) for other, at in ((hub, hub_place), (top, top_place))]
-        parts.append(np.stack([fp[i], place[i], fp[i - 1], place[i - 1], n[i]]))
-        a, pa_, b, pb, n = np.concatenate(parts, axis=1)
-        swap = a > b
-        a, b, pa_, pb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, pb, pa_), np.where(swap, pa_, pb)
-        some = np.flatnonzero(a != b)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (a, b, pa_, pb, n)], names=["a", "b", "pa", "pb", "n"])
-        head = (top[-1], top_place[-1])
-        kept = batch.slice(batch.num_rows - 1)
+        yield batch.filter(pa.array(keep))
 
 
 def segments(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,23 +282,32 @@ def repeated(texts: DataFrame) -> DataFrame:
     """Passages between the distinct texts of texts (text), by fingerprint: a, b, their word spans, edits."""
     seeds = texts.select("text").mapInArrow(_seeds, "h long, fp long, place long")
     by_seed = lambda d: d.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, "h long, fp long, place long")
-    by_text = lambda d: d.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_stretches, "h long, fp long, place long, after long")
-    once = by_text(by_seed(seeds)).select("h", "fp", "place")
-    left = materialize(by_text(by_seed(once)))
-    placed = left.withColumn("o", F.xxhash64("fp"))
+    by_text = lambda d: d.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_stretches, "h long, fp long, place long")
+    left = rows = materialize(by_text(by_seed(by_text(by_seed(seeds)))))
+    tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), rows.select("fp")))
     # the hash's upper bits, then the place: both minima fall on one row, whichever task comes first
-    least = F.col("o").bitwiseAND(F.lit(~0xFFFFF)).bitwiseOR(F.col("place").bitwiseAND(F.lit(0xFFFFF)))
-    hubs = placed.groupBy("h").agg(F.count("*").alias("n"), F.min_by("fp", least).alias("hub"), F.min_by("place", least).alias("hub_place"))
-    placed = placed.join(hubs, "h")
-    met = placed.repartition("h").sortWithinPartitions("h", "after", "o", "fp", "place").drop("o").mapInArrow(_pairs, "a long, b long, pa long, pb long, n long")
-    spread = F.least(F.max("pa") - F.min("pa"), F.max("pb") - F.min("pb")) + K
-    compared = met.groupBy("a", "b").agg(F.min("n").alias("n"), spread.alias("spread")).filter((F.col("n") <= SMALL) | (F.col("spread") >= SPAN)).select("a", "b")
+    least = F.xxhash64("fp").bitwiseAND(F.lit(~0xFFFFF)).bitwiseOR(F.col("place").bitwiseAND(F.lit(0xFFFFF)))
+    hubs = rows.groupBy("h").agg(F.count("*").alias("many"), F.min_by("fp", least).alias("hub"), F.min_by("place", least).alias("hub_place")).filter("many > 1")
+    met = materialize(rows.select("h", "fp", "place").join(hubs, "h").filter("fp <> hub").withColumns({"a": F.least("fp", "hub"), "b": F.greatest("fp", "hub")}))
+    first = materialize(met.select("a", "b").distinct())
+    found = _between(left, tokens, first)
+    # who has no passage with the hub at this place meets every text of the run
+    side = lambda c: F.when(F.col("fp") == F.col("a"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    other = lambda c: F.when(F.col("fp") == F.col("a"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
+    inside = (F.col("place") >= side("start")) & (F.col("place") < side("end")) & (F.col("hub_place") >= other("start")) & (F.col("hub_place") < other("end"))
+    covered = met.join(found, ["a", "b"]).filter(inside).select("h", "fp", "place").distinct()
+    alone = met.filter("many > 2").select("h", "fp", "place").join(covered, ["h", "fp", "place"], "left_anti").select("h", F.col("fp").alias("one")).distinct()
+    rest = alone.join(rows.select("h", F.col("fp").alias("two")).distinct(), "h").filter("one <> two")
+    rest = rest.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    return materialize(found.unionAll(_between(left, tokens, materialize(rest))))
+
+
+def _between(left: DataFrame, tokens: DataFrame, compared: DataFrame) -> DataFrame:
+    """The passages between the texts of compared (a, b), by the seeds in left (h, fp, place)."""
     seeds_of = left.groupBy("fp").agg(F.collect_list(F.struct("h", "place")).alias("s"))
     own = lambda side: seeds_of.select(F.col("fp").alias(side), F.col("s.h").alias(f"h{side}"), F.col("s.place").alias(f"p{side}"))
     linked = compared.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ha", "pa", "hb", "pb").mapInArrow(_chain, "a long, b long, ya array<long>, xa array<long>, size array<long>")
     linked = materialize(linked)
-    wanted = linked.select(F.col("a").alias("fp")).unionAll(linked.select("b"))
-    tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), wanted))
     part = lambda side, key: tokens.select(F.col("fp").alias(side), F.col("values").alias(key))
     cut = lambda v, at, start: F.slice(v, F.col(start) + 1, F.element_at(at, -1) + F.element_at("size", -1) + MARGIN - F.col(start))
     begin = lambda at: F.greatest(F.lit(0), F.element_at(at, 1) - MARGIN).cast("int")

@@ -289,6 +289,30 @@ def test_passages(spark, docs):
     assert passages.find_passages(docs([])).count() == 0
 
 
+def _linked(rows):
+    """Pairs of documents with a passage between them or one that overlaps at a third."""
+    spans = collections.defaultdict(list)
+    for r in rows:
+        spans[r.doc_id].append((r.other_id, r.start_word, r.end_word))
+        spans[r.other_id].append((r.doc_id, r.other_start, r.other_end))
+    out = {frozenset((r.doc_id, r.other_id)) for r in rows}
+    for own in spans.values():
+        out |= {frozenset((x[0], y[0])) for x, y in itertools.combinations(own, 2) if x[1] < y[2] and y[1] < x[2]}
+    return out
+
+
+def test_no_link_is_lost_in_a_common_run(spark, docs):
+    fresh = iter(f"u{i}" for i in itertools.count())
+    filler = lambda n: [next(fresh) for _ in range(n)]
+    heads, tails = ([[f"{c}{i}x{j}" for j in range(30)] for i in range(5)] for c in "pq")
+    rows, want = [], set()
+    for k, (head, tail) in enumerate(itertools.product(heads, tails)):  # each half stands in ten texts, both in two
+        rows += [(2 * k + side, " ".join([*filler(30), *head, *filler(1), *tail, *filler(30)])) for side in (0, 1)]
+        want.add(frozenset((2 * k, 2 * k + 1)))
+    got = _linked(passages.find_passages(docs(rows)).collect())
+    assert got == want
+
+
 # ---- pipeline
 
 
