@@ -1,17 +1,18 @@
 """Fuzzy passages that repeat across documents, by seeds, collinear chains and alignment.
 
-1. Seeds are runs of K words, thinned to the minimizers of W neighbouring runs:
-   documents that share K + W - 1 words in a row share a seed. A seed that a text
+1. Every run of K words is a seed (W = 1: none is left out). A seed that a text
    repeats is told apart by its rank there, so that periodic text stays linear.
    Equal texts are one node, known by a fingerprint of its words.
-2. Seeds are shuffled by hash, sorted and streamed; those of one text only are
-   dropped. Then, text by text, seeds go that do not lie in a stretch of shared
-   seeds, at most APART words apart, that spans SPAN words and covers COVER: a
-   short line goes here however many documents hold it.
+2. A stretch of LEAST words with at most EDITS edits keeps at least MANY of its
+   seeds, within WIDE places of either text. Seeds are shuffled by hash, sorted and
+   streamed; those of one text only are dropped. Then, text by text, seeds go that
+   lie in no WIDE places with MANY shared seeds. Of any WIDE places the MANY - 1
+   most frequent seeds need not pair texts, since two texts that share MANY there
+   share a rarer one: a common line inside a longer stretch goes here.
 3. Each text of a seed's run is compared with the run's hub, the text of least
    hash. A text whose place there lies in no passage with the hub is then compared
    with every text of the run: no pair is capped. So two texts that share a
-   passage and a seed in it are compared, or both have a passage with one hub
+   passage within the bound are compared, or both have a passage with one hub
    over a seed that they share, which is how the texts of a large group are
    reported: by membership in the hub's stretch.
 4. Compared texts meet each other's seeds. The matches of two texts are merged along diagonals and chained: the best
@@ -40,33 +41,24 @@ from pyspark.sql import functions as F
 from ._kernel import LOWER, U64, flat, fold, mix, runs, shared_runs, shingles, slices, whole_groups, word_hashes, words
 from ._store import likely, materialize, once_each
 
-K, W = 8, 12
+K, W = 6, 1
 LEAST, SLOPPY = 50, 5
-#: Words between seeds of one passage at most; what a passage's seeds span and what they cover at least.
-APART, SPAN, COVER = 32, LEAST - 2 * (W - 1), 16
+#: Edits in LEAST words up to which a passage is sure to be compared; the seeds that it then keeps, and the places they lie in.
+EDITS = 6
+MANY, WIDE = LEAST - K + 1 - K * EDITS, LEAST - K + 1 + EDITS
+#: Words that so many seeds cover.
+COVER = MANY + K - 1
 GAP = 0.1
 #: Words on either side of a chain that the alignment may extend over; matching words that an edit there must be followed by.
 MARGIN, FIRM = 64, 4
 
 
 def minimizers(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the seeds of a word sequence."""
+    """Hash and place of the seeds of a word sequence: all its runs of K words."""
     if len(word) < K:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     seed = shingles(word, K)
-    if len(seed) <= W:
-        at = np.flatnonzero(seed == seed.min())
-    else:  # the least of each W: a seed that is the least of one of the windows it lies in
-        low = np.minimum(seed[:-1], seed[1:])
-        low = np.minimum(low[:-2], low[2:])
-        low = np.minimum(low[: len(seed) - W + 1], np.minimum(low[4 : len(seed) - W + 5], low[8:]))
-        pad = np.zeros(W - 1, U64)
-        high = np.concatenate((pad, low, pad))
-        high = np.maximum(high[:-1], high[1:])
-        high = np.maximum(high[:-2], high[2:])
-        high = np.maximum(high[: len(seed)], np.maximum(high[4 : len(seed) + 4], high[8:]))
-        at = np.flatnonzero(seed == high)
-    return seed[at], at
+    return seed, np.arange(len(seed))
 
 
 def ranked(seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +96,44 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "fp", "place"])
 
 
+def _windows(fp: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of rows by (fp, place): how many rows the WIDE places from each row's on hold."""
+    text = np.cumsum(np.r_[0, fp[1:] != fp[:-1]])
+    at = text * (int(place.max()) + 2 * WIDE) + place
+    return np.searchsorted(at, at + WIDE, "left") - np.arange(len(at))
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (fp, place): those in a stretch that could hold a passage."""
+    """Of rows by (fp, place): those in WIDE places that hold MANY of them."""
+    for batch in whole_groups(batches, ["fp"]):
+        size = _windows(batch.column("fp").to_numpy(), batch.column("place").to_numpy())
+        good = np.flatnonzero(size >= MANY)
+        edge = np.zeros(len(size) + 1, np.int64)
+        np.add.at(edge, good, 1)
+        np.add.at(edge, good + size[good], -1)
+        yield batch.filter(pa.array(np.cumsum(edge[:-1]) > 0))
+
+
+def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by (fp, place): those that are not among the MANY - 1 of largest (n, h) of all WIDE places they lie in."""
     for batch in whole_groups(batches, ["fp"]):
-        fp, place = (batch.column(c).to_numpy() for c in ("fp", "place"))
-        cut = np.r_[0, np.flatnonzero((fp[1:] != fp[:-1]) | (place[1:] - place[:-1] > APART)) + 1, len(fp)]
-        own = np.minimum(np.r_[place[1:] - place[:-1], K], K)  # words that the next seed does not cover too
-        own[cut[1:] - 1] = K
-        long = (place[cut[1:] - 1] + K - place[cut[:-1]] >= SPAN) & (np.add.reduceat(own, cut[:-1]) >= COVER)
-        keep = np.repeat(long, np.diff(cut))
-        yield batch.filter(pa.array(keep))
+        h, fp, place, n = (batch.column(c).to_numpy() for c in ("h", "fp", "place", "n"))
+        order = np.lexsort((h, n))
+        key = np.empty(len(h), np.int32)
+        key[order] = np.cumsum(np.r_[0, (h[order][1:] != h[order][:-1]).astype(np.int32)])
+        size = _windows(fp, place)
+        best = np.full(len(h), -1, np.int32)
+        good = np.flatnonzero(size >= MANY)
+        for at in range(0, len(good), 1 << 14):
+            own = good[at : at + (1 << 14)]
+            step = np.arange(int(size[own].max()))
+            held = step < size[own][:, None]
+            table = np.where(held, key[np.minimum(own[:, None] + step, len(h) - 1)], np.int32(-1))
+            limit = np.partition(table, len(step) - MANY, axis=1)[:, len(step) - MANY]
+            for j in step:  # own + j holds no place twice
+                some = own[held[:, j]] + j
+                best[some] = np.maximum(best[some], limit[held[:, j]])
+        yield batch.filter(pa.array(key <= best))
 
 
 def segments(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,12 +203,12 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = high - low  # 2 at most on either side: keys tell repeats apart
             inner = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             y, x = np.repeat(ya, many), yb[inner]
-            if not len(y) or min(y.max() - y.min(), x.max() - x.min()) + K < SPAN:
+            if len(y) < MANY:
                 continue
             own = segments(y, x)
             for chain in chains(*own):
                 s, t, n = (v[chain] for v in own)
-                if n.sum() >= COVER and min(s[-1] + n[-1] - s[0], t[-1] + n[-1] - t[0]) >= SPAN:
+                if n.sum() >= COVER:
                     for name, value in zip(out, (batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), s, t, n), strict=True):
                         out[name].append(value)
         if out["a"]:
@@ -234,6 +254,9 @@ def align_chain(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size
         a, b = todo.pop()
         s, e, t, f, edits = _passage(u, v, ys[a:b], xs[a:b], size[a:b], sum(gap[a : b - 1]))
         long = min(e - s, f - t)
+        if long < LEAST:
+            s, e, t, f, edits = _stretched(u, v, ys[a:b], xs[a:b], size[a:b], sum(gap[a : b - 1]))
+            long = min(e - s, f - t)
         if long >= LEAST and edits * SLOPPY <= long:
             out.append((s, e, t, f, edits))
         elif b - a > 1:
@@ -248,6 +271,39 @@ def _passage(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: l
     return ys[0] - i, ys[-1] + size[-1] + p, xs[0] - j, xs[-1] + size[-1] + q, edits + e + f
 
 
+def _reaches(u: list, v: list) -> list[tuple[int, int]]:
+    """How far u and v match from their start, in each, with 0, 1, ... LEAST // SLOPPY edits."""
+    far, out = {}, []
+    for e in range(LEAST // SLOPPY + 1):
+        new = {}
+        for d in range(-e, e + 1):  # v's place less u's
+            i = max(far.get(d, -2) + 1, far.get(d - 1, -1), far.get(d + 1, -2) + 1) if e else 0
+            i = min(i, len(u), len(v) - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < len(u) and i + d < len(v) and u[i] == v[i + d]:
+                i += 1
+            new[d] = i
+        far = new
+        out.append(max(((i, i + d) for d, i in far.items()), key=min))
+    return out
+
+
+def _stretched(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: list[int], edits: int) -> tuple[int, int, int, int, int]:
+    """As _passage, by the longest ends that any edits allow, for chains that FIRM ends leave too short."""
+    y, x = ys[-1] + size[-1], xs[-1] + size[-1]
+    before = _reaches(u[max(0, ys[0] - MARGIN) : ys[0]][::-1].tolist(), v[max(0, xs[0] - MARGIN) : xs[0]][::-1].tolist())
+    after = _reaches(u[y : y + MARGIN].tolist(), v[x : x + MARGIN].tolist())
+    best = (ys[0], y, xs[0], x, edits)
+    for e, (i, j) in enumerate(before):
+        for f, (p, q) in enumerate(after):
+            now = (ys[0] - i, y + p, xs[0] - j, x + q, edits + e + f)
+            long = min(now[1] - now[0], now[3] - now[2])
+            if now[4] * SLOPPY <= long and long > min(best[1] - best[0], best[3] - best[2]):
+                best = now
+    return best
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -283,7 +339,9 @@ def repeated(texts: DataFrame) -> DataFrame:
     seeds = texts.select("text").mapInArrow(_seeds, "h long, fp long, place long")
     by_seed = lambda d: d.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, "h long, fp long, place long")
     by_text = lambda d: d.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_stretches, "h long, fp long, place long")
-    left = rows = materialize(by_text(by_seed(by_text(by_seed(seeds)))))
+    left = materialize(by_text(by_seed(by_text(by_seed(seeds)))))
+    counted = left.join(left.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
+    rows = materialize(counted.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_pairing, "h long, fp long, place long, n long"))
     tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), rows.select("fp")))
     # the hash's upper bits, then the place: both minima fall on one row, whichever task comes first
     least = F.xxhash64("fp").bitwiseAND(F.lit(~0xFFFFF)).bitwiseOR(F.col("place").bitwiseAND(F.lit(0xFFFFF)))

@@ -313,6 +313,24 @@ def test_no_link_is_lost_in_a_common_run(spark, docs):
     assert got == want
 
 
+@pytest.mark.parametrize("edits", [3, 5, 7])
+def test_passages_with_edits_are_found(spark, docs, edits):
+    rng = random.Random(edits)
+    fresh = iter(f"u{i}" for i in itertools.count())
+    filler = lambda n: [next(fresh) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(30):
+        own = filler(60)
+        other = list(own)
+        at = [(i + 1) * 60 // (edits + 1) for i in range(edits)] if k % 2 else rng.sample(range(60), edits)
+        for i in at:
+            other[i] = next(fresh)
+        rows += [(2 * k, " ".join([*filler(25), *own, *filler(25)])), (2 * k + 1, " ".join([*filler(25), *other, *filler(25)]))]
+        want.add((2 * k, 2 * k + 1))
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.find_passages(docs(rows)).collect()}
+    assert got == want
+
+
 # ---- pipeline
 
 
