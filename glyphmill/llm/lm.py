@@ -6,11 +6,13 @@ feeds. In a context with n symbols of d kinds, a kind seen m times has
 probability m / (n + d) and escape has d / (n + d) (method C). After an escape,
 the symbols of the longer context are excluded: they no longer count in n and d
 of the shorter one. What no order knows is uniform over the symbols left. The
-model is pretrained on the training rows. Up to order 2 the trie is whole, at
-most 257 * (2^16 + 2^8 + 1) nodes whatever the corpus; of order 3 it has the
-nodes that make up at least one in NODES of the training symbols, which can be
-no more than NODES. So the trie is what is broadcast. A worker lays out the code
-lengths of order 2 as one table; order 3 corrects them by two lookups a byte.
+model is pretrained on the training rows, and every node counted there takes part.
+Up to order 2 the trie is broadcast, at most 257 * (2^16 + 2^8 + 1) nodes whatever
+the corpus; so are the most frequent contexts of order 3, whole, while their nodes
+are at most NODES. A worker lays out the code lengths of order 2 as one table;
+order 3 corrects them by two lookups a byte. The other contexts of order 3 grow
+with the corpus; they are joined, in rows that carry one document's occurrences of
+one symbol in one such context.
 
 Unigrams. Every distinct word of the corpus has its count; that table grows with
 the corpus and is never collected. The most frequent words, at most HEAD of them,
@@ -34,14 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._kernel import LOWER, U64, flat, slices, word_hashes, words
+from ._kernel import LOWER, U64, flat, runs, slices, whole_groups, word_hashes, words
 from ._store import materialize
 
 SYMBOLS, END, START = 257, 256, 10
 #: Most words whose counts are broadcast; distinct keys that a task gathers before it passes them on.
 HEAD, GATHER = 1 << 17, 1 << 20
-#: Most nodes of order 3.
+#: Most nodes of order 3 that are broadcast.
 NODES = 1 << 21
+#: Kinds of rows that are scored: a text's rare word, its own, its symbol in a rare context.
+WORD, OWN, NODE = range(3)
 #: Stands for the end of a text among word hashes.
 END_HASH = -1
 
@@ -146,7 +150,7 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Head:
-    """What is sent to every worker: the frequent words by hash with their counts, N, V and the trie's counts by sorted key."""
+    """What is sent to every worker: the frequent words by hash with their counts, N, V and the trie's counts by sorted key; whether contexts are left to the join."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -156,6 +160,7 @@ class Head:
     key_counts: np.ndarray
     nodes: np.ndarray
     node_counts: np.ndarray
+    more: bool
 
 
 class Model:
@@ -165,35 +170,54 @@ class Model:
         self.table = code_lengths(head.keys, head.key_counts)
         self.seen = np.zeros(len(self.table), bool)
         self.seen[head.keys] = True
-        n2, d2 = np.bincount(head.keys // SYMBOLS, weights=head.key_counts, minlength=1 << 16), np.bincount(head.keys // SYMBOLS, minlength=1 << 16)
-        self.nodes = head.nodes
-        self.contexts, inverse = np.unique(head.nodes // SYMBOLS, return_inverse=True)
-        n3, d3 = np.bincount(inverse, weights=head.node_counts), np.bincount(inverse)
-        low = self.contexts & 0xFFFF
-        self.node_cost = np.log10(head.node_counts / (n3 + d3)[inverse]).astype(np.float32)
-        # order 2 without the symbols that order 3 has told apart
-        same = np.searchsorted(head.keys, low[inverse] * SYMBOLS + head.nodes % SYMBOLS)
-        n2x = n2[low] - np.bincount(inverse, weights=head.key_counts[same])
-        d2x = d2[low] - d3
-        left = np.maximum(n2x + d2x, 1)
-        escape = np.log10(d3 / (n3 + d3))
-        e2x, e2 = np.where(d2x > 0, d2x / left, 1.0), d2[low] / (n2[low] + d2[low])
-        self.if_seen = (escape + np.log10((n2[low] + d2[low]) / left)).astype(np.float32)
-        self.if_not = (escape + np.log10(np.maximum(e2x, 1e-300) / e2)).astype(np.float32)
-
-    def costs(self, low: np.ndarray, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol."""
+        self.more, self.nodes = head.more, head.nodes
+        self.contexts, _, self.node_cost, self.if_seen, self.if_not = corrections(head, head.nodes, head.node_counts)
+
+    def costs(self, low: np.ndarray, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of each symbol; which of them are those of order 2, to be corrected by the join."""
         cost = self.table[low]
+        rest = np.full(len(cost), self.more)
         if not len(self.nodes):
-            return cost
+            return cost, rest
         at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
         some = np.flatnonzero(self.contexts[at] == context)
+        rest[some] = False
         at = at[some]
         key = context[some].astype(np.int64) * SYMBOLS + symbol[some]
         node = np.minimum(np.searchsorted(self.nodes, key), len(self.nodes) - 1)
         lower = cost[some] + np.where(self.seen[low[some]], self.if_seen[at], self.if_not[at])
         cost[some] = np.where(self.nodes[node] == key, self.node_cost[node], lower)
-        return cost
+        return cost, rest
+
+
+def corrections(head: Head, nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole contexts of order 3, nodes by sorted key: the contexts, the index of each node's, each node's cost, and what
+    a context adds to the cost at order 2 of a symbol that it has not seen, where order 2 has seen it and where not."""
+    n2, d2 = np.bincount(head.keys // SYMBOLS, weights=head.key_counts, minlength=1 << 16), np.bincount(head.keys // SYMBOLS, minlength=1 << 16)
+    contexts, inverse = np.unique(nodes // SYMBOLS, return_inverse=True)
+    n3, d3 = np.bincount(inverse, weights=counts), np.bincount(inverse)
+    low = contexts & 0xFFFF
+    cost = np.log10(counts / (n3 + d3)[inverse]).astype(np.float32)
+    # order 2 without the symbols that order 3 has told apart
+    same = np.searchsorted(head.keys, low[inverse] * SYMBOLS + nodes % SYMBOLS)
+    n2x = n2[low] - np.bincount(inverse, weights=head.key_counts[same])
+    d2x = d2[low] - d3
+    left = np.maximum(n2x + d2x, 1)
+    escape = np.log10(d3 / (n3 + d3))
+    e2x, e2 = np.where(d2x > 0, d2x / left, 1.0), d2[low] / (n2[low] + d2[low])
+    if_seen = (escape + np.log10((n2[low] + d2[low]) / left)).astype(np.float32)
+    if_not = (escape + np.log10(np.maximum(e2x, 1e-300) / e2)).astype(np.float32)
+    return contexts, inverse, cost, if_seen, if_not
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBatch]:
+    """Of nodes (context, key, n) by (context, key): a row for each context."""
+    for batch in whole_groups(batches, ["context"]):
+        nodes, n = batch.column("key").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+        contexts, inverse, cost, if_seen, if_not = corrections(head, nodes, n)
+        at = pa.array(runs(inverse), pa.int32())
+        symbols, costs = pa.array((nodes % SYMBOLS).astype(np.int32)), pa.array(cost)
+        yield pa.RecordBatch.from_arrays([pa.array(contexts), pa.array(if_seen), pa.array(if_not), pa.ListArray.from_arrays(at, symbols), pa.ListArray.from_arrays(at, costs)], names=["key", "if_seen", "if_not", "symbols", "costs"])
 
 
 _laid: dict[int, Model] = {}
@@ -208,12 +232,22 @@ def _model(ident: int, head: Head) -> Model:
 
 
 def _slice_rows(batch: pa.RecordBatch, head: Head, model: Model, uid: int) -> pa.RecordBatch:
-    """One row for each text with what the frequent words give, then one for each rare word of each text."""
+    """One row for each text with what is broadcast gives, then one for each rare word of each text and for each symbol in a rare context."""
     raw, at = flat(batch.column("text"))
     raw = LOWER[raw]
     n = batch.num_rows
-    cost = np.concatenate(([0.0], np.cumsum(model.costs(*_symbols(raw, at)), dtype=np.float64)))
+    low, context, symbol = _symbols(raw, at)
+    each, rest = model.costs(low, context, symbol)
     bounds = at + np.arange(n + 1)  # each text has its end besides its bytes
+    rest = np.flatnonzero(rest)
+    rest_text, rest_node = np.searchsorted(bounds, rest, "right") - 1, context[rest].astype(np.int64) * SYMBOLS + symbol[rest]
+    order = np.lexsort((rest_node, rest_text))
+    rest, rest_text, rest_node = rest[order], rest_text[order], rest_node[order]
+    node_cut = np.flatnonzero(np.r_[True, (rest_text[1:] != rest_text[:-1]) | (rest_node[1:] != rest_node[:-1])]) if len(rest) else np.zeros(0, np.int64)
+    node_times, node = np.diff(np.r_[node_cut, len(rest)]), rest[node_cut]
+    node_cost, node_seen = each[node].astype(np.float64), model.seen[low[node]]
+    each[rest] = 0
+    cost = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
     score = cost[bounds[1:]] - cost[bounds[:-1]]
     starts, ends, first = words(raw, at)
     token = word_hashes(raw, starts, ends).view(np.int64)
@@ -231,22 +265,24 @@ def _slice_rows(batch: pa.RecordBatch, head: Head, model: Model, uid: int) -> pa
     rare_text, rare = text[~frequent][order], token[~frequent][order]
     cut = np.flatnonzero(np.r_[True, (rare_text[1:] != rare_text[:-1]) | (rare[1:] != rare[:-1])]) if len(rare) else np.zeros(0, np.int64)
     times = np.diff(np.r_[cut, len(rare)])
-    m = len(cut)
-    uids = np.concatenate((np.arange(uid, uid + n), uid + rare_text[cut]))
-    # a text's own row goes by the end token: spread over all tasks, it is joined with nothing
-    keys = np.concatenate(((np.arange(uid, uid + n).astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64), rare[cut]))
-    own = np.concatenate((np.ones(n, bool), np.zeros(m, bool)))
-    mask = ~own
+    m, k = len(cut), len(node)
+    uids = np.concatenate((np.arange(uid, uid + n), uid + rare_text[cut], uid + rest_text[node_cut]))
+    # a text's own row is joined with nothing: its key spreads it over all tasks
+    keys = np.concatenate(((np.arange(uid, uid + n).astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64), rare[cut], context[node]))
+    kinds = np.repeat(np.array([OWN, WORD, NODE], np.int8), (n, m, k))
 
     def only(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.array(np.concatenate((values, np.zeros(m, values.dtype))), kind, mask=mask)
+        return pa.concat_arrays([pa.array(values, kind), pa.nulls(m + k, kind)])
+
+    def of_node(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.concat_arrays([pa.nulls(n + m, kind), pa.array(values, kind)])
 
     ids = batch.column("doc_id")
-    ids = pa.concat_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.nulls(m, ids.type)])
-    held = pa.concat_arrays([batch.column("held_out"), pa.nulls(m, pa.bool_())])
+    ids = pa.concat_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.nulls(m + k, ids.type)])
+    held = pa.concat_arrays([batch.column("held_out"), pa.nulls(m + k, pa.bool_())])
     return pa.RecordBatch.from_arrays(
-        [pa.array(uids, pa.int64()), pa.array(keys, pa.int64()), pa.array(own), pa.array(np.concatenate((np.ones(n, np.int64), times)), pa.int64()), ids, held, only(size, pa.int64()), only(known, pa.int64()), only(base, pa.float64()), only(score, pa.float64()), only(np.diff(at), pa.int64())],
-        names=["uid", "key", "own", "times", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"],
+        [pa.array(uids, pa.int64()), pa.array(keys, pa.int64()), pa.array(kinds), pa.array(np.concatenate((np.ones(n, np.int64), times, node_times)), pa.int64()), ids, held, only(size, pa.int64()), only(known, pa.int64()), only(base, pa.float64()), only(score, pa.float64()), only(np.diff(at), pa.int64()), of_node(symbol[node], pa.int32()), of_node(node_cost, pa.float64()), of_node(node_seen, pa.bool_())],
+        names=["uid", "key", "kind", "times", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes", "symbol", "cost", "seen"],
     )
 
 
@@ -273,10 +309,19 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     end = vocabulary.filter(F.col("key") == END_HASH).collect()
     frequent = frequent[frequent.key != END_HASH].sort_values("key")
     trie = counts.filter("kind = 1").select("key", "n").toPandas().sort_values("key")
-    symbols = int(trie.n.sum())
-    nodes = counts.filter((F.col("kind") == 2) & (F.col("n") * NODES >= symbols)).select("key", "n").toPandas().sort_values("key")
+    # frequent contexts: as with words, while their nodes fit
+    grams = counts.filter("kind = 2").select(F.floor(F.col("key") / SYMBOLS).alias("context"), "key", "n")
+    contexts = grams.groupBy("context").agg(F.sum("n").alias("all"), F.count("*").alias("nodes"))
+    common, fits, more = None, 0, False
+    for r in sorted(contexts.groupBy(F.floor(F.log2("all") * 8).alias("step")).agg(F.sum("nodes").alias("nodes"), F.min("all").alias("least")).collect(), key=lambda r: -r["step"]):
+        if (fits := fits + r["nodes"]) > NODES:
+            more = True
+            break
+        common = r["least"]
+    split = grams if not more else materialize(grams.join(contexts.select("context", "all"), "context"))
+    nodes = (split if not more else split.limit(0) if common is None else split.filter(F.col("all") >= common)).select("key", "n").toPandas().sort_values("key")
     arrays = [x for df in (trie, nodes) for x in (df.key.to_numpy(np.int64), df.n.to_numpy(np.float64))]
-    head = Head(frequent.key.to_numpy(np.int64), frequent.n.to_numpy(np.int64), total, kinds, *arrays)
+    head = Head(frequent.key.to_numpy(np.int64), frequent.n.to_numpy(np.int64), total, kinds, *arrays, more)
     shared = spark.sparkContext.broadcast(head)
     ident = shared._jbroadcast.id() if shared._jbroadcast is not None else id(head)
 
@@ -289,14 +334,24 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             uid += batch.num_rows
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(work, f"uid long, key long, own boolean, times long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    parts = rows.mapInArrow(work, f"uid long, key long, kind tinyint, times long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long, symbol int, cost double, seen boolean")
     rest = vocabulary if least is None else vocabulary.filter(F.col("n") < least)
-    joined = parts.join(rest.select("key", F.col("n").alias("c")), "key", "left")
+    table = rest.select(F.lit(WORD).cast("tinyint").alias("kind"), "key", F.col("n").alias("c"))
+    if more:
+        left = split if common is None else split.filter(F.col("all") < common)
+        made = left.select("context", "key", "n").repartition("context").sortWithinPartitions("context", "key").mapInArrow(lambda batches: _context_rows(batches, shared.value), "key long, if_seen float, if_not float, symbols array<int>, costs array<float>")
+        table = table.unionByName(made.withColumn("kind", F.lit(NODE).cast("tinyint")), allowMissingColumns=True)
+    joined = parts.join(table, ["kind", "key"], "left").withColumn("own", F.col("kind") == OWN)
+    of_score = F.when(F.col("own"), F.col("score"))
+    if more:
+        at = F.array_position("symbols", F.col("symbol"))
+        lower = F.col("cost") + F.coalesce(F.when(F.col("seen"), F.col("if_seen")).otherwise(F.col("if_not")), F.lit(0.0))
+        of_score = of_score.when(F.col("kind") == NODE, F.col("times") * F.when(at > 0, F.get("costs", at.cast("int") - 1)).otherwise(lower))
     floor = F.log10(F.lit(float(total + kinds + 1)))
-    log = F.when(F.col("own"), F.col("base_score")).otherwise(F.col("times") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - floor))
-    known = F.when(F.col("own"), F.col("n_known")).otherwise(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0))
+    log = F.when(F.col("own"), F.col("base_score")).when(F.col("kind") == WORD, F.col("times") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - floor))
+    known = F.when(F.col("own"), F.col("n_known")).otherwise(F.when((F.col("kind") == WORD) & F.col("c").isNotNull(), F.col("times")).otherwise(0))
     first = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
-    summed = joined.groupBy("uid").agg(first("doc_id"), first("held_out"), first("n_tokens"), F.sum(known).alias("n_known"), F.sum(log).alias("base_score"), first("score"), first("n_bytes"))
+    summed = joined.groupBy("uid").agg(first("doc_id"), first("held_out"), first("n_tokens"), F.sum(known).alias("n_known"), F.sum(log).alias("base_score"), F.sum(of_score).alias("score"), first("n_bytes"))
     ends = end[0]["n"] if end else 0
     return summed.select(
         "doc_id",

@@ -184,6 +184,19 @@ def test_ppm_is_that_of_the_definition(spark, docs):
         assert total == pytest.approx(1)
 
 
+@pytest.mark.parametrize("nodes", [0, 4, 40])
+def test_scores_do_not_depend_on_what_is_broadcast(spark, docs, nodes, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aaaabbc d") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", "zq zq", "éé"]
+    score = lambda: {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(docs(texts), ~lm.held_out(F.col("doc_id"))).collect()}
+    whole = score()
+    monkeypatch.setattr(lm, "NODES", nodes)
+    got = score()
+    assert len(got) == len(texts)
+    for i, want in whole.items():
+        assert got[i] == pytest.approx(want, rel=1e-5)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return bpe.Vocabulary.from_json(bpe.read_vocabulary(vocabulary_path()))
