@@ -17,7 +17,7 @@ _V = r"(?:,? ?(?:version|v|ver) ?)?"
 _THE = r"(?:the )?"
 
 LICENSES: tuple[tuple[str, str, str, str], ...] = (
-    ("mit", "mit licen", r"mit(?: x11| expat)? licen[sc]e", r"mit"),
+    ("mit", "mit ", r"mit(?: x11| expat)? licen[sc]e", r"mit"),
     ("mit", "expat licen", r"expat licen[sc]e", r"expat"),
     ("mit-0", "mit no attribution", r"mit no attribution(?: licen[sc]e)?", r"mit 0"),
     ("x11", "x11 licen", r"x11 licen[sc]e", r"x11"),
@@ -30,16 +30,16 @@ LICENSES: tuple[tuple[str, str, str, str], ...] = (
     ("bsd-2", "simplified bsd", r"simplified bsd licen[sc]e", r""),
     ("bsd-2", "freebsd licen", r"freebsd licen[sc]e", r""),
     ("bsd-3", "3 clause", r"(?:bsd )?3 clause(?: bsd)? licen[sc]e", r"bsd 3 clause"),
-    ("bsd-3", "new bsd", r"(?:new|modified|revised) bsd licen[sc]e|new bsd", r""),
+    ("bsd-3", " bsd", r"(?:new|modified|revised) bsd licen[sc]e|new bsd", r""),
     ("bsd-4", "4 clause", r"(?:bsd )?4 clause(?: bsd)? licen[sc]e", r"bsd 4 clause"),
     ("bsd-4", "original bsd", r"original bsd licen[sc]e", r""),
-    ("bsd", "bsd licen", r"bsd(?: style)? licen[sc]e", r"bsd"),
-    ("bsd-patent", "bsd patent", r"bsd patent licen[sc]e|bsd 2 clause plus patent", r"bsd 2 clause patent"),
+    ("bsd", "bsd ", r"bsd(?: style)? licen[sc]e", r"bsd"),
+    ("bsd-patent", " patent", r"bsd patent licen[sc]e|bsd 2 clause plus patent", r"bsd 2 clause patent"),
     ("apache-1.0", "apache", rf"apache(?: software)? licen[sc]e {_V}1 0", r"apache 1 0"),
     ("apache-1.1", "apache", rf"apache(?: software)? licen[sc]e {_V}1 1", r"apache 1 1"),
     ("apache-2", "apache", rf"apache(?: software)? licen[sc]e {_V}2(?: 0)?", r"apache 2 0|apache 2"),
     ("apache", "apache", r"apache(?: software)? licen[sc]e", r"apache"),
-    ("gpl-1", "general public licen", rf"gnu general public licen[sc]e {_V}1(?: 0)?|gnu gpl {_V}1(?: 0)?", r"gpl 1 0(?: only| or later)?|gplv1"),
+    ("gpl-1", "gnu g", rf"gnu general public licen[sc]e {_V}1(?: 0)?|gnu gpl {_V}1(?: 0)?", r"gpl 1 0(?: only| or later)?|gplv1"),
     ("gpl-2", "general public licen", rf"(?:gnu )?general public licen[sc]e {_V}2(?: 0)?", r"gpl 2 0(?: only| or later)?|gplv2"),
     ("gpl-3", "general public licen", rf"(?:gnu )?general public licen[sc]e {_V}3(?: 0)?", r"gpl 3 0(?: only| or later)?|gplv3"),
     ("gpl-2", "gpl", rf"(?:gnu )?gpl ?{_V}2(?: 0)?", r""),
@@ -104,7 +104,7 @@ LICENSES: tuple[tuple[str, str, str, str], ...] = (
     ("odc-by-1", "open data commons attribution", rf"open data commons attribution licen[sc]e(?: {_V}1 0)?", r"odc by 1 0"),
     ("pddl-1", "public domain dedication and licen", rf"(?:odc )?public domain dedication and licen[sc]e(?: {_V}1 0)?", r"pddl 1 0"),
     ("cdla-permissive", "community data licen", r"community data licen[sc]e agreement permissive(?: version [12] 0)?", r"cdla permissive [12] 0"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m| \+\+)?(?: licen[sc]e)?", r"openrail"),
+    ("openrail", "rail", r"(?:creativeml |bigscience )?open ?rail(?: m| \+\+)?(?: licen[sc]e)?", r"openrail"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
     ("cc0", "creative commons zero", r"creative commons zero(?: 1 0)?(?: universal)?", r""),
     ("cc-by", "cc by", r"cc by(?: [1-4] [05])?", r"cc by [1-4] [05]"),

@@ -93,6 +93,44 @@ def test_every_rule_holds_its_keyword():
         assert any(r.label == label and r.keyword in text and re.search(r.pattern, text) for r in rules())
 
 
+def _every(parsed):
+    """All strings that a parsed pattern matches."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(arg)]
+        elif kind == "IN":
+            own = [chr(c) for k, x in arg for c in ([x] if str(k) == "LITERAL" else range(x[0], x[1] + 1))]
+        elif kind == "SUBPATTERN":
+            own = _every(arg[3])
+        elif kind == "BRANCH":
+            own = [x for branch in arg[1] for x in _every(branch)]
+        elif kind == "MAX_REPEAT":
+            assert arg[:2] == (0, 1)
+            own = ["", *_every(arg[2])]
+        else:
+            assert kind == "ASSERT_NOT"
+            own = [""]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_every_alternative_holds_its_keyword():
+    gate = re.compile(licenses.GATE)
+    for r in rules():
+        if not r.name.startswith("notice"):  # a notice ends in the name, whose keyword it has
+            for text in _every(re._parser.parse(r.pattern)):
+                assert r.keyword in text and gate.search(text), (r.name, text)
+    assert {r.keyword for r in rules() if r.name.startswith("notice")} <= {r.keyword for r in rules() if r.name.startswith("name")}
+
+
+def test_licences_of_every_wording(spark, docs):
+    want = {"BSD-style license": "bsd", "Open RAIL-M license": "openrail", "modified BSD license": "bsd-3", "MIT X11 license": "mit", "BSD 2-clause plus patent": "bsd-patent", "GNU GPL version 1": "gpl-1"}
+    got = {r.doc_id: [p["label"] for p in r.detections] for r in licenses.scan(docs(list(want))).collect()}
+    assert got == {i: [label] for i, label in enumerate(want.values())}
+
+
 def test_media(spark, docs):
     got = {r.doc_id: r for r in media.to_media(docs(ODD, extra=True)).collect()}
     for i, text in enumerate(ODD):
