@@ -4,8 +4,9 @@ Texts are compared as bytes after lower-casing A-Z and turning each run of ASCII
 blanks and punctuation into one blank. A benchmark item of m such bytes occurs
 in a document if some stretch of it is at most e = m / 10 edits away (fewer where
 the lemma below would say nothing). Items of more than PIECE bytes are searched
-by overlapping pieces; items under LEAST bytes are too short to tell and are not
-searched.
+by overlapping pieces; items under LEAST bytes are searched as they are, without
+edits, from word bound to word bound. So part of an item is found only if it holds
+a whole piece.
 
 Q-gram lemma: such an occurrence shares at least t = m - q + 1 - q e q-grams with
 the item, on diagonals that lie within e of the one it starts on. The k most
@@ -24,14 +25,14 @@ ids may be null or repeat, on either side; equal rows give equal rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernel import U64, flat, mix, slices
+from ._kernel import U64, flat, mix, slices, word_hashes
 
 Q, PIECE, STRIDE, LEAST, BLOCK = 8, 400, 200, 24, 16 << 20
 #: Edits that an occurrence may have are one in so many bytes.
@@ -77,15 +78,29 @@ class Index:
     piece: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
+    #: Items of less than LEAST bytes by their bytes, and of those the numbers of words and the sorted hashes.
+    short: dict[bytes, list] = field(default_factory=dict)
+    spans: list[int] = field(default_factory=list)
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
+
+
+def _short(index: Index, short: dict[bytes, list]) -> Index:
+    if short:
+        size = np.array([len(k) for k in short])
+        index.short, index.spans = short, sorted({k.count(b" ") + 1 for k in short})
+        index.hashes = np.sort(word_hashes(np.frombuffer(b"".join(short), np.uint8), np.cumsum(size) - size, np.cumsum(size)))
+    return index
 
 
 def build(items: list, texts: list[str | None]) -> Index:
     """The index of a block of items."""
-    ids, pieces = [], []
+    ids, pieces, short = [], [], {}
     for item, text in zip(items, texts, strict=True):
         raw, at = flat(pa.array([text], pa.string()))
         x, _, _ = normalize(raw, at)
         x = x[:-1] if len(x) and x[-1] == 32 else x
+        if 0 < len(x) < LEAST:
+            short.setdefault(x.tobytes(), []).append(item)
         starts = list(range(0, max(1, len(x) - PIECE + 1), STRIDE))
         if starts[-1] + PIECE < len(x):
             starts.append(len(x) - PIECE)
@@ -112,7 +127,7 @@ def build(items: list, texts: list[str | None]) -> Index:
     unique, first = np.unique(grams[order], return_index=True)
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[(mix(unique) >> U64(64 - SIEVE)).astype(np.int64)] = True
-    return Index(ids, pieces, np.array(edits, np.int64), np.array(need, np.int64), unique, np.r_[first, len(grams)].astype(np.int64), piece[order], place[order], sieve)
+    return _short(Index(ids, pieces, np.array(edits, np.int64), np.array(need, np.int64), unique, np.r_[first, len(grams)].astype(np.int64), piece[order], place[order], sieve), short)
 
 
 def _hits(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,12 +209,33 @@ class Match:
     edits: int
 
 
+def _search_short(x: np.ndarray, bounds: np.ndarray, origin: np.ndarray, at: np.ndarray, index: Index) -> list[Match]:
+    """The first place of each short item in each text."""
+    word = x != 32
+    edge = np.zeros(len(x) + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
+    ends = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
+    text = np.searchsorted(bounds, starts, "right") - 1
+    found: dict[tuple[int, bytes], tuple[int, int]] = {}
+    for many in index.spans:
+        a, b = starts[: max(0, len(starts) - many + 1)], ends[many - 1 :]
+        own = np.flatnonzero((text[: len(a)] == text[many - 1 :]) & (b - a < LEAST))
+        h = word_hashes(x, a[own], b[own])
+        some = own[index.hashes[np.minimum(np.searchsorted(index.hashes, h), len(index.hashes) - 1)] == h]
+        for i in some.tolist():
+            if (key := x[a[i] : b[i]].tobytes()) in index.short:
+                found.setdefault((int(text[i]), key), (int(a[i]), int(b[i])))
+    return [Match(t, item, int(origin[a] - at[t]), int(origin[b - 1] + 1 - at[t]), 0) for (t, key), (a, b) in sorted(found.items()) for item in index.short[key]]
+
+
 def search(batch: pa.RecordBatch, index: Index) -> list[Match]:
     """The best occurrence of each item in each text of the batch."""
     raw, at = flat(batch.column("text"))
     x, bounds, origin = normalize(raw, at)
+    short = _search_short(x, bounds, origin, at, index) if index.short and len(x) else []
     if not index.pieces or len(x) < Q:
-        return []
+        return short
     piece, first = _bands(x, index)
     # the text in which most of the band lies; one at a border is tried in both
     near = [np.searchsorted(bounds, np.clip(first + o, 0, len(x) - 1), "right") - 1 for o in (0, 1)]
@@ -216,7 +252,7 @@ def search(batch: pa.RecordBatch, index: Index) -> list[Match]:
                 a = bounds[t] + max(0, stop - len(index.pieces[p]))
                 where = [int(origin[min(max(q, bounds[t]), bounds[t + 1] - 1)]) - int(at[t]) for q in (a, bounds[t] + stop - 1)]
                 found[t, p] = Match(t, index.items[p], where[0], where[1] + 1, c)
-    return [found[k] for k in sorted(found)]
+    return [found[k] for k in sorted(found)] + short
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
@@ -253,7 +289,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 if found := search(batch, shared.value):
                     ids = batch.column("doc_id").take(pa.array([m.text for m in found]))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([m.item for m in found], _arrow(shared.value.items)), *[pa.array([getattr(m, c) for m in found], pa.int64()) for c in ("start", "end", "edits")]],
+                        [ids, pa.array([m.item for m in found], _arrow([m.item for m in found])), *[pa.array([getattr(m, c) for m in found], pa.int64()) for c in ("start", "end", "edits")]],
                         names=["doc_id", "item_id", "start", "end", "edits"],
                     )
 

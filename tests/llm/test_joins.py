@@ -214,6 +214,14 @@ def test_leak_tables(spark, docs):
     assert dc.find_leaks(docs(rows), benchmark.limit(0)).count() == 0 and dc.find_leaks(docs([]), benchmark).count() == 0
 
 
+def test_short_items_are_found_whole(spark, docs):
+    benchmark = spark.createDataFrame([(1, "Who is it?"), (2, "it"), (3, "is it"), (4, " "), (5, "WHO is it"), (6, "éa")], "item_id long, text string")
+    texts = ["So - who IS  it, then; who is it", "whois it", "its", "", None, "it", "who is", "it éa", "éab"]
+    got = {(r.doc_id, r.item_id): texts[r.doc_id].encode()[r.start : r.end].decode() for r in dc.find_leaks(docs(texts), benchmark).collect()}
+    assert got == {(0, 1): "who IS  it", (0, 2): "it", (0, 3): "IS  it", (0, 5): "who IS  it", (1, 2): "it", (5, 2): "it", (7, 2): "it", (7, 6): "éa"}
+    assert sorted(r.doc_id for r in dc.decontaminate(docs(texts), benchmark).collect()) == [2, 3, 4, 6, 8]
+
+
 def test_pieces_cover_long_items():
     for n in (399, 400, 401, 600, 601, 799, 800, 1300):
         text = "".join(random.Random(n).choices("abcdefghij", k=n))
