@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import materialize
@@ -15,6 +16,12 @@ from ..cluster import materialize
 BITS = 1 << 23
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer referred to; it does so as both sides collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rows (fp, ...) without most of those whose fp is not in wanted (fp), and without losing one that is.
 

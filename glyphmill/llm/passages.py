@@ -1,64 +1,65 @@
 """Fuzzy passages that repeat across documents, by seeds, collinear chains and alignment.
 
-1. Every run of K words is a seed (W = 1: none is left out). A seed that a text
-   repeats is told apart by its rank there, so that periodic text stays linear.
+1. A run of K words has a key, its hash; one that a text repeats is told apart by its
+   rank there, so that periodic text stays linear. It is a seed if its key is a
+   multiple of KEEP, so every text keeps or leaves the same runs.
    Equal texts are one node, known by a fingerprint of its words.
-2. A stretch of LEAST words with at most EDITS edits keeps at least MANY of its
-   seeds, within WIDE places of either text. Seeds are shuffled by hash, sorted and
-   streamed; those of one text only are dropped. Then, text by text, seeds go that
-   lie in no WIDE places with MANY shared seeds. Of any WIDE places the MANY - 1
-   most frequent seeds need not pair texts, since two texts that share MANY there
-   share a rarer one: a common line inside a longer stretch goes here.
-3. Each text of a seed's run is compared with the run's hub, the text of least
-   hash. A text whose place there lies in no passage with the hub is then compared
-   with every text of the run: no pair is capped. So two texts that share a
-   passage within the bound are compared, or both have a passage with one hub
-   over a seed that they share, which is how the texts of a large group are
-   reported: by membership in the hub's stretch.
-4. Compared texts meet each other's seeds. The matches of two texts are merged along diagonals and chained: the best
-   predecessor of each, ending before it in both texts, comes from a Fenwick tree
-   of prefix maxima over places in the second text, swept along the first; a gap
-   costs GAP for each word it skips in either text.
+2. Seeds are shuffled by hash, sorted and streamed; those of one text only are
+   dropped. The first text of a run is its hub. Seeds of a large share of the texts
+   (found while fingerprints are made) are dealt out by text as well, each part with
+   a hub of its own, and the parts' hubs are joined to the least of them.
+3. Text by text, a seed pairs its text with the hub if some WIDE places around it
+   hold MANY shared seeds, SPAN places apart, that are no rarer than itself. Of the
+   seeds that two texts share in a stretch the rarest does so, in both. Seeds of a
+   common line do not: what is as frequent spans less.
+4. The text and the hub meet around that place. Their matching runs are merged along
+   diagonals and chained: the best predecessor of each, ending before it in both
+   texts, comes from a Fenwick tree of prefix maxima over places in the second text,
+   swept along the first; a gap costs GAP for each word it skips in either text.
 5. A chain's gaps are aligned by edit distance and its ends extended over words
    that match but for few. A passage is at least LEAST words long on both sides,
    with at most one edit in SLOPPY words.
+6. Texts with a passage between them are one class. A hub whose seeds lie inside
+   those of another one there is tried only if its class is still another. Two texts
+   that share a passage and are in different classes still share parts of it with
+   different hubs: texts that meet the same two hubs in one stretch are tried with
+   each other, across classes. (If one hub has all the seeds of their passage, and
+   these span LEAST words, both have a passage with it.) Pairs within a class are
+   not listed.
 
 Defined results: null and wordless texts have no passages; texts equal in
 their words are copies: each copy but the one of least id is paired with that
-one over its whole length if it has LEAST words; null ids come first in that
-order and rows that repeat an id are rows of their own.
+one over its whole length if it has LEAST words, and that one with the copy of
+greatest id; null ids come first in that order and rows that repeat an id are
+rows of their own; an empty table has no passages; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernel import LOWER, U64, flat, fold, mix, runs, shared_runs, shingles, slices, whole_groups, word_hashes, words
-from ._store import likely, materialize, once_each
+from ._graph import components
+from ._kernel import LOWER, U64, flat, fold, mix, runs, shingles, slices, whole_groups, word_hashes, words
+from ._store import likely, materialize, once_each, settle
 
-K, W = 6, 1
+K, KEEP = 5, 2
 LEAST, SLOPPY = 50, 5
-#: Edits in LEAST words up to which a passage is sure to be compared; the seeds that it then keeps, and the places they lie in.
-EDITS = 6
-MANY, WIDE = LEAST - K + 1 - K * EDITS, LEAST - K + 1 + EDITS
-#: Words that so many seeds cover.
+#: The places of a stretch; the shared seeds that it must hold and the places from the first to the last of them.
+WIDE, MANY, SPAN = 51, 4, 18
+#: Words that a chain must match.
 COVER = MANY + K - 1
 GAP = 0.1
-#: Words on either side of a chain that the alignment may extend over; matching words that an edit there must be followed by.
+#: Words on either side of a chain or stretch that the alignment may extend over; matching words that an edit there must be followed by.
 MARGIN, FIRM = 64, 4
-
-
-def minimizers(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the seeds of a word sequence: all its runs of K words."""
-    if len(word) < K:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    seed = shingles(word, K)
-    return seed, np.arange(len(seed))
+#: Words that _extend compares at once.
+STEP = 64
+#: A seed that one in SHARE texts has is dealt out over PARTS by text; runs longer than LONG rows count as equally frequent.
+SHARE, PARTS, LONG = 128, 64, 1 << 16
 
 
 def ranked(seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +74,16 @@ def ranked(seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((keys, seed[order][last])), np.concatenate((at[order], at[order][last]))
 
 
+def seeds(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and place of the seeds of a word sequence."""
+    if len(word) < K:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    seed = shingles(word, K)
+    keys, at = ranked(seed, np.arange(len(seed)))
+    some = np.flatnonzero(keys % U64(KEEP) == 0)
+    return keys[some], at[some]
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     raw, at = flat(batch.column("text"))
     raw = LOWER[raw]
@@ -82,58 +93,210 @@ def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield token[a:b]
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text; then, with seed, how many texts of a slice have a seed that at least one in SHARE of them has."""
     seen: set[int] = set()
     for batch in slices(batches, "text"):
-        out = []
+        n, fp, own, fresh = [], [], [np.zeros(0, U64)], 0
         for word in _texts(batch):
-            if len(word) < LEAST - LEAST // SLOPPY or (ident := fold(word)) in seen:
-                continue
-            seen.add(ident)
-            h, at = ranked(*minimizers(word))
-            out.append((h.view(np.int64), np.full(len(h), ident, np.int64), at))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "fp", "place"])
+            n.append(len(word))
+            fp.append(fold(word))
+            if len(word) >= LEAST - LEAST // SLOPPY and fp[-1] not in seen:
+                seen.add(fp[-1])
+                own.append(np.unique(seeds(word)[0]))
+                fresh += 1
+        seed, times = np.unique(np.concatenate(own), return_counts=True)
+        often = np.flatnonzero((times * SHARE >= fresh) & (times > 2))
+        ids, m = batch.column("doc_id"), len(often)
+        ids = pa.concat_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.nulls(m, ids.type)])
+        every = np.concatenate((np.array(fp, np.int64), seed[often].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate((np.array(n, np.int64), times[often]))), pa.array(every), pa.array(np.arange(len(every)) >= len(fp))], names=["doc_id", "n_words", "fp", "seed"])
+
+
+def _seed_rows(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's seeds; those that are hot (sorted) with a part above 0, by text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text"):
+            out = []
+            for word in _texts(batch):
+                if len(word) < LEAST - LEAST // SLOPPY or (ident := fold(word)) in seen:
+                    continue
+                seen.add(ident)
+                h, at = seeds(word)
+                part = np.zeros(len(h), np.int16)
+                if len(hot) and len(h):
+                    part[hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h] = 1 + ident % PARTS
+                out.append((h.view(np.int64), part, np.full(len(h), ident, np.int64), at))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "part", "fp", "place"])
 
+    return work
 
-def _windows(fp: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Of rows by (fp, place): how many rows the WIDE places from each row's on hold."""
-    text = np.cumsum(np.r_[0, fp[1:] != fp[:-1]])
-    at = text * (int(place.max()) + 2 * WIDE) + place
-    return np.searchsorted(at, at + WIDE, "left") - np.arange(len(at))
 
+_RUN = "h long, part short, fp long, place long, n int, hub long, hub_place long"
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (fp, place): those in WIDE places that hold MANY of them."""
-    for batch in whole_groups(batches, ["fp"]):
-        size = _windows(batch.column("fp").to_numpy(), batch.column("place").to_numpy())
-        good = np.flatnonzero(size >= MANY)
-        edge = np.zeros(len(size) + 1, np.int64)
-        np.add.at(edge, good, 1)
-        np.add.at(edge, good + size[good], -1)
-        yield batch.filter(pa.array(np.cumsum(edge[:-1]) > 0))
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """First index of each run of rows that agree in all columns, then the number of rows."""
+    differs = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        differs[1:] |= c[1:] != c[:-1]
+    differs[:1] = True
+    return np.append(np.flatnonzero(differs), len(differs))
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by (h, part, fp, place): those of runs with more than one text, or of a part, with their number and the first of them.
+
+    Holds a run up to LONG rows; longer ones are passed on as they come. They, and
+    all parts, count LONG + 1 rows.
+    """
+    kept: list[np.ndarray] = []
+    long: tuple | None = None  # the run that is being passed on: its h, part, fp and place
+
+    def made(own: list[np.ndarray], n: np.ndarray, hub: np.ndarray, hub_place: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(n.astype(np.int32)), pa.array(hub), pa.array(hub_place)], names=["h", "part", "fp", "place", "n", "hub", "hub_place"])
+
+    def passed(own: list[np.ndarray]) -> pa.RecordBatch:
+        many = np.full(len(own[0]), 1, np.int64)
+        return made(own, many * (LONG + 1), many * long[2], many * long[3])
+
+    def work(own: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal kept, long
+        new = _starts(*own)[:-1]
+        own, kept = [c[new] for c in own], []
+        if long is not None:
+            many = int(((own[0] == long[0]) & (own[1] == long[1])).sum())  # they come first
+            if many:
+                yield passed([c[:many] for c in own])
+            own = [c[many:] for c in own]
+            if not len(own[0]):
+                return
+            long = None
+        h, part, fp, place = own
+        cut = _starts(h, part)
+        whole = len(cut) - 1 if last else len(cut) - 2
+        first, size = cut[:whole], np.diff(cut)[:whole]
+        shared = (fp[cut[1 : whole + 1] - 1] != fp[first]) | (part[first] > 0)
+        some = np.flatnonzero(np.repeat(shared, size))
+        if len(some):
+            run = np.repeat(np.arange(whole), size)[some]
+            n = np.where(part[first] > 0, LONG + 1, np.minimum(size, LONG + 1))
+            yield made([c[some] for c in own], n[run], fp[first][run], place[first][run])
+        rest = [c[cut[whole] :] for c in own]
+        if len(rest[0]) > LONG:
+            long = tuple(c[0] for c in rest)
+            yield passed(rest)
+        elif not last:
+            kept = rest
+
+    for batch in batches:
+        if batch.num_rows:
+            own = [batch.column(c).to_numpy() for c in ("h", "part", "fp", "place")]
+            yield from work([np.concatenate(c) for c in zip(kept, own, strict=True)] if kept else own, False)
+    if kept and len(kept[0]):
+        yield from work(kept, True)
 
 
-def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (fp, place): those that are not among the MANY - 1 of largest (n, h) of all WIDE places they lie in."""
+def _needed(pos: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a row's place and key stand, in some WIDE places, with MANY rows in all of no lower key, SPAN places apart.
+
+    Places of different texts are WIDE apart and more; pos is sorted, keys are above 0.
+    """
+    first = runs(pos)[:-1]
+    dense = np.zeros(int(pos[-1]) + WIDE + 1 if len(pos) else 0, np.int32)
+    dense[pos[first]] = np.maximum.reduceat(key, first) if len(pos) else 0
+    out = np.zeros(len(pos), bool)
+    step = np.arange(2 * WIDE - 1, dtype=np.int16)
+    for a in range(0, len(pos), 1 << 12):
+        own, least = pos[a : a + (1 << 12)], key[a : a + (1 << 12)]
+        high = dense[own[:, None] + (step - (WIDE - 1))[None, :]] >= least[:, None]
+        count = np.zeros((len(own), 2 * WIDE), np.int16)
+        np.cumsum(high, axis=1, out=count[:, 1:])
+        last = np.maximum.accumulate(np.where(high, step, np.int16(-1)), axis=1)[:, WIDE - 1 :]
+        begin = np.minimum.accumulate(np.where(high, step, np.int16(4 * WIDE))[:, ::-1], axis=1)[:, ::-1][:, :WIDE]
+        out[a : a + (1 << 12)] = ((count[:, WIDE:] - count[:, :WIDE] >= MANY) & (last - begin >= SPAN - 1)).any(axis=1)
+    return out
+
+
+_PAIR = "a long, b long, lo_a long, hi_a long, lo_b long, hi_b long, later boolean, h long"
+
+
+def _window(place: np.ndarray, other: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """Where the other text may match places low to high of this one, by places where they meet."""
+    begin = int((other - (place - low) * (SLOPPY + 1) // SLOPPY).min()) - MARGIN
+    return max(0, begin), int((other + (high - place) * (SLOPPY + 1) // SLOPPY).max()) + K + MARGIN
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by (fp, place): the windows in which texts meet hubs, and each two hubs that a text meets in one stretch.
+
+    In a stretch the hub with most rows comes first; one whose rows lie between
+    those of others before it comes later, and so does the least hub of a seed's parts.
+    """
     for batch in whole_groups(batches, ["fp"]):
-        h, fp, place, n = (batch.column(c).to_numpy() for c in ("h", "fp", "place", "n"))
+        h, fp, place, n, hub, hub_place, top, top_place = (batch.column(c).to_numpy() for c in ("h", "fp", "place", "n", "hub", "hub_place", "top", "top_place"))
         order = np.lexsort((h, n))
+        cut = runs(h[order])
         key = np.empty(len(h), np.int32)
-        key[order] = np.cumsum(np.r_[0, (h[order][1:] != h[order][:-1]).astype(np.int32)])
-        size = _windows(fp, place)
-        best = np.full(len(h), -1, np.int32)
-        good = np.flatnonzero(size >= MANY)
-        for at in range(0, len(good), 1 << 14):
-            own = good[at : at + (1 << 14)]
-            step = np.arange(int(size[own].max()))
-            held = step < size[own][:, None]
-            table = np.where(held, key[np.minimum(own[:, None] + step, len(h) - 1)], np.int32(-1))
-            limit = np.partition(table, len(step) - MANY, axis=1)[:, len(step) - MANY]
-            for j in step:  # own + j holds no place twice
-                some = own[held[:, j]] + j
-                best[some] = np.maximum(best[some], limit[held[:, j]])
-        yield batch.filter(pa.array(key <= best))
+        key[order] = np.repeat(np.arange(1, len(cut), dtype=np.int32), np.diff(cut))
+        texts = _starts(fp)
+        pos = place + np.repeat(np.r_[0, np.cumsum(place[texts[1:] - 1] + 2 * WIDE)[:-1]] + WIDE, np.diff(texts))
+        needed = _needed(pos, key)
+        some = np.flatnonzero(needed)
+        if not len(some):
+            continue
+        every = [c[n > 2] for c in (pos, fp, top, place, needed)]
+        pos, fp, place, hub, hub_place, top, top_place = (c[some] for c in (pos, fp, place, hub, hub_place, top, top_place))
+        cut = np.append(np.flatnonzero(np.r_[True, np.diff(pos) > WIDE]), len(pos))
+        low, high = place[cut[:-1]], place[cut[1:] - 1]
+        begin, end = np.maximum(low - MARGIN, 0), high + K + MARGIN
+        out: list[tuple] = []
+        for j, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            free = np.ones(e - s, bool)
+            names, at, times = np.unique(hub[s:e], return_inverse=True, return_counts=True)
+            for i in np.argsort(-times, kind="stable").tolist():
+                if names[i] != fp[s]:
+                    own = np.flatnonzero(at == i)
+                    later = not free[own].any()
+                    free[own[0] : own[-1] + 1] = False
+                    out.append((fp[s], names[i], begin[j], end[j], *_window(place[s:e][own], hub_place[s:e][own], int(low[j]), int(high[j])), later))
+            for z in np.unique(top[s:e][top[s:e] != hub[s:e]]):
+                if z != fp[s]:
+                    own = s + np.flatnonzero(top[s:e] == z)
+                    out.append((fp[s], z, begin[j], end[j], *_window(place[own], top_place[own], int(low[j]), int(high[j])), True))
+        name = ["a", "b", "lo_a", "hi_a", "lo_b", "hi_b", "later", "h"]
+        if out:
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.bool_()), pa.nulls(len(out), pa.int64())], names=name)
+        # the stretch that a row of few lies in, or near
+        at = np.searchsorted(pos[cut[:-1]] - WIDE, every[0], "right") - 1
+        near = (at >= 0) & (every[0] <= pos[cut[1:] - 1][at] + WIDE)
+        if near.any():
+            yield from _both(*[c[near] for c in every[1:]], at[near], begin, end, name)
+
+
+def _both(fp: np.ndarray, top: np.ndarray, place: np.ndarray, needed: np.ndarray, stretch: np.ndarray, begin: np.ndarray, end: np.ndarray, name: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each two hubs, b and h, that a text meets within WIDE places of a stretch, one of them at a seed that pairs texts."""
+    some = np.flatnonzero(top != fp)
+    cut = _starts(stretch[some], top[some], needed[some])
+    first, last = some[cut[:-1]], some[cut[1:] - 1]
+    out: set[tuple] = set()
+    seen: dict[tuple[int, bool], int] = {}
+    before = -1
+    for own, at, z, good, now, until in zip(*(c[first].tolist() for c in (fp, stretch, top, needed, place)), place[last].tolist(), strict=True):
+        if at != before:
+            seen, before = {}, at
+        for (y, other), then in seen.items():
+            if y != z and (good or other) and now - then <= WIDE:
+                out.add((own, min(y, z), max(y, z), at))
+        seen[z, good] = until
+    if out:
+        a, b, h, at = (np.array(c, np.int64) for c in zip(*sorted(out), strict=True))
+        where = [pa.array(c[at]) for c in (begin, end)]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *where, *where, pa.nulls(len(a), pa.bool_()), pa.array(h)], names=name)
 
 
 def segments(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,33 +353,10 @@ def chains(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts' seeds: each chain's segments as one row."""
-    for batch in batches:
-        column = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("ha", "pa", "hb", "pb")}
-        out = {"a": [], "b": [], "ya": [], "xa": [], "size": []}
-        for i in range(batch.num_rows):
-            ha, ya, hb, yb = (v[at[i] : at[i + 1]] for at, v in column.values())
-            by_a, by_b = np.argsort(ha, kind="stable"), np.argsort(hb, kind="stable")
-            ha, ya, hb, yb = ha[by_a], ya[by_a], hb[by_b], yb[by_b]
-            low, high = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
-            many = high - low  # 2 at most on either side: keys tell repeats apart
-            inner = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            y, x = np.repeat(ya, many), yb[inner]
-            if len(y) < MANY:
-                continue
-            own = segments(y, x)
-            for chain in chains(*own):
-                s, t, n = (v[chain] for v in own)
-                if n.sum() >= COVER:
-                    for name, value in zip(out, (batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), s, t, n), strict=True):
-                        out[name].append(value)
-        if out["a"]:
-            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-
 def _distance(u: list, v: list) -> int:
+    """Edits from u to v; of more than MARGIN words, as many as the longer one has."""
+    if max(len(u), len(v)) > MARGIN or not (u and v):
+        return max(len(u), len(v))
     row = list(range(len(v) + 1))
     for i, p in enumerate(u, 1):
         left = row[0]
@@ -230,10 +370,12 @@ def _extend(u: np.ndarray, v: np.ndarray) -> tuple[int, int, int]:
     """How far u and v match from their start, in each, over edits that FIRM equal words follow; and the edits."""
     i = j = edits = 0
     while True:
-        n = min(len(u) - i, len(v) - j)
+        n = min(len(u) - i, len(v) - j, STEP)
         bad = np.flatnonzero(u[i : i + n] != v[j : j + n])
         step = int(bad[0]) if len(bad) else n
         i, j = i + step, j + step
+        if step == STEP:
+            continue
         for cost, di, dj in ((1, 1, 1), (1, 1, 0), (1, 0, 1), (2, 2, 2), (2, 2, 1), (2, 1, 2), (2, 2, 0), (2, 0, 2), (3, 3, 3)):
             p, q = u[i + di : i + di + FIRM], v[j + dj : j + dj + FIRM]
             if len(p) == len(q) == FIRM and (p == q).all():
@@ -304,15 +446,42 @@ def _stretched(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size:
     return best
 
 
+def matches(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in u and in v of the runs of K words that both have, repeats met as ranked() says."""
+    if min(len(u), len(v)) < K:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    (h, y), (g, x) = (ranked(s, np.arange(len(s))) for s in (shingles(u, K), shingles(v, K)))
+    order = np.argsort(g, kind="stable")
+    g, x = g[order], x[order]
+    low, high = np.searchsorted(g, h, "left"), np.searchsorted(g, h, "right")
+    many = high - low  # 2 at most on either side: keys tell repeats apart
+    inner = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    return np.repeat(y, many), x[inner]
+
+
+def passages(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The passages between two word sequences: start and end in u, in v, and edits."""
+    y, x = matches(u, v)
+    if len(y) < MANY:
+        return []
+    own, out = segments(y, x), []
+    for chain in chains(*own):
+        s, t, n = (c[chain] for c in own)
+        if n.sum() < COVER or any(a <= s[0] and s[-1] + n[-1] <= b for a, b, *_ in out):
+            continue
+        out += align_chain(u, v, s.tolist(), t.tolist(), n.tolist())
+    return out
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their windows' words: each passage."""
     for batch in batches:
         good = []
-        scalar = [batch.column(c).to_pylist() for c in ("a", "b", "from_u", "from_v")]
-        listed = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("u", "v", "ya", "xa", "size")]
-        for i, (a, b, fu, fv) in enumerate(zip(*scalar, strict=True)):
-            u, v, ys, xs, size = (v[at[i] : at[i + 1]] for at, v in listed)
-            for s, e, t, f, edits in align_chain(u, v, (ys - fu).tolist(), (xs - fv).tolist(), size.tolist()):
-                good.append((a, b, fu + s, fu + e, fv + t, fv + f, edits))
+        scalar = [batch.column(c).to_pylist() for c in ("a", "b", "lo_a", "lo_b")]
+        listed = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy().view(np.uint32).astype(U64)) for c in ("u", "v")]
+        for i, (a, b, lo_a, lo_b) in enumerate(zip(*scalar, strict=True)):
+            u, v = (c[at[i] : at[i + 1]] for at, c in listed)
+            good += [(a, b, lo_a + s, lo_a + e, lo_b + t, lo_b + f, edits) for s, e, t, f, edits in passages(u, v)]
         if good:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*good, strict=True)], names=["a", "b", "start_a", "end_a", "start_b", "end_b", "edits"])
 
@@ -325,7 +494,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         ids, own = [], []
         for word in _texts(batch):
-            if len(word) and (ident := fold(word)) not in seen:
+            if len(word) >= LEAST - LEAST // SLOPPY and (ident := fold(word)) not in seen:
                 seen.add(ident)
                 ids.append(ident)
                 own.append((word >> U64(32)).astype(np.uint32).view(np.int32))
@@ -334,68 +503,94 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))], names=["fp", "values"])
 
 
-def repeated(texts: DataFrame) -> DataFrame:
-    """Passages between the distinct texts of texts (text), by fingerprint: a, b, their word spans, edits."""
-    seeds = texts.select("text").mapInArrow(_seeds, "h long, fp long, place long")
-    by_seed = lambda d: d.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, "h long, fp long, place long")
-    by_text = lambda d: d.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_stretches, "h long, fp long, place long")
-    left = materialize(by_text(by_seed(by_text(by_seed(seeds)))))
-    counted = left.join(left.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
-    rows = materialize(counted.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_pairing, "h long, fp long, place long, n long"))
-    tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), rows.select("fp")))
-    # the hash's upper bits, then the place: both minima fall on one row, whichever task comes first
-    least = F.xxhash64("fp").bitwiseAND(F.lit(~0xFFFFF)).bitwiseOR(F.col("place").bitwiseAND(F.lit(0xFFFFF)))
-    hubs = rows.groupBy("h").agg(F.count("*").alias("many"), F.min_by("fp", least).alias("hub"), F.min_by("place", least).alias("hub_place")).filter("many > 1")
-    met = materialize(rows.select("h", "fp", "place").join(hubs, "h").filter("fp <> hub").withColumns({"a": F.least("fp", "hub"), "b": F.greatest("fp", "hub")}))
-    first = materialize(met.select("a", "b").distinct())
-    found = _between(left, tokens, first)
-    # who has no passage with the hub at this place meets every text of the run
-    side = lambda c: F.when(F.col("fp") == F.col("a"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
-    other = lambda c: F.when(F.col("fp") == F.col("a"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
-    inside = (F.col("place") >= side("start")) & (F.col("place") < side("end")) & (F.col("hub_place") >= other("start")) & (F.col("hub_place") < other("end"))
-    covered = met.join(found, ["a", "b"]).filter(inside).select("h", "fp", "place").distinct()
-    alone = met.filter("many > 2").select("h", "fp", "place").join(covered, ["h", "fp", "place"], "left_anti").select("h", F.col("fp").alias("one")).distinct()
-    rest = alone.join(rows.select("h", F.col("fp").alias("two")).distinct(), "h").filter("one <> two")
-    rest = rest.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return materialize(found.unionAll(_between(left, tokens, materialize(rest))))
-
-
-def _between(left: DataFrame, tokens: DataFrame, compared: DataFrame) -> DataFrame:
-    """The passages between the texts of compared (a, b), by the seeds in left (h, fp, place)."""
-    seeds_of = left.groupBy("fp").agg(F.collect_list(F.struct("h", "place")).alias("s"))
-    own = lambda side: seeds_of.select(F.col("fp").alias(side), F.col("s.h").alias(f"h{side}"), F.col("s.place").alias(f"p{side}"))
-    linked = compared.join(own("a"), "a").join(own("b"), "b").select("a", "b", "ha", "pa", "hb", "pb").mapInArrow(_chain, "a long, b long, ya array<long>, xa array<long>, size array<long>")
-    linked = materialize(linked)
-    part = lambda side, key: tokens.select(F.col("fp").alias(side), F.col("values").alias(key))
-    cut = lambda v, at, start: F.slice(v, F.col(start) + 1, F.element_at(at, -1) + F.element_at("size", -1) + MARGIN - F.col(start))
-    begin = lambda at: F.greatest(F.lit(0), F.element_at(at, 1) - MARGIN).cast("int")
-    framed = linked.withColumns({"from_u": begin("ya"), "from_v": begin("xa")})
-    one = framed.join(part("a", "u"), "a").withColumn("u", cut("u", "ya", "from_u"))
-    two = one.join(part("b", "v"), "b").withColumn("v", cut("v", "xa", "from_v"))
-    return materialize(two.select("a", "b", "u", "v", "from_u", "from_v", "ya", "xa", "size").mapInArrow(_aligned, _FOUND))
+def _between(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The passages in the windows of pairs (a, b, lo_a, hi_a, lo_b, hi_b)."""
+    cut = lambda side: F.slice("values", F.col(f"lo_{side}").cast("int") + 1, (F.col(f"hi_{side}") - F.col(f"lo_{side}")).cast("int"))
+    one = pairs.join(tokens.withColumnRenamed("fp", "a"), "a").withColumn("u", cut("a")).drop("values")
+    two = one.join(tokens.withColumnRenamed("fp", "b"), "b").withColumn("v", cut("b"))
+    return materialize(two.select("a", "b", "lo_a", "lo_b", "u", "v").mapInArrow(_aligned, _FOUND))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        n, fp = np.array([(len(w), fold(w)) for w in _texts(batch)], dtype=np.int64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(fp)], names=["doc_id", "n_words", "fp"])
+def _class_of(rows: DataFrame, classes: DataFrame, side: str) -> DataFrame:
+    """rows with the class of the text in column side, as class_<side>."""
+    named = classes.select(F.col("node").alias(side), F.col("component").alias(f"class_{side}"))
+    return rows.join(named, side, "left").withColumn(f"class_{side}", F.coalesce(f"class_{side}", side))
+
+
+def _apart(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of rows (a, b) whose texts are of different classes."""
+    return _class_of(_class_of(rows, classes, "a"), classes, "b").filter("class_a <> class_b").drop("class_a", "class_b")
+
+
+def repeated(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Passages between the distinct texts of texts (text), by fingerprint: a, b, their word spans, edits.
+
+    hot: sorted hashes of seeds that are dealt out over PARTS.
+    """
+    found = texts.select("text").mapInArrow(_seed_rows(hot), "h long, part short, fp long, place long")
+    shared = materialize(found.repartition("h", "part").sortWithinPartitions("h", "part", "fp", "place").mapInArrow(_hubs, _RUN))
+    settle(texts.sparkSession)
+    # the hubs of a seed's parts meet the least of them; there are few such seeds, whatever the corpus
+    tops = shared.filter("part > 0 AND fp = hub")
+    least = F.broadcast(tops.groupBy("h").agg(F.min(F.struct("fp", "place")).alias("top")).select("h", F.col("top.fp").alias("top"), F.col("top.place").alias("top_place")))
+    rows = shared.drop("part").withColumns({"top": F.col("hub"), "top_place": F.col("hub_place")})
+    if len(hot):
+        rows = shared.drop("part").join(least, "h", "left").withColumns({"top": F.coalesce("top", "hub"), "top_place": F.coalesce("top_place", "hub_place")})
+        rows = rows.unionByName(tops.drop("part").join(least, "h").withColumns({"hub": F.col("top"), "hub_place": F.col("top_place")}))
+    met = materialize(rows.repartition("fp").sortWithinPartitions("fp", "place").mapInArrow(_pairs, _PAIR))
+    settle(texts.sparkSession)
+    pairs = met.filter("h IS NULL").drop("h")
+    wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
+    tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), wanted))
+    settle(texts.sparkSession)
+    linked = lambda f: components(f.select("a", "b"))
+    passages_ = _between(pairs.filter("NOT later"), tokens)
+    classes = linked(passages_)
+    rest = materialize(_apart(pairs.filter("later"), classes))
+    if not rest.isEmpty():
+        passages_ = passages_.unionAll(_between(rest, tokens))
+        classes = linked(passages_)
+    # texts that meet the same two hubs and are not of both hubs' class
+    members = met.filter("h IS NOT NULL").select("a", "b", "h", F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi"))
+    for c in ("a", "b", "h"):
+        members = _class_of(members, classes, c)
+    members = materialize(members)
+    mixed = materialize(members.filter("class_a <> class_b OR class_a <> class_h").select("b", "h").distinct())
+    if mixed.isEmpty():
+        return passages_
+    left = materialize(members.join(mixed, ["b", "h"], "left_semi"))
+    side = lambda s: left.select("b", "h", F.col("a").alias(f"fp_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.col("class_a").alias(f"class_{s}"))
+    across = side("a").join(side("b"), ["b", "h"]).filter("class_a < class_b").groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    across = across.agg(F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"))
+    return passages_.unionAll(_between(materialize(across), tokens))
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, other_id, start_word, end_word, other_start, other_end, edits, kind.
+    """doc_id, other_id, start_word, end_word, other_start, other_end, edits, kind, class_id.
 
-    kind `passage`: between the documents of least id of two different texts;
-    kind `copy`: a document whose words equal those of other_id throughout.
+    kind `passage`: between the documents of least id of two different texts, a row
+    for either; kind `copy`: a document whose words equal those of other_id throughout.
+    class_id: the least id of all documents that passages and copies connect with this one.
     """
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = repeated(texts)
-    rows = materialize(texts.mapInArrow(_fingerprints, f"doc_id {kind}, n_words long, fp long"))
-    # written, so that the join is of two plain shuffles and a text of very many copies can be split
-    first = materialize(rows.filter(F.col("n_words") >= LEAST - LEAST // SLOPPY).groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    name = lambda side, own: first.select(F.col("fp").alias(side), F.col("least").alias(own))
-    pairs = found.join(name("a", "doc_id"), "a").join(name("b", "other_id"), "b")
-    pairs = pairs.select("doc_id", "other_id", F.col("start_a").alias("start_word"), F.col("end_a").alias("end_word"), F.col("start_b").alias("other_start"), F.col("end_b").alias("other_end"), "edits", F.lit("passage").alias("kind"))
+    made = materialize(texts.mapInArrow(_fingerprints, f"doc_id {kind}, n_words long, fp long, seed boolean"))
+    rows = made.filter("NOT seed").drop("seed")
+    # at most SHARE times the seeds of a text, whatever the corpus
+    often = made.filter("seed").groupBy(F.col("fp").alias("h")).agg(F.sum("n_words").alias("n"))
+    hot = np.sort(np.array([r["h"] for r in often.filter(F.col("n") * SHARE >= rows.count()).select("h").toLocalIterator()], np.int64).view(U64))
+    found = repeated(texts, hot)
+    classes = components(found.select("a", "b"))
+    # written, so that the joins are of two plain shuffles and a text of very many copies can be split
+    first = rows.filter(F.col("n_words") >= LEAST - LEAST // SLOPPY).groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("n"))
+    first = materialize(_class_of(first, classes.withColumnRenamed("node", "node"), "fp"))
+    ids = first.groupBy("class_fp").agg(F.min("least").alias("class_id"))
+    first = materialize(first.join(ids, "class_fp"))
+    name = lambda side: first.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_id"), F.col("class_id").alias(f"{side}_class"))
+    pairs = found.join(name("a"), "a").join(name("b"), "b")
+    turned = lambda x, y: pairs.select(F.col(f"{x}_id").alias("doc_id"), F.col(f"{y}_id").alias("other_id"), F.col(f"start_{x}").alias("start_word"), F.col(f"end_{x}").alias("end_word"), F.col(f"start_{y}").alias("other_start"), F.col(f"end_{y}").alias("other_end"), "edits", F.lit("passage").alias("kind"), F.col(f"{x}_class").alias("class_id"))
     zero = F.lit(0).cast("long")
-    copies = rows.filter(F.col("n_words") >= LEAST).join(first.filter("n > 1"), "fp").filter(~F.col("doc_id").eqNullSafe(F.col("least")))
-    return pairs.unionAll(copies.select("doc_id", F.col("least").alias("other_id"), zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("other_start"), F.col("n_words").alias("other_end"), zero.alias("edits"), F.lit("copy").alias("kind")))
+    copies = rows.filter(F.col("n_words") >= LEAST).join(first.filter("n > 1"), "fp")
+    other = F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.col("greatest")).otherwise(F.col("least"))
+    copies = copies.select("doc_id", other.alias("other_id"), zero.alias("start_word"), F.col("n_words").alias("end_word"), zero.alias("other_start"), F.col("n_words").alias("other_end"), zero.alias("edits"), F.lit("copy").alias("kind"), "class_id")
+    return turned("a", "b").unionAll(turned("b", "a")).unionAll(copies)
