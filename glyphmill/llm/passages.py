@@ -1,12 +1,13 @@
 """Fuzzy passages that repeat across documents, by seeds, collinear chains and alignment.
 
-1. A run of K words has a key, its hash; one that a text repeats is told apart by its
-   rank there, so that periodic text stays linear. It is a seed if its key is a
-   multiple of KEEP, so every text keeps or leaves the same runs.
+1. A run of K words is a seed if its hash is a multiple of KEEP, or if it comes again
+   within K words: a property of the words there, so every text keeps or leaves the
+   same runs. One that a text repeats is told apart by its rank, so that periodic
+   text stays linear.
    Equal texts are one node, known by a fingerprint of its words.
 2. Seeds are shuffled by hash, sorted and streamed; those of one text only are
-   dropped. The first text of a run is its hub. Seeds of a large share of the texts
-   (found while fingerprints are made) are dealt out by text as well, each part with
+   dropped. The least text of a run is its hub. Seeds of a large share of the texts
+   (as a look at some of each slice has it; a hint that changes no pair) are dealt out by text as well, each part with
    a hub of its own, and the parts' hubs are joined to the least of them.
 3. Text by text, a seed pairs its text with the hub if some WIDE places around it
    hold MANY shared seeds, SPAN places apart, that are no rarer than itself. Of the
@@ -18,14 +19,15 @@
    swept along the first; a gap costs GAP for each word it skips in either text.
 5. A chain's gaps are aligned by edit distance and its ends extended over words
    that match but for few. A passage is at least LEAST words long on both sides,
-   with at most one edit in SLOPPY words.
+   with at most one edit in SLOPPY words, and so are its ends.
 6. Texts with a passage between them are one class. A hub whose seeds lie inside
    those of another one there is tried only if its class is still another. Two texts
    that share a passage and are in different classes still share parts of it with
-   different hubs: texts that meet the same two hubs in one stretch are tried with
-   each other, across classes. (If one hub has all the seeds of their passage, and
-   these span LEAST words, both have a passage with it.) Pairs within a class are
-   not listed.
+   different hubs, since a hub that has all its seeds, over LEAST words, has a passage
+   with either. So of the texts that meet the same two hubs in turn in one stretch, as far
+   apart, each is tried with the least one of another class: it has both parts, too.
+   All of this is linear in the rows. What can be left out is a link between texts
+   whose passage no two hubs cover. Pairs within a class are not listed.
 
 Defined results: null and wordless texts have no passages; texts equal in
 their words are copies: each copy but the one of least id is paired with that
@@ -47,90 +49,116 @@ from ._graph import components
 from ._kernel import LOWER, U64, flat, fold, mix, runs, shingles, slices, whole_groups, word_hashes, words
 from ._store import likely, materialize, once_each, settle
 
-K, KEEP = 5, 2
+K, KEEP = 5, 3
 LEAST, SLOPPY = 50, 5
+#: Words that a text needs to have any passage.
+SHORTEST = LEAST
 #: The places of a stretch; the shared seeds that it must hold and the places from the first to the last of them.
-WIDE, MANY, SPAN = 51, 4, 18
+WIDE, MANY, SPAN = 51, 3, 18
 #: Words that a chain must match.
-COVER = MANY + K - 1
+COVER = 10
 GAP = 0.1
 #: Words on either side of a chain or stretch that the alignment may extend over; matching words that an edit there must be followed by.
 MARGIN, FIRM = 64, 4
-#: Words that _extend compares at once.
-STEP = 64
-#: A seed that one in SHARE texts has is dealt out over PARTS by text; runs longer than LONG rows count as equally frequent.
-SHARE, PARTS, LONG = 128, 64, 1 << 16
+#: Steps of the distance between two places, twice what edits may change it by.
+GRID = 32
+#: Words that _extend compares at once, and how far an end may fall behind one edit in SLOPPY words.
+STEP, DROP = 64, 15
+#: A seed that one in SHARE of the first LOOK texts of slices have is dealt out over PARTS by text; runs longer than LONG rows count as equally frequent.
+SHARE, LOOK, PARTS, LONG = 16, 64, 64, 1 << 20
 
 
-def ranked(seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which a text's seeds meet those of others: the r-th of equal seeds meets the r-th, the last also the first."""
+def ranked(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and their places, under which a text's runs meet those of others: the r-th of equal ones meets the r-th, the last also the first."""
     order = np.argsort(seed, kind="stable")
-    cut = runs(seed[order])
+    keys = seed[order]
+    cut = runs(keys)
+    if len(cut) == len(keys) + 1:
+        return keys, order
     many = np.diff(cut)
     rank = np.arange(len(seed)) - np.repeat(cut[:-1], many)
-    keys = seed[order]
-    keys = np.where(rank > 0, mix(keys + rank.astype(U64)), keys)
     last = cut[1:][many > 1] - 1
-    return np.concatenate((keys, seed[order][last])), np.concatenate((at[order], at[order][last]))
-
-
-def seeds(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key and place of the seeds of a word sequence."""
-    if len(word) < K:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    seed = shingles(word, K)
-    keys, at = ranked(seed, np.arange(len(seed)))
-    some = np.flatnonzero(keys % U64(KEEP) == 0)
-    return keys[some], at[some]
+    return np.concatenate((np.where(rank > 0, mix(keys + rank.astype(U64)), keys), keys[last])), np.concatenate((order, order[last]))
+
+
+def seeds(token: np.ndarray, first: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as words end to end, first the index of each one's first: text, key, place, and whether it repeats, of the seeds of those wanted."""
+    none = np.zeros(0, np.int64)
+    if len(token) < K:
+        return none, none.astype(U64), none, none.astype(bool)
+    text = np.repeat(np.arange(len(wanted)), np.diff(first))
+    h = shingles(token, K)
+    inside = text[: len(h)] == text[K - 1 :]
+    keep = h % U64(KEEP) == 0
+    for q in range(1, min(K, len(h))):  # runs that come again at once are too few to leave any out
+        keep[q:] |= (h[q:] == h[:-q]) & (text[: len(h) - q] == text[q : len(h)])
+    at = np.flatnonzero(keep & inside & wanted[text[: len(h)]])
+    text, h = text[at], h[at]
+    place = at - first[text]
+    own = h + mix(text.astype(U64) + U64(1))  # tells texts apart
+    order = np.argsort(own, kind="stable")
+    cut = runs(own[order])
+    many = np.diff(cut)
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.arange(len(at)) - np.repeat(cut[:-1], many)
+    last = order[cut[1:][many > 1] - 1] if len(at) else none
+    key = np.where(rank > 0, mix(h + rank.astype(U64)), h)
+    return np.concatenate((text, text[last])), np.concatenate((key, h[last])), np.concatenate((place, place[last])), np.concatenate((rank > 0, np.ones(len(last), bool)))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of all texts, end to end, and the index of each one's first."""
     raw, at = flat(batch.column("text"))
     raw = LOWER[raw]
     starts, ends, first = words(raw, at)
-    token = word_hashes(raw, starts, ends)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        yield token[a:b]
+    return word_hashes(raw, starts, ends), first
+
+
+def _unseen(token: np.ndarray, first: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of each text, and whether it is long enough and not in seen, where it goes then."""
+    fp, fresh = np.empty(len(first) - 1, np.int64), np.zeros(len(first) - 1, bool)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        fp[i] = ident = fold(token[a:b])
+        if b - a >= SHORTEST and ident not in seen:
+            seen.add(ident)
+            fresh[i] = True
+    return fp, fresh
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text; then, with seed, how many texts of a slice have a seed that at least one in SHARE of them has."""
+    """A row for each text; then, with seed, how many of the first LOOK texts of a slice have a seed that one in SHARE of them has, and under 0 how many there are."""
     seen: set[int] = set()
     for batch in slices(batches, "text"):
-        n, fp, own, fresh = [], [], [np.zeros(0, U64)], 0
-        for word in _texts(batch):
-            n.append(len(word))
-            fp.append(fold(word))
-            if len(word) >= LEAST - LEAST // SLOPPY and fp[-1] not in seen:
-                seen.add(fp[-1])
-                own.append(np.unique(seeds(word)[0]))
-                fresh += 1
-        seed, times = np.unique(np.concatenate(own), return_counts=True)
-        often = np.flatnonzero((times * SHARE >= fresh) & (times > 2))
-        ids, m = batch.column("doc_id"), len(often)
+        token, first = _words(batch)
+        fp, fresh = _unseen(token, first, seen)
+        some = np.zeros(len(fresh), bool)
+        some[np.flatnonzero(fresh)[:LOOK]] = True
+        text, key, _, _ = seeds(token, first, some)
+        pairs = np.unique(np.stack([key, text.astype(U64)]), axis=1)[0] if len(key) else key
+        seed, times = np.unique(pairs, return_counts=True)
+        often = np.flatnonzero((times * SHARE >= some.sum()) & (times > 2))
+        ids, m = batch.column("doc_id"), len(often) + 1
         ids = pa.concat_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.nulls(m, ids.type)])
-        every = np.concatenate((np.array(fp, np.int64), seed[often].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate((np.array(n, np.int64), times[often]))), pa.array(every), pa.array(np.arange(len(every)) >= len(fp))], names=["doc_id", "n_words", "fp", "seed"])
+        n = np.concatenate((np.diff(first), [some.sum()], times[often]))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(np.concatenate((fp, [0], seed[often].view(np.int64)))), pa.array(np.arange(len(n)) >= len(fp))], names=["doc_id", "n_words", "fp", "seed"])
 
 
 def _seed_rows(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each text's seeds; those that are hot (sorted) with a part above 0, by text."""
+    """Each text's seeds; those that are hot (sorted) with a part above 0, by text. place: twice the place, and 1 for one that repeats."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            out = []
-            for word in _texts(batch):
-                if len(word) < LEAST - LEAST // SLOPPY or (ident := fold(word)) in seen:
-                    continue
-                seen.add(ident)
-                h, at = seeds(word)
-                part = np.zeros(len(h), np.int16)
-                if len(hot) and len(h):
-                    part[hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h] = 1 + ident % PARTS
-                out.append((h.view(np.int64), part, np.full(len(h), ident, np.int64), at))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "part", "fp", "place"])
+            token, first = _words(batch)
+            fp, fresh = _unseen(token, first, seen)
+            text, key, place, again = seeds(token, first, fresh)
+            if not len(key):
+                continue
+            part = np.zeros(len(key), np.int16)
+            if len(hot):
+                some = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                part[some] = 1 + fp[text[some]] % PARTS
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part), pa.array(fp[text]), pa.array(2 * place + again)], names=["h", "part", "fp", "place"])
 
     return work
 
@@ -148,49 +176,54 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by (h, part, fp, place): those of runs with more than one text, or of a part, with their number and the first of them.
+    """Of rows sorted by h: those of runs (h, part) with more than one text, or of a part, with their number and the least of them by (fp, place).
 
-    Holds a run up to LONG rows; longer ones are passed on as they come. They, and
-    all parts, count LONG + 1 rows.
+    Holds the rows of an h up to LONG; more are passed on as they come, with the
+    least of those so far. They, and all parts, count LONG + 1 rows.
     """
     kept: list[np.ndarray] = []
-    long: tuple | None = None  # the run that is being passed on: its h, part, fp and place
+    long: dict[int, tuple[int, int]] = {}  # of the h that is being passed on: each part's hub
+    now = None
 
     def made(own: list[np.ndarray], n: np.ndarray, hub: np.ndarray, hub_place: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(n.astype(np.int32)), pa.array(hub), pa.array(hub_place)], names=["h", "part", "fp", "place", "n", "hub", "hub_place"])
 
-    def passed(own: list[np.ndarray]) -> pa.RecordBatch:
-        many = np.full(len(own[0]), 1, np.int64)
-        return made(own, many * (LONG + 1), many * long[2], many * long[3])
+    def passed(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cut = _starts(own[1])
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            hub = long.setdefault(int(own[1][a]), (own[2][a], own[3][a]))
+            many = np.ones(b - a, np.int64)
+            yield made([c[a:b] for c in own], many * (LONG + 1), many * hub[0], many * hub[1])
 
     def work(own: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal kept, long
+        nonlocal kept, now
+        order = np.lexsort((own[3], own[2], own[1], own[0]))
+        own = [c[order] for c in own]
         new = _starts(*own)[:-1]
         own, kept = [c[new] for c in own], []
-        if long is not None:
-            many = int(((own[0] == long[0]) & (own[1] == long[1])).sum())  # they come first
-            if many:
-                yield passed([c[:many] for c in own])
+        if now is not None:
+            many = int((own[0] == now).sum())  # they come first
+            yield from passed([c[:many] for c in own]) if many else ()
             own = [c[many:] for c in own]
             if not len(own[0]):
                 return
-            long = None
+            now = None
+            long.clear()
         h, part, fp, place = own
-        cut = _starts(h, part)
-        whole = len(cut) - 1 if last else len(cut) - 2
-        first, size = cut[:whole], np.diff(cut)[:whole]
-        shared = (fp[cut[1 : whole + 1] - 1] != fp[first]) | (part[first] > 0)
+        end = len(h) if last else int(np.searchsorted(h, h[-1]))  # rows of h that have ended
+        cut = _starts(h[:end], part[:end])
+        first, size = cut[:-1], np.diff(cut)
+        shared = (fp[cut[1:] - 1] != fp[first]) | (part[first] > 0)
         some = np.flatnonzero(np.repeat(shared, size))
         if len(some):
-            run = np.repeat(np.arange(whole), size)[some]
+            run = np.repeat(np.arange(len(first)), size)[some]
             n = np.where(part[first] > 0, LONG + 1, np.minimum(size, LONG + 1))
             yield made([c[some] for c in own], n[run], fp[first][run], place[first][run])
-        rest = [c[cut[whole] :] for c in own]
-        if len(rest[0]) > LONG:
-            long = tuple(c[0] for c in rest)
-            yield passed(rest)
-        elif not last:
-            kept = rest
+        kept = [c[end:] for c in own]
+        if len(kept[0]) > LONG:
+            now = kept[0][0]
+            yield from passed(kept)
+            kept = []
 
     for batch in batches:
         if batch.num_rows:
@@ -210,14 +243,16 @@ def _needed(pos: np.ndarray, key: np.ndarray) -> np.ndarray:
     dense[pos[first]] = np.maximum.reduceat(key, first) if len(pos) else 0
     out = np.zeros(len(pos), bool)
     step = np.arange(2 * WIDE - 1, dtype=np.int16)
-    for a in range(0, len(pos), 1 << 12):
-        own, least = pos[a : a + (1 << 12)], key[a : a + (1 << 12)]
+    near = np.flatnonzero(np.searchsorted(pos, pos + WIDE) - np.searchsorted(pos, pos - WIDE, "right") >= MANY)
+    for a in range(0, len(near), 1 << 12):
+        rows = near[a : a + (1 << 12)]
+        own, least = pos[rows], key[rows]
         high = dense[own[:, None] + (step - (WIDE - 1))[None, :]] >= least[:, None]
         count = np.zeros((len(own), 2 * WIDE), np.int16)
         np.cumsum(high, axis=1, out=count[:, 1:])
         last = np.maximum.accumulate(np.where(high, step, np.int16(-1)), axis=1)[:, WIDE - 1 :]
         begin = np.minimum.accumulate(np.where(high, step, np.int16(4 * WIDE))[:, ::-1], axis=1)[:, ::-1][:, :WIDE]
-        out[a : a + (1 << 12)] = ((count[:, WIDE:] - count[:, :WIDE] >= MANY) & (last - begin >= SPAN - 1)).any(axis=1)
+        out[rows] = ((count[:, WIDE:] - count[:, :WIDE] >= MANY) & (last - begin >= SPAN - 1)).any(axis=1)
     return out
 
 
@@ -238,6 +273,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in whole_groups(batches, ["fp"]):
         h, fp, place, n, hub, hub_place, top, top_place = (batch.column(c).to_numpy() for c in ("h", "fp", "place", "n", "hub", "hub_place", "top", "top_place"))
+        again, place, hub_place, top_place = place & 1, place >> 1, hub_place >> 1, top_place >> 1
         order = np.lexsort((h, n))
         cut = runs(h[order])
         key = np.empty(len(h), np.int32)
@@ -248,7 +284,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(needed)
         if not len(some):
             continue
-        every = [c[n > 2] for c in (pos, fp, top, place, needed)]
+        few = (n > 2) & (again == 0)  # what a text repeats meets many hubs, by rank, and says no more
+        every = [c[few] for c in (pos, fp, top, place, place - top_place, needed)]
         pos, fp, place, hub, hub_place, top, top_place = (c[some] for c in (pos, fp, place, hub, hub_place, top, top_place))
         cut = np.append(np.flatnonzero(np.r_[True, np.diff(pos) > WIDE]), len(pos))
         low, high = place[cut[:-1]], place[cut[1:] - 1]
@@ -278,25 +315,29 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _both(*[c[near] for c in every[1:]], at[near], begin, end, name)
 
 
-def _both(fp: np.ndarray, top: np.ndarray, place: np.ndarray, needed: np.ndarray, stretch: np.ndarray, begin: np.ndarray, end: np.ndarray, name: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row for each two hubs, b and h, that a text meets within WIDE places of a stretch, one of them at a seed that pairs texts."""
+def _both(fp: np.ndarray, top: np.ndarray, place: np.ndarray, diagonal: np.ndarray, needed: np.ndarray, stretch: np.ndarray, begin: np.ndarray, end: np.ndarray, name: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each two hubs, b and then h, that a text meets within WIDE places of a stretch, one of them at a seed that pairs texts.
+
+    lo_b, hi_b: the steps, on two grids, of how much farther apart the text has
+    the places than the hubs. Texts that share both places in a passage have a
+    step in common.
+    """
     some = np.flatnonzero(top != fp)
     cut = _starts(stretch[some], top[some], needed[some])
     first, last = some[cut[:-1]], some[cut[1:] - 1]
     out: set[tuple] = set()
-    seen: dict[tuple[int, bool], int] = {}
+    seen: dict[tuple[int, bool], tuple[int, int]] = {}
     before = -1
-    for own, at, z, good, now, until in zip(*(c[first].tolist() for c in (fp, stretch, top, needed, place)), place[last].tolist(), strict=True):
+    for own, at, z, good, now, d, until in zip(*(c[first].tolist() for c in (fp, stretch, top, needed, place, diagonal)), place[last].tolist(), strict=True):
         if at != before:
             seen, before = {}, at
-        for (y, other), then in seen.items():
+        for (y, other), (then, e) in seen.items():
             if y != z and (good or other) and now - then <= WIDE:
-                out.add((own, min(y, z), max(y, z), at))
-        seen[z, good] = until
+                out.add((own, y, z, at, (d - e) // GRID, (d - e + GRID // 2) // GRID))
+        seen[z, good] = until, d
     if out:
-        a, b, h, at = (np.array(c, np.int64) for c in zip(*sorted(out), strict=True))
-        where = [pa.array(c[at]) for c in (begin, end)]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *where, *where, pa.nulls(len(a), pa.bool_()), pa.array(h)], names=name)
+        a, b, h, at, one, two = (np.array(c, np.int64) for c in zip(*sorted(out), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(begin[at]), pa.array(end[at]), pa.array(one), pa.array(two), pa.nulls(len(a), pa.bool_()), pa.array(h)], names=name)
 
 
 def segments(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -413,44 +454,44 @@ def _passage(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: l
     return ys[0] - i, ys[-1] + size[-1] + p, xs[0] - j, xs[-1] + size[-1] + q, edits + e + f
 
 
-def _reaches(u: list, v: list) -> list[tuple[int, int]]:
-    """How far u and v match from their start, in each, with 0, 1, ... LEAST // SLOPPY edits."""
-    far, out = {}, []
+def _reaches(u: list, v: list) -> list[tuple[int, int, int]]:
+    """How far u and v match from their start, in each, with e edits, and e; while one edit in SLOPPY words is in reach."""
+    far, out = {}, [(0, 0, 0)]
     for e in range(LEAST // SLOPPY + 1):
-        new = {}
+        new, best = {}, -1
         for d in range(-e, e + 1):  # v's place less u's
             i = max(far.get(d, -2) + 1, far.get(d - 1, -1), far.get(d + 1, -2) + 1) if e else 0
             i = min(i, len(u), len(v) - d)
             if i < 0 or i + d < 0:
                 continue
+            start = i
             while i < len(u) and i + d < len(v) and u[i] == v[i + d]:
                 i += 1
             new[d] = i
+            best = max(best, min(i, i + d))
+            if i > start and min(i, i + d) >= SLOPPY * e:  # ends on a match, with no more edits than a passage has
+                out.append((i, i + d, e))
         far = new
-        out.append(max(((i, i + d) for d, i in far.items()), key=min))
+        if best < SLOPPY * e - DROP:
+            break
     return out
 
 
 def _stretched(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: list[int], edits: int) -> tuple[int, int, int, int, int]:
-    """As _passage, by the longest ends that any edits allow, for chains that FIRM ends leave too short."""
+    """As _passage, by the longest ends that have one edit in SLOPPY words themselves, for chains that FIRM ends leave too short."""
     y, x = ys[-1] + size[-1], xs[-1] + size[-1]
     before = _reaches(u[max(0, ys[0] - MARGIN) : ys[0]][::-1].tolist(), v[max(0, xs[0] - MARGIN) : xs[0]][::-1].tolist())
     after = _reaches(u[y : y + MARGIN].tolist(), v[x : x + MARGIN].tolist())
-    best = (ys[0], y, xs[0], x, edits)
-    for e, (i, j) in enumerate(before):
-        for f, (p, q) in enumerate(after):
-            now = (ys[0] - i, y + p, xs[0] - j, x + q, edits + e + f)
-            long = min(now[1] - now[0], now[3] - now[2])
-            if now[4] * SLOPPY <= long and long > min(best[1] - best[0], best[3] - best[2]):
-                best = now
-    return best
+    i, j, e = max(before, key=lambda r: (min(r[:2]), -r[2]))
+    p, q, f = max(after, key=lambda r: (min(r[:2]), -r[2]))
+    return ys[0] - i, y + p, xs[0] - j, x + q, edits + e + f
 
 
 def matches(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in u and in v of the runs of K words that both have, repeats met as ranked() says."""
     if min(len(u), len(v)) < K:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    (h, y), (g, x) = (ranked(s, np.arange(len(s))) for s in (shingles(u, K), shingles(v, K)))
+    (h, y), (g, x) = (ranked(shingles(s, K)) for s in (u, v))
     order = np.argsort(g, kind="stable")
     g, x = g[order], x[order]
     low, high = np.searchsorted(g, h, "left"), np.searchsorted(g, h, "right")
@@ -492,15 +533,12 @@ _FOUND = "a long, b long, start_a long, end_a long, start_b long, end_b long, ed
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in slices(batches, "text"):
-        ids, own = [], []
-        for word in _texts(batch):
-            if len(word) >= LEAST - LEAST // SLOPPY and (ident := fold(word)) not in seen:
-                seen.add(ident)
-                ids.append(ident)
-                own.append((word >> U64(32)).astype(np.uint32).view(np.int32))
-        if ids:
-            size = np.cumsum([0, *map(len, own)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))], names=["fp", "values"])
+        token, first = _words(batch)
+        fp, fresh = _unseen(token, first, seen)
+        if fresh.any():
+            size = np.diff(first)[fresh]
+            own = (token[np.repeat(fresh, np.diff(first))] >> U64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[fresh]), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(own))], names=["fp", "values"])
 
 
 def _between(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -528,7 +566,7 @@ def repeated(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     hot: sorted hashes of seeds that are dealt out over PARTS.
     """
     found = texts.select("text").mapInArrow(_seed_rows(hot), "h long, part short, fp long, place long")
-    shared = materialize(found.repartition("h", "part").sortWithinPartitions("h", "part", "fp", "place").mapInArrow(_hubs, _RUN))
+    shared = materialize(found.repartition("h", "part").sortWithinPartitions("h").mapInArrow(_hubs, _RUN))
     settle(texts.sparkSession)
     # the hubs of a seed's parts meet the least of them; there are few such seeds, whatever the corpus
     tops = shared.filter("part > 0 AND fp = hub")
@@ -550,19 +588,14 @@ def repeated(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     if not rest.isEmpty():
         passages_ = passages_.unionAll(_between(rest, tokens))
         classes = linked(passages_)
-    # texts that meet the same two hubs and are not of both hubs' class
-    members = met.filter("h IS NOT NULL").select("a", "b", "h", F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi"))
-    for c in ("a", "b", "h"):
-        members = _class_of(members, classes, c)
-    members = materialize(members)
-    mixed = materialize(members.filter("class_a <> class_b OR class_a <> class_h").select("b", "h").distinct())
-    if mixed.isEmpty():
-        return passages_
-    left = materialize(members.join(mixed, ["b", "h"], "left_semi"))
-    side = lambda s: left.select("b", "h", F.col("a").alias(f"fp_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.col("class_a").alias(f"class_{s}"))
-    across = side("a").join(side("b"), ["b", "h"]).filter("class_a < class_b").groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    across = across.agg(F.min("lo_a").alias("lo_a"), F.max("hi_a").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b"))
-    return passages_.unionAll(_between(materialize(across), tokens))
+    # texts that meet the same two hubs in turn, as far apart, meet the least of them
+    step = F.explode(F.array(F.struct(F.lit(0).alias("grid"), F.col("lo_b").alias("at")), F.struct(F.lit(1).alias("grid"), F.col("hi_b").alias("at"))))
+    members = _class_of(met.filter("h IS NOT NULL").select("a", "b", "h", F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi"), step.alias("step")), classes, "a")
+    first = members.groupBy("b", "h", "step").agg(F.min(F.struct("a", "lo", "hi", "class_a")).alias("k")).select("b", "h", "step", "k.*")
+    named = first.withColumnsRenamed({"a": "to", "lo": "lo_b", "hi": "hi_b", "class_a": "class_b"})
+    across = members.join(named, ["b", "h", "step"]).filter("class_a <> class_b").groupBy("a", F.col("to").alias("b"))
+    across = materialize(across.agg(F.min("lo").alias("lo_a"), F.max("hi").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b")))
+    return passages_ if across.isEmpty() else passages_.unionAll(_between(across, tokens))
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -576,13 +609,15 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = texts.schema["doc_id"].dataType.simpleString()
     made = materialize(texts.mapInArrow(_fingerprints, f"doc_id {kind}, n_words long, fp long, seed boolean"))
     rows = made.filter("NOT seed").drop("seed")
-    # at most SHARE times the seeds of a text, whatever the corpus
+    # few seeds, whatever the corpus: SHARE times those of a text. They only say what is dealt out
     often = made.filter("seed").groupBy(F.col("fp").alias("h")).agg(F.sum("n_words").alias("n"))
-    hot = np.sort(np.array([r["h"] for r in often.filter(F.col("n") * SHARE >= rows.count()).select("h").toLocalIterator()], np.int64).view(U64))
+    often = materialize(often)
+    looked = often.filter("h = 0").agg(F.sum("n")).first()[0] or 0
+    hot = np.sort(np.array([r["h"] for r in often.filter(F.col("n") * SHARE >= looked).filter("h <> 0").select("h").toLocalIterator()], np.int64).view(U64))
     found = repeated(texts, hot)
     classes = components(found.select("a", "b"))
     # written, so that the joins are of two plain shuffles and a text of very many copies can be split
-    first = rows.filter(F.col("n_words") >= LEAST - LEAST // SLOPPY).groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("n"))
+    first = rows.filter(F.col("n_words") >= SHORTEST).groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("n"))
     first = materialize(_class_of(first, classes.withColumnRenamed("node", "node"), "fp"))
     ids = first.groupBy("class_fp").agg(F.min("least").alias("class_id"))
     first = materialize(first.join(ids, "class_fp"))
