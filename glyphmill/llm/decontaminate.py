@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from ._kernel import U64, flat, mix, slices, word_hashes
 
-Q, PIECE, STRIDE, LEAST, BLOCK = 8, 400, 200, 24, 16 << 20
+Q, PIECE, STRIDE, LEAST, BLOCK = 8, 400, 200, 24, 4 << 20
 #: Edits that an occurrence may have are one in so many bytes.
 RATE = 10
-#: log2 of the bits of the first test, and bands that are aligned at once.
-SIEVE, TOGETHER = 22, 128
+#: log2 of the bits of the first test, bands that are aligned at once, and hits that are listed at once.
+SIEVE, TOGETHER, HITS = 22, 1024, 1 << 20
+#: Added to diagonals to make them positive.
+SHIFT = PIECE * 4
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
@@ -71,6 +73,10 @@ class Index:
 
     items: list
     pieces: list[np.ndarray]
+    #: The pieces end to end, and where each begins and how long it is.
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
     edits: np.ndarray
     need: np.ndarray
     grams: np.ndarray
@@ -127,74 +133,92 @@ def build(items: list, texts: list[str | None]) -> Index:
     unique, first = np.unique(grams[order], return_index=True)
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[(mix(unique) >> U64(64 - SIEVE)).astype(np.int64)] = True
-    return _short(Index(ids, pieces, np.array(edits, np.int64), np.array(need, np.int64), unique, np.r_[first, len(grams)].astype(np.int64), piece[order], place[order], sieve), short)
+    size = np.array([len(p) for p in pieces], np.int64)
+    data = np.concatenate([np.zeros(0, np.uint8), *pieces])
+    return _short(Index(ids, pieces, data, np.cumsum(size) - size, size, np.array(edits, np.int64), np.array(need, np.int64), unique, np.r_[first, len(grams)].astype(np.int64), piece[order].astype(np.int32), place[order].astype(np.int16), sieve), short)
 
 
-def _hits(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, place in x and place in the piece of each common q-gram."""
-    own = qgrams(x)
-    at = np.flatnonzero(index.sieve[(mix(own) >> U64(64 - SIEVE)).astype(np.int64)])
-    i = np.minimum(np.searchsorted(index.grams, own[at]), len(index.grams) - 1)
-    good = index.grams[i] == own[at]
-    at, i = at[good], i[good]
-    many = index.first[i + 1] - index.first[i]
-    inner = np.repeat(index.first[i] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    return index.piece[inner], np.repeat(at, many), index.place[inner]
-
-
-def _bands(x: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Piece and first diagonal of each band that has enough hits."""
-    piece, i, j = _hits(x, index)
-    if not len(piece):
-        return piece, piece
+def _bands(piece: np.ndarray, i: np.ndarray, j: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (band, piece) of hits at place i of the text and j of the piece, and how many hits each has."""
     width = 2 * index.edits[piece] + 1
-    diagonal = i - j + PIECE * 4  # positive
+    diagonal = i - j + SHIFT
     band = diagonal // width
     # band b holds the diagonals from b * width, 4 e + 1 of them: its own and the next band's but the last
     shared = diagonal % width < 2 * index.edits[piece]
-    key = np.concatenate((band, band[shared] - 1)) * len(index.pieces) + np.concatenate((piece, piece[shared]))
-    key, n = np.unique(key, return_counts=True)
-    piece = key % len(index.pieces)
-    enough = n >= index.need[piece]
-    piece = piece[enough]
-    return piece, key[enough] // len(index.pieces) * (2 * index.edits[piece] + 1) - PIECE * 4
+    return np.unique(np.concatenate((band, band[shared] - 1)) * len(index.pieces) + np.concatenate((piece, piece[shared])), return_counts=True)
 
 
-def align(pieces: list[np.ndarray], texts: list[np.ndarray], first: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece the fewest edits to a stretch of its text, and the stretch's end; on 4 e + 1 diagonals from first.
+def _candidates(x: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Piece and first diagonal of the bands that have enough hits, some at a time.
 
-    first is the lowest diagonal (text place less piece place) of the band.
+    Hits are listed for HITS of them at once; a band is passed on when no later
+    place can lie in it, so what is held follows the places of one piece's length.
+    """
+    own = qgrams(x)
+    at = np.flatnonzero(index.sieve[(mix(own) >> U64(64 - SIEVE)).astype(np.int64)])
+    i = np.minimum(np.searchsorted(index.grams, own[at]), len(index.grams) - 1)
+    good = index.grams[i] == own[at]
+    at, i = at[good], i[good]
+    many = index.first[i + 1] - index.first[i]
+    total = np.cumsum(many)
+    cut = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1], HITS), "right"), len(at))) if len(at) else np.zeros(0, np.int64)
+    cut = np.unique(np.append(0, cut))
+    key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        size = many[a:b]
+        inner = np.repeat(index.first[i[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        new, times = _bands(index.piece[inner].astype(np.int64), np.repeat(at[a:b], size), index.place[inner].astype(np.int64), index)
+        key, back = np.unique(np.concatenate((key, new)), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate((n, times))).astype(np.int64)
+        piece = key % len(index.pieces)
+        first = key // len(index.pieces) * (2 * index.edits[piece] + 1) - SHIFT
+        done = np.full(len(key), True) if b == len(at) else first + 4 * index.edits[piece] + 1 + PIECE <= at[b]
+        enough = done & (n >= index.need[piece])
+        if enough.any():
+            yield piece[enough], first[enough]
+        key, n = key[~done], n[~done]
+
+
+def align(x: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, piece: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the fewest edits to a stretch of x between low and high, and the stretch's end; on 4 e + 1 diagonals from first.
+
+    first is the lowest diagonal (place in x less place in the piece) of the band.
     Row i holds, for each diagonal k, the cost of i bytes of the piece against
-    text that ends at place first + k + i.
+    text that ends at place first + k + i. Pairs whose row exceeds the bound go.
     """
-    n, wide, deep = len(pieces), int(4 * edits.max() + 1), max(map(len, pieces))
-    big = 1 << 20
+    edits, size = index.edits[piece], index.size[piece]
+    wide, deep = int(4 * edits.max() + 1), int(size.max())
+    big = np.int16(1 << 13)
     k = np.arange(wide)
-    limit = np.array([len(t) for t in texts])
-    live = k[None, :] < (4 * edits + 1)[:, None]
-    padded = np.zeros((n, deep), np.int16)
-    for r, p in enumerate(pieces):
-        padded[r, : len(p)] = p
-    room = np.full((n, wide + deep), -1, np.int16)
-    for r, t in enumerate(texts):
-        a = int(first[r])
-        own = t[max(a, 0) : max(a, 0) + wide + deep - max(-a, 0)]
-        room[r, max(-a, 0) : max(-a, 0) + len(own)] = own
-    end = first[:, None] + k[None, :]
-    inside = lambda i: live & (end + i >= 0) & (end + i <= limit[:, None])
-    row = np.where(inside(0), 0, big)
-    best, where = np.full(n, big), np.zeros(n, np.int64)
-    size = np.array([len(p) for p in pieces])
+    steps = np.arange(deep)
+    padded = np.where(steps < size[:, None], index.data[np.minimum(index.start[piece][:, None] + steps, len(index.data) - 1)], np.int16(0)).astype(np.int16)
+    place = first[:, None] + np.arange(wide + deep)
+    room = np.where((place >= low[:, None]) & (place < high[:, None]), x[np.clip(place, 0, len(x) - 1)], np.int16(-1)).astype(np.int16)
+    # place - low and high - place of text that ends on diagonal k, before the first byte
+    before, after = first[:, None] + k - low[:, None], high[:, None] - first[:, None] - k
+    live = k < (4 * edits + 1)[:, None]
+    k16 = k.astype(np.int16)
+    row = np.where(live & (before >= 0) & (after >= 0), np.int16(0), big)
+    best, where = np.full(len(piece), int(big)), np.zeros(len(piece), np.int64)
+    alive = np.arange(len(piece))
     for i in range(1, deep + 1):
+        outside = ~live | (before < -i) | (after < i)
         same = room[:, i - 1 : i - 1 + wide] == padded[:, i - 1 : i]
-        new = np.minimum(row + ~same, np.c_[row[:, 1:], np.full(n, big)] + 1)
-        new = np.where(inside(i), new, big)
-        row = np.minimum.accumulate(new - k, axis=1) + k
-        row = np.where(inside(i), np.minimum(row, big), big)
-        if (done := size == i).any():
+        new = row + ~same
+        np.minimum(new[:, :-1], row[:, 1:] + np.int16(1), out=new[:, :-1])
+        new[outside] = big
+        row = np.minimum.accumulate(new - k16, axis=1) + k16
+        row[outside] = big
+        if (done := size[alive] == i).any():
             at = row[done].argmin(axis=1)
-            best[done] = row[done, at]
-            where[done] = first[done] + at + i
+            best[alive[done]] = row[done, at]
+            where[alive[done]] = first[alive[done]] + at + i
+        if i % 8 == 0:
+            stay = (row.min(axis=1) <= edits[alive]) & (size[alive] > i)
+            if not stay.any():
+                break
+            if stay.mean() < 0.7:
+                alive, padded, room, before, after, live, row = (c[stay] for c in (alive, padded, room, before, after, live, row))
     return best, where
 
 
@@ -210,14 +234,14 @@ class Match:
 
 
 def _search_short(x: np.ndarray, bounds: np.ndarray, origin: np.ndarray, at: np.ndarray, index: Index) -> list[Match]:
-    """The first place of each short item in each text."""
+    """The places of each short item in each text."""
     word = x != 32
     edge = np.zeros(len(x) + 1, bool)
     edge[bounds] = True
     starts = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
     ends = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
     text = np.searchsorted(bounds, starts, "right") - 1
-    found: dict[tuple[int, bytes], tuple[int, int]] = {}
+    found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
     for many in index.spans:
         a, b = starts[: max(0, len(starts) - many + 1)], ends[many - 1 :]
         own = np.flatnonzero((text[: len(a)] == text[many - 1 :]) & (b - a < LEAST))
@@ -225,34 +249,42 @@ def _search_short(x: np.ndarray, bounds: np.ndarray, origin: np.ndarray, at: np.
         some = own[index.hashes[np.minimum(np.searchsorted(index.hashes, h), len(index.hashes) - 1)] == h]
         for i in some.tolist():
             if (key := x[a[i] : b[i]].tobytes()) in index.short:
-                found.setdefault((int(text[i]), key), (int(a[i]), int(b[i])))
-    return [Match(t, item, int(origin[a] - at[t]), int(origin[b - 1] + 1 - at[t]), 0) for (t, key), (a, b) in sorted(found.items()) for item in index.short[key]]
+                places = found.setdefault((int(text[i]), key), [])
+                if not places or a[i] >= places[-1][1]:
+                    places.append((int(a[i]), int(b[i])))
+    return [Match(t, item, int(origin[a] - at[t]), int(origin[b - 1] + 1 - at[t]), 0) for (t, key), places in sorted(found.items()) for item in index.short[key] for a, b in places]
 
 
 def search(batch: pa.RecordBatch, index: Index) -> list[Match]:
-    """The best occurrence of each item in each text of the batch."""
+    """The occurrences of each item in each text of the batch; of those that overlap the one of fewest edits."""
     raw, at = flat(batch.column("text"))
     x, bounds, origin = normalize(raw, at)
     short = _search_short(x, bounds, origin, at, index) if index.short and len(x) else []
     if not index.pieces or len(x) < Q:
         return short
-    piece, first = _bands(x, index)
-    # the text in which most of the band lies; one at a border is tried in both
-    near = [np.searchsorted(bounds, np.clip(first + o, 0, len(x) - 1), "right") - 1 for o in (0, 1)]
-    near[1] = np.searchsorted(bounds, np.clip(first + 4 * index.edits[piece] + np.array([len(index.pieces[p]) for p in piece], np.int64), 0, len(x) - 1), "right") - 1
-    trial = sorted({(int(t), int(p), int(f)) for a, b, p, f in zip(*near, piece, first, strict=True) for t in range(a, b + 1)})
-    found: dict[tuple[int, int], Match] = {}
-    for at_once in range(0, len(trial), TOGETHER):
-        part = trial[at_once : at_once + TOGETHER]
-        own = [index.pieces[p] for _, p, _ in part]
-        texts = [x[bounds[t] : bounds[t + 1]] for t, _, _ in part]
-        cost, end = align(own, texts, np.array([f - bounds[t] for t, _, f in part]), index.edits[[p for _, p, _ in part]])
-        for (t, p, _), c, stop in zip(part, cost.tolist(), end.tolist(), strict=True):
-            if c <= index.edits[p] and ((t, p) not in found or c < found[t, p].edits):
-                a = bounds[t] + max(0, stop - len(index.pieces[p]))
-                where = [int(origin[min(max(q, bounds[t]), bounds[t + 1] - 1)]) - int(at[t]) for q in (a, bounds[t] + stop - 1)]
-                found[t, p] = Match(t, index.items[p], where[0], where[1] + 1, c)
-    return [found[k] for k in sorted(found)] + short
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for piece, first in _candidates(x, index):
+        # the texts that the band lies in; one at a border is tried in both
+        ends = [np.searchsorted(bounds, np.clip(first + o, 0, len(x) - 1), "right") - 1 for o in (0, 4 * index.edits[piece] + index.size[piece])]
+        many = ends[1] - ends[0] + 1
+        text = np.repeat(ends[0] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        piece, first = np.repeat(piece, many), np.repeat(first, many)
+        order = np.argsort(index.size[piece], kind="stable")
+        for a in range(0, len(order), TOGETHER):
+            own = order[a : a + TOGETHER]
+            cost, stop = align(x, bounds[text[own]], bounds[text[own] + 1], first[own], piece[own], index)
+            for j in np.flatnonzero(cost <= index.edits[piece[own]]).tolist():
+                found.setdefault((int(text[own[j]]), int(piece[own[j]])), []).append((int(cost[j]), int(stop[j])))
+    out = []
+    for (t, p), ends in sorted(found.items()):
+        kept: list[int] = []
+        for cost, stop in sorted(set(ends)):  # fewest edits first; stretches that overlap a better one go
+            if all(abs(stop - other) >= index.size[p] - cost for other in kept):
+                kept.append(stop)
+                a = max(int(bounds[t]), stop - int(index.size[p]))
+                where = [int(origin[min(max(q, bounds[t]), bounds[t + 1] - 1)]) - int(at[t]) for q in (a, stop - 1)]
+                out.append(Match(t, index.items[p], where[0], where[1] + 1, cost))
+    return out + short
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
@@ -263,7 +295,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
             continue
         items.append(r[0])
         texts.append(r[1])
-        size += len(r[1])
+        size += len(r[1].encode())
         if size >= BLOCK:
             yield items, texts
             items, texts, size = [], [], 0
@@ -271,7 +303,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, start, end, edits: each benchmark piece that occurs in a document, once a document.
+    """doc_id, item_id, start, end, edits: each place of a document where a benchmark piece occurs.
 
     start and end are byte offsets in the document's UTF-8; the stretch's start
     is exact up to the edits.
@@ -279,6 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    arrow = benchmark.select(benchmark[item_col]).limit(0).toArrow().schema.types[0]
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, start long, end long, edits long"
     made = None
     for items, texts in _blocks(benchmark.select(benchmark[item_col], benchmark[item_text])):
@@ -289,7 +322,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 if found := search(batch, shared.value):
                     ids = batch.column("doc_id").take(pa.array([m.text for m in found]))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([m.item for m in found], _arrow([m.item for m in found])), *[pa.array([getattr(m, c) for m in found], pa.int64()) for c in ("start", "end", "edits")]],
+                        [ids, pa.array([m.item for m in found], arrow), *[pa.array([getattr(m, c) for m in found], pa.int64()) for c in ("start", "end", "edits")]],
                         names=["doc_id", "item_id", "start", "end", "edits"],
                     )
 
@@ -298,11 +331,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return made
 
 
-def _arrow(items: list) -> pa.DataType:
-    kind = next((type(i) for i in items if i is not None), int)
-    return pa.string() if kind is str else pa.int64()
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold a benchmark item; the test runs beside each row, so ids need not be unique."""
     spark = docs.sparkSession
