@@ -4,9 +4,11 @@ A text passes a gate of keywords first; only then are its words joined by
 single blanks and matched. Rules whose literal keyword occurs there are tried,
 and each one's places are found by bracketing its matches with two control
 characters that no word holds, so word positions come out in linear time.
-Overlaps are resolved in one sweep over places by (start, longest first,
-priority): a place inside a kept one goes unless its priority is higher, and
-of two that overlap partly the one of higher priority stays, the earlier on a tie.
+Overlaps are resolved in each cluster of places that overlap one another, by
+(priority, start, longest first): a place stays if it overlaps none before it that
+stays. So a place inside another goes unless its priority is higher, of two that
+overlap partly the one of higher priority stays, the earlier on a tie, and what a
+place that goes had in its way comes back.
 
 Defined results: null and empty texts have no words and no labels; nothing else
 of a row is looked at, so null or repeated ids, repeated rows and clashing
@@ -74,17 +76,33 @@ def _ordered(found: Column) -> Column:
     return F.transform(F.array_sort(F.transform(found, lambda p: F.struct(p["first"].alias("a"), (-p["last"]).alias("b"), (-p["priority"]).alias("c"), p["order"].alias("d"), p.alias("p")))), lambda x: x["p"])
 
 
-def _sweep(in_order: Column) -> Column:
-    """The places that stay."""
-    state = F.struct(F.array().cast(_PLACE).alias("kept"), F.get(in_order, F.lit(0)).alias("now"))
+def _clusters(in_order: Column) -> Column:
+    """Runs of places that overlap one another, by position."""
+    runs = f"array<{_PLACE}>"
+    first = F.get(in_order, F.lit(0))
+    state = F.struct(F.array().cast(runs).alias("done"), F.array().cast(_PLACE).alias("now"), first["last"].alias("until"))
 
     def step(s: Column, p: Column) -> Column:
-        apart = p["first"] > s["now"]["last"]
-        wins = p["priority"] > s["now"]["priority"]
-        return F.struct(F.when(apart, F.array_append(s["kept"], s["now"])).otherwise(s["kept"]).alias("kept"), F.when(apart | wins, p).otherwise(s["now"]).alias("now"))
+        apart = p["first"] > s["until"]
+        return F.struct(
+            F.when(apart, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"),
+            F.when(apart, F.array(p)).otherwise(F.array_append(s["now"], p)).alias("now"),
+            F.greatest(s["until"], p["last"]).alias("until"),
+        )
 
-    rest = F.slice(in_order, F.lit(2), F.size(in_order))
-    return F.when(F.size(in_order) == 0, in_order).otherwise(F.aggregate(rest, state, step, lambda s: F.array_append(s["kept"], s["now"])))
+    return F.when(F.size(in_order) == 0, F.array().cast(runs)).otherwise(F.aggregate(in_order, state, step, lambda s: F.array_append(s["done"], s["now"])))
+
+
+def _strongest(cluster: Column) -> Column:
+    """Of places by precedence, each that overlaps none before it that stays."""
+
+    def step(kept: Column, p: Column) -> Column:
+        meets = F.exists(kept, lambda q: (q["first"] <= p["last"]) & (p["first"] <= q["last"]))
+        return F.when(meets, kept).otherwise(F.array_append(kept, p))
+
+    ranked = F.array_sort(F.transform(cluster, lambda p: F.struct((-p["priority"]).alias("a"), p["first"].alias("b"), (-p["last"]).alias("c"), p["order"].alias("d"), p.alias("p"))))
+    stay = F.aggregate(F.transform(ranked, lambda x: x["p"]), F.array().cast(_PLACE), step)
+    return F.when(F.size(cluster) == 1, cluster).otherwise(F.transform(F.array_sort(F.transform(stay, lambda p: F.struct(p["first"].alias("a"), p.alias("p")))), lambda x: x["p"]))
 
 
 def _base(joined: Column) -> Column:
@@ -114,5 +132,5 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.array().cast("array<struct<first:int,last:int,label:string>>")
     some = F.array().cast(_PLACE)
     step = step.withColumns({"base": F.when(joined.isNotNull(), _base(joined)).otherwise(none), "_found": F.when(F.size("_hit") > 0, _found(joined, F.col("_hit"), table)).otherwise(some)})
-    step = step.withColumn("_found", _ordered(F.col("_found"))).withColumn("detections", _sweep(F.col("_found")))
-    return step.drop("_joined", "_hit", "_found")
+    step = step.withColumn("_found", _ordered(F.col("_found"))).withColumn("_found", _clusters(F.col("_found")))
+    return step.withColumn("detections", F.flatten(F.transform("_found", _strongest))).drop("_joined", "_hit", "_found")
