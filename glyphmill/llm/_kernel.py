@@ -121,7 +121,7 @@ def runs(key: np.ndarray) -> np.ndarray:
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, fp, place): those whose h has more than one fp; equal rows come once.
+    """Of rows sorted by (h, part, fp, place): those of a part above 0, or whose h has more than one fp; equal rows come once.
 
     Keeps the rows of one h only as long as they have a single fp, then one row.
     """
@@ -131,11 +131,11 @@ def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         batch = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-        h, fp, place = (batch.column(c).to_numpy() for c in ("h", "fp", "place"))
-        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1]) | (place[1:] != place[:-1])])
-        h, fp = h[new], fp[new]
-        cut = runs(h)
-        shared = fp[cut[:-1]] != fp[cut[1:] - 1]
+        h, part, fp, place = (batch.column(c).to_numpy() for c in ("h", "part", "fp", "place"))
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (fp[1:] != fp[:-1]) | (place[1:] != place[:-1])])
+        h, part, fp = h[new], part[new], fp[new]
+        cut = np.append(np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]), len(h))
+        shared = (fp[cut[:-1]] != fp[cut[1:] - 1]) | (part[cut[:-1]] > 0)
         shared[0] |= done
         out = np.repeat(shared, np.diff(cut))
         out[0] &= not done

@@ -6,16 +6,20 @@
 2. Of a set of n shingles the first n - ceil(t n) + 1 are its prefix; two sets
    that are similar share a shingle of their prefixes. Prefixes are shuffled by
    shingle and sorted there; runs of one shingle are streamed, never held, and
-   those with one set only are dropped.
+   those with one set only are dropped. Shingles of a large share of the texts, as
+   the sketch has it, are dealt out by set as well, and stay.
 3. Candidates pass the length filter and the positional filter (enough must
-   follow the first common shingle, in both sets) and are made distinct. The
-   suffix filter compares the parities of two small hash tables, whose distance
-   is at most that of the sets; what passes meets the sets and is verified by
-   intersection, each pair once.
+   follow the common shingle, in both sets) and are made distinct. The suffix
+   filter takes what follows that shingle in either set's order: the parities of
+   two small hash tables of the suffixes differ in at most as many cells as the
+   suffixes in values, and what stands before adds the difference of its lengths.
+   What passes meets the sets and is verified by intersection, each pair once.
 4. For components not every pair is needed: in each run, all sets are first
    paired with one hub, the set with the fewest rarer shingles. Only where a
    run still holds sets of different components, the pairs across components
-   follow, all of them. No link between different texts is lost; pairs within a
+   follow, all of them that length and position let through: a set is joined with
+   the sizes that they leave it, in steps, so that what no filter lets through
+   is not listed. No link between different texts is lost; pairs within a
    component are never listed.
 
 Equal sets are one node, known by a 64-bit fingerprint, so copies cost nothing.
@@ -33,8 +37,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._graph import components
 from ._kernel import LOWER, U64, flat, fold, shared_runs, shingles, slices, word_hashes, words
@@ -43,6 +48,8 @@ from ._store import likely, materialize, once_each
 WIDTH, PERCENT = 5, 75
 #: Counters of the sketch, and how many a row of partial counts holds.
 COUNTERS, CHUNK = 1 << 22, 1 << 18
+#: A shingle that one in SHARE texts has is dealt out over PARTS. Steps of size a doubling by which sets across components are joined.
+SHARE, PARTS, STEPS = 128, 64, 8
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -79,10 +86,14 @@ def _add_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
             total[chunk] = total.get(chunk, 0) + own.astype(np.uint64)
     for chunk, n in total.items():
-        rank = np.minimum(255, np.round(8 * np.log2(1.0 + n))).astype(np.uint8)
+        rank = _rank(n)
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary())], names=["chunk", "ranks"])
 
 
+def _rank(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(8 * np.log2(1.0 + n))).astype(np.uint8)
+
+
 def sketch(texts: DataFrame, width: int = WIDTH) -> np.ndarray:
     """An eight-bit rank for each counter, by how many sets of all rows have a shingle there."""
     parts = texts.select("text").mapInArrow(_partial_counts(width), "chunk int, counts binary")
@@ -98,7 +109,14 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _postings(shared, width: int, percent: int):
+def _ordered(own: np.ndarray, ranks: np.ndarray, many: int) -> np.ndarray:
+    """The first many of a set's sorted values by (rank, value)."""
+    return own[np.argsort(ranks[(own & U64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:many]]
+
+
+def _postings(shared, width: int, percent: int, hot: int):
+    """Each set's prefix; shingles of rank hot and above with a part above 0, by set."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in slices(batches, "text"):
@@ -110,27 +128,58 @@ def _postings(shared, width: int, percent: int):
                     continue
                 seen.add(ident)
                 p = prefix_size(n, percent)
-                first = own[np.argsort(ranks[(own & U64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:p]]
-                out.append((first.view(np.int64), np.full(p, ident, np.int64), (np.int64(n) << 32) + np.arange(p, dtype=np.int64)))
+                first = _ordered(own, ranks, p)
+                part = np.where(ranks[(first & U64(COUNTERS - 1)).astype(np.int64)] >= hot, 1 + ident % PARTS, 0).astype(np.int16)
+                out.append((first.view(np.int64), part, np.full(p, ident, np.int64), (np.int64(n) << 32) + np.arange(p, dtype=np.int64)))
             if out:
-                h, fp, place = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(fp), pa.array(place)], names=["h", "fp", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "part", "fp", "place"])
 
     return work
 
 
+_BACK = (1 << 32) - 1
+
+
+def _size(side: str) -> Column:
+    return F.shiftright(f"place{side}", 32)
+
+
+def _place(side: str) -> Column:
+    return F.col(f"place{side}").bitwiseAND(F.lit(_BACK))
+
+
+def _most(side: str, percent: int) -> Column:
+    """The largest set that can be similar to this one, by what follows the common shingle here."""
+    return F.floor((100 + percent) * (_size(side) - _place(side)) / F.lit(percent)).cast("long") - _size(side)
+
+
 def _candidates(both: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs from rows with (fp, place) of two sets under one shingle, by length and position.
+    """Distinct pairs from rows with (fp, place) of two sets under one shingle, by length and position, with a place of either.
 
     The first shingle that two similar sets have in common leaves enough behind
     it in both; what does so under no common shingle is not similar.
     """
-    n = lambda s: F.shiftright(f"place{s}", 32)
-    p = lambda s: F.col(f"place{s}").bitwiseAND(F.lit((1 << 32) - 1))
-    least, most = F.least(n(1), n(2)), F.greatest(n(1), n(2))
-    overlap = F.floor((percent * (n(1) + n(2)) + (100 + percent - 1)) / (100 + percent))
-    ok = (F.col("fp1") != F.col("fp2")) & (100 * least >= percent * most) & (n(1) - p(1) >= overlap) & (n(2) - p(2) >= overlap)
-    return both.filter(ok).select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b")).distinct()
+    n, m = _size("1"), _size("2")
+    ok = (F.col("fp1") != F.col("fp2")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (m <= _most("1", percent)) & (n <= _most("2", percent))
+    at = lambda first, second: F.shiftleft(_place(first), 32) + _place(second)
+    rows = both.filter(ok).select(F.least("fp1", "fp2").alias("a"), F.greatest("fp1", "fp2").alias("b"), F.when(F.col("fp1") < F.col("fp2"), at("1", "2")).otherwise(at("2", "1")).alias("at"))
+    return rows.groupBy("a", "b").agg(F.min("at").alias("at")).select("a", "b", F.shiftright("at", 32).alias("p"), F.col("at").bitwiseAND(F.lit(_BACK)).alias("q"))
+
+
+def _across(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs under one shingle of rows (h, fp, place, component) of different components, the smaller set first.
+
+    The smaller one is joined by the steps of size from its own to the largest
+    that its place leaves it; so pairs that length or position rules out meet
+    only within a step.
+    """
+    step = lambda n: F.floor(F.log2(n.cast("double")) * STEPS)
+    side = lambda s: left.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("fp", "place", "component")])
+    one = side("1").withColumns({"n1": _size("1"), "most": _most("1", percent)}).filter("most >= n1")
+    one = one.withColumn("step", F.explode(F.sequence(step(F.col("n1")), step(F.col("most")))))
+    two = side("2").withColumns({"n2": _size("2"), "least2": _most("2", percent)}).withColumn("step", step(F.col("n2")))
+    met = one.join(two, ["h", "step"]).filter("(n1 < n2 OR n1 = n2 AND fp1 < fp2) AND n2 <= most AND n1 <= least2 AND component1 <> component2")
+    return met.select("fp1", "place1", "fp2", "place2")
 
 
 def _verify(percent: int):
@@ -151,25 +200,28 @@ def _verify(percent: int):
     return work
 
 
-def _sets_of(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """fp, values, cells, size for each fp of wanted: a written table, each fp once. A task passes each fp on once."""
+def _sets_of(wanted: DataFrame, texts: DataFrame, width: int, percent: int, shared) -> DataFrame:
+    """fp, values, cells, head, size for each fp of wanted: a written table, each fp once. A task passes each fp on once.
+
+    cells: the parity of all values; head: those of the prefix, in order.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            ids, own, cells, size = [], [], [], [0]
+            ids, own, cells, heads = [], [], [], []
             for s in _sets(batch, width):
                 if len(s) and (ident := fold(s)) not in seen:
                     seen.add(ident)
                     ids.append(ident)
                     own.append(s.view(np.int64))
                     cells.append(parity(s))
-                    size.append(size[-1] + len(s))
+                    heads.append(_ordered(s, shared.value, prefix_size(len(s), percent)).view(np.int64))
             if ids:
-                values = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), values, pa.array(cells, pa.binary()), pa.array(np.diff(size), pa.int64())], names=["fp", "values", "cells", "size"])
+                listed = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), listed(own), pa.array(cells, pa.binary()), listed(heads), pa.array([len(s) for s in own], pa.int64())], names=["fp", "values", "cells", "head", "size"])
 
-    return once_each(likely(texts.select("text").mapInArrow(emit, "fp long, values array<long>, cells binary, size long"), wanted))
+    return once_each(likely(texts.select("text").mapInArrow(emit, "fp long, values array<long>, cells binary, head array<long>, size long"), wanted))
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -178,9 +230,16 @@ def parity(values: np.ndarray) -> bytes:
     return np.packbits(np.bincount((values & U64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
 
 
-def parity_distance(x: bytes, y: bytes) -> int:
+def without(cells: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Parities after values of the set have left it."""
+    cells = cells.copy()
+    at = (values & U64(8 * len(cells) - 1)).astype(np.int64)
+    np.bitwise_xor.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return cells
+
+
+def parity_distance(u: np.ndarray, v: np.ndarray) -> int:
     """At most the number of values that one set has and the other lacks: each turns one cell over."""
-    u, v = (np.frombuffer(s, np.uint8) for s in (x, y))
     while len(u) != len(v):  # the larger table is folded: cells that agree in the lower bits fall together
         u, v = (u, v) if len(u) > len(v) else (v, u)
         u = u[: len(u) // 2] ^ u[len(u) // 2 :]
@@ -188,26 +247,30 @@ def parity_distance(x: bytes, y: bytes) -> int:
 
 
 def _close(percent: int):
-    """Suffix filter: pairs whose parities leave room for the overlap."""
+    """Suffix filter: pairs whose suffixes' parities leave room for the overlap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y, m, n in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "m", "n")], strict=True):
-                need = -(-percent * (m + n) // (100 + percent))
-                good.append(parity_distance(x, y) <= m + n - 2 * need)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = np.zeros(batch.num_rows, bool)
+            heads = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy().view(U64)) for c in ("s", "t")]
+            rows = zip(*[batch.column(c).to_pylist() for c in ("x", "y", "m", "n", "p", "q")], strict=True)
+            for i, (x, y, m, n, p, q) in enumerate(rows):
+                u, v = (without(np.frombuffer(c, np.uint8), own[at[i] : at[i] + k]) for c, (at, own), k in zip((x, y), heads, (p, q), strict=True))
+                room = m + n - 2 * -(-percent * (m + n) // (100 + percent))
+                good[i] = abs(p - q) + parity_distance(u, v) <= room
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return work
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    sets = _sets_of(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")), texts, width)
-    cells = lambda side, own, n: sets.select(F.col("fp").alias(side), F.col("cells").alias(own), F.col("size").alias(n))
-    pairs = pairs.join(cells("a", "x", "m"), "a").join(cells("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n").mapInArrow(_close(percent), "a long, b long")
-    pairs = materialize(pairs)
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int, shared) -> DataFrame:
+    """The pairs (a, b, p, q) that are similar."""
+    sets = _sets_of(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")), texts, width, percent, shared)
+    short = lambda side, own, head, n, at: sets.select(F.col("fp").alias(side), F.col("cells").alias(own), F.col("head").alias(head), F.col("size").alias(n))
+    met = pairs.join(short("a", "x", "s", "m", "p"), "a").withColumn("s", F.slice("s", 1, F.col("p").cast("int")))
+    met = met.join(short("b", "y", "t", "n", "q"), "b").withColumn("t", F.slice("t", 1, F.col("q").cast("int")))
+    close = materialize(met.select("a", "b", "x", "y", "s", "t", "m", "n", "p", "q").mapInArrow(_close(percent), "a long, b long"))
+    both = close.join(sets.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -215,25 +278,24 @@ def link_components(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT
     """node, component of the fingerprints of all sets that are linked with another."""
     spark = texts.sparkSession
     ranks = spark.sparkContext.broadcast(sketch(texts, width))
-    postings = texts.select("text").mapInArrow(_postings(ranks, width, percent), "h long, fp long, place long")
-    runs = materialize(postings.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, "h long, fp long, place long"))
+    hot = int(_rank(np.array([texts.count() / SHARE]))[0])
+    postings = texts.select("text").mapInArrow(_postings(ranks, width, percent, max(hot, 1)), "h long, part short, fp long, place long")
+    runs = materialize(postings.repartition("h", "part").sortWithinPartitions("h", "part", "fp", "place").mapInArrow(shared_runs, "h long, part short, fp long, place long")).drop("part")
     # the hub has fewest rarer shingles before the common one
-    rank = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 32) + F.shiftrightunsigned("fp", 32)
+    rank = F.shiftleft(F.col("place").bitwiseAND(F.lit(_BACK)), 32) + F.shiftrightunsigned("fp", 32)
     hubs = runs.groupBy("h").agg(F.min_by("fp", rank).alias("fp1"), F.min_by("place", rank).alias("place1"))
     members = runs.select("h", F.col("fp").alias("fp2"), F.col("place").alias("place2"))
     tried = materialize(_candidates(members.join(hubs, "h"), percent))
-    links = materialize(_linked(tried, texts, width, percent))
+    links = materialize(_linked(tried, texts, width, percent, ranks))
     # what a run still holds of different components
     found = materialize(components(links))
     named = runs.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     mixed = named.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("h")
     left = named.join(mixed, "h", "left_semi")
-    side = lambda s: left.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("fp", "place", "component")])
-    across = side(1).join(side(2), "h").filter("component1 < component2")
-    more = materialize(_candidates(across, percent).join(tried, ["a", "b"], "left_anti"))
+    more = materialize(_candidates(_across(left, percent), percent).join(tried, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return found
-    return components(links.unionAll(_linked(more, texts, width, percent)))
+    return components(links.unionAll(_linked(more, texts, width, percent, ranks)))
 
 
 def _fingerprints(width: int):
@@ -265,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, that of least id; rows without shingles all stay."""
+    """docs with one row of each component, that of least id, then of least columns in order; rows without shingles all stay."""
     named = _named(docs, id_col, text_col, width, percent)
     first = named.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp"))
     names = docs.columns
@@ -275,6 +337,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     own = f"c{names.index(id_col)}"
     alone = marked.filter("n_shingles = 0")
     chosen = marked.filter("n_shingles > 0").join(first, (F.col("fp") == F.col("_fp")) & F.col(own).eqNullSafe(F.col("_id")), "left_semi")
-    # rows that repeat both id and text are told apart by nothing: any of them stays
-    chosen = chosen.dropDuplicates(["fp", own])
-    return chosen.unionByName(alone).drop("n_shingles", "fp").toDF(*names)
+    # of rows that repeat the id and the set, the least of all columns stays
+    every = [f"c{i}" for i in range(len(names))]
+    order = [F.col(c) if _orders(docs.schema[n].dataType) else F.to_json(F.struct(c)) for c, n in zip(every, names, strict=True)]
+    chosen = chosen.groupBy("fp", F.col(own).alias("_own")).agg(F.min_by(F.struct(*every), F.struct(*order)).alias("k")).select("k.*")
+    return chosen.unionByName(alone.select(*every)).toDF(*names)
+
+
+def _orders(kind: T.DataType) -> bool:
+    """Whether Spark can sort values of this type."""
+    if isinstance(kind, T.StructType):
+        return all(_orders(f.dataType) for f in kind.fields)
+    return _orders(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
