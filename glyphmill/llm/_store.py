@@ -33,6 +33,18 @@ def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(table), "word").filter(F.expr(f"shiftright(bits, cast(pmod(fp, {BITS}) & 63 as int)) & 1 = 1")).drop("word", "bits")
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """rows (h, fp, ...) whose h has more than one fp. rows is read twice.
+
+    Least and greatest fp of an h are combined before the shuffle, and the rows
+    of a common h are split by the join, so neither needs them in one task.
+    """
+    ends = rows.groupBy("h").agg(F.min("fp").alias("least"), F.max("fp").alias("greatest")).filter("least <> greatest")
+    ends = materialize(ends.select("h"))
+    named = rows.withColumnRenamed("fp", "_fp")
+    return likely(named.withColumn("fp", F.col("h")), ends.select(F.col("h").alias("fp"))).drop("fp").withColumnRenamed("_fp", "fp").join(ends, "h").select(*rows.columns)
+
+
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
     for batch in batches:

@@ -9,7 +9,8 @@ one that has an earlier partner (by id, then line number) goes.
    shuffle.
 2. With one edit, two lines agree in their first or in their last words, as many
    as half of the longer one's rest. Only lines that share such a half with a
-   different line go on.
+   different line go on. A key's least and greatest line tell whether it is shared,
+   so a common one is combined before the shuffle and split when rows meet it.
 3. Those emit their deletion neighbourhood: the hash of the line without word i,
    for each i, and of the line itself. Equal keys are joined. Lines that leave
    the same rest at the same i differ in that word alone; a line that is another
@@ -34,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernel import LOWER, U64, flat, lines, mix, shared_runs, slices, word_hashes, words
-from ._store import likely, materialize, once_each
+from ._kernel import LOWER, U64, flat, lines, mix, slices, word_hashes, words
+from ._store import likely, materialize, once_each, shared_keys
 
 MIN_WORDS = 8
 _BASE = np.array([0x9FB21C651E98DF25], dtype=U64)
@@ -169,13 +170,11 @@ def near_pairs(texts: DataFrame, known: DataFrame) -> DataFrame:
 
     texts has text; known has fp, k1 to k4 and the ordering columns doc_id, th, line.
     """
-    halves = known.select("fp", F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("h")).filter("h IS NOT NULL").select("h", "fp", F.lit(0).cast("long").alias("place"))
-    like = halves.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(shared_runs, halves.schema).select("fp").distinct()
-    like = materialize(like)
+    halves = known.select("fp", F.explode(F.array_distinct(F.array("k1", "k2", "k3", "k4"))).alias("h")).filter("h IS NOT NULL")
+    like = materialize(shared_keys(halves).select("fp").distinct())
     tokens = once_each(likely(texts.mapInArrow(_tokens, "fp long, values array<long>"), like))
     tokens = tokens.join(like, "fp", "left_semi")
-    keys = tokens.mapInArrow(_neighbourhood, "h long, fp long, place long")
-    met = keys.repartition("h").sortWithinPartitions("h", "fp", "place").mapInArrow(shared_runs, keys.schema)
+    met = shared_keys(materialize(tokens.mapInArrow(_neighbourhood, "h long, fp long, place long")))
     order = F.struct("doc_id", "th", "line").alias("o")
     met = materialize(met.join(known.select("fp", order), "fp"))
     left = met.filter("place >= 0")
