@@ -96,15 +96,49 @@ def test_keep_one(spark, docs):
     rows = [(5, "one two three four five six"), (2, "One two three four five six"), (2, "one two three four five six"), (7, None), (8, None), (None, "one two three four five six"), (9, "else"), (4, "")]
     got = ngram_join.keep_one(docs(rows, extra=True))
     assert got.columns == ["doc_id", "text", "fp", "n_lines", "lang"]
+    assert [r.text for r in got.collect() if r.doc_id is None] == ["one two three four five six"]
     kept = sorted([(r.doc_id, tokens(r.text)) for r in got.collect()], key=str)
     assert kept == sorted([(None, tokens(rows[0][1])), (7, []), (8, []), (9, ["else"]), (4, [])], key=str)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.sets(st.integers(0, 500), min_size=1, max_size=200), st.sets(st.integers(0, 500), min_size=1, max_size=200))
-def test_parity_bounds_the_distance(a, b):
+@given(st.sets(st.integers(0, 500), min_size=1, max_size=200), st.sets(st.integers(0, 500), min_size=1, max_size=200), st.data())
+def test_parity_bounds_the_distance_of_suffixes(a, b, data):
     u, v = (np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in (a, b))
-    assert ngram_join.parity_distance(ngram_join.parity(u), ngram_join.parity(v)) <= len(a ^ b)
+    p, q = (data.draw(st.integers(0, len(s))) for s in (a, b))
+    cells = [ngram_join.without(np.frombuffer(ngram_join.parity(s), np.uint8), s[:k]) for s, k in ((u, p), (v, q))]
+    assert ngram_join.parity_distance(*cells) <= len(set(u[p:].tolist()) ^ set(v[q:].tolist()))
+
+
+def test_sets_that_position_rules_out_do_not_meet(spark):
+    n, at = 48, 12  # of equal sizes, with too little behind the common shingle
+    rows = [(7, i, (n << 32) + at, i) for i in range(500)]
+    left = spark.createDataFrame(rows, "h long, fp long, place long, component long")
+    assert ngram_join._across(left, 75).count() == 0
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), i, (rng.randint(5, 60) << 32) + rng.randint(0, 12), rng.randrange(40)) for i in range(300)]
+    left = spark.createDataFrame(rows, "h long, fp long, place long, component long")
+    got = {(r.a, r.b) for r in ngram_join._candidates(ngram_join._across(left, 75), 75).collect()}
+    want = set()
+    for (h, a, x, c), (g, b, y, d) in itertools.combinations(rows, 2):
+        n, m, p, q = x >> 32, y >> 32, x & 0xFFFFFFFF, y & 0xFFFFFFFF
+        overlap = -(-75 * (n + m) // 175)
+        if h == g and c != d and 100 * min(n, m) >= 75 * max(n, m) and min(n - p, m - q) >= overlap:
+            want.add((a, b))
+    assert got == want and want
+
+
+def test_shared_keys(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (2, 5, "c"), (2, 6, "d"), (3, 7, "e"), (-2, 1, "f"), (-2, 9, "g")], "h long, fp long, x string")
+    assert sorted(r.x for r in _store.shared_keys(rows).collect()) == ["c", "d", "f", "g"]
+    assert _store.shared_keys(rows.limit(0)).count() == 0
+
+
+def test_keep_one_takes_the_least_row(spark):
+    rows = [(1, t, x, m) for t, x, m in (("b a c d e F", "x", {"k": 1}), ("B a c d e f", "y", {"k": 2}), ("B a c d e f", "x", {"k": 2}), ("B a c d e f", "x", {"k": 1}))]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "doc_id long, text string, source string, more map<string,int>").repartition(3, "source")
+        assert [tuple(r) for r in ngram_join.keep_one(table).collect()] == [(1, "B a c d e f", "x", {"k": 1})]
 
 
 # ---- lines
@@ -178,8 +212,10 @@ def _stretch_edits(p, t):
     return min(row)
 
 
+@pytest.mark.parametrize("hits", [1 << 20, 50])
 @pytest.mark.parametrize("seed", range(8))
-def test_leaks_are_those_of_brute_force(seed):
+def test_leaks_are_those_of_brute_force(seed, hits, monkeypatch):
+    monkeypatch.setattr(dc, "HITS", hits)
     rng = random.Random(seed)
     vocabulary = "the erha onthe tion re and wh eré not x ingly".split()
     make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -214,11 +250,35 @@ def test_leak_tables(spark, docs):
     assert dc.find_leaks(docs(rows), benchmark.limit(0)).count() == 0 and dc.find_leaks(docs([]), benchmark).count() == 0
 
 
+def test_many_items_that_share_a_phrase():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    phrase = "which of the following statements is the best answer"
+    items = [" ".join([*(word() for _ in range(5)), phrase, *(word() for _ in range(5))]) for _ in range(2000)]
+    index = dc.build(list(range(2000)), items)
+    texts = [" ".join([*(word() for _ in range(80)), phrase, *(word() for _ in range(80))]), f"x {items[7]} y {items[7].upper()} z {items[1999]}", "z" * 20000]
+    got = [(m.text, m.item) for m in dc.search(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), index)]
+    assert got == [(1, 7), (1, 7), (1, 1999)]
+    assert dc.search(pa.RecordBatch.from_arrays([pa.array(["z" * 20000])], names=["text"]), dc.build([1], ["z" * 93]))
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "decimal(5,0)", "date"])
+def test_ids_of_any_type(spark, docs, kind):
+    item = "Where does the old river bend before it meets the sea, and who has seen it do so?"
+    own = "date'2020-01-02'" if kind == "date" else "7"
+    benchmark = spark.sql(f"SELECT cast({own} AS {kind}) AS item_id, '{item}' AS text UNION ALL SELECT NULL, 'short one'")
+    rows = docs(["a " + item + " b", "nothing", "A short one."]).selectExpr(f"cast({'date_add(cast(0 as timestamp), cast(doc_id as int))' if kind == 'date' else 'doc_id'} AS {kind}) AS doc_id", "text")
+    got = dc.find_leaks(rows, benchmark)
+    assert got.schema["item_id"].dataType.simpleString() == got.schema["doc_id"].dataType.simpleString() == kind
+    assert sorted((r.item_id is None, r.end - r.start) for r in got.collect()) == [(False, len(item) - 1), (True, len("short one"))]
+
+
 def test_short_items_are_found_whole(spark, docs):
     benchmark = spark.createDataFrame([(1, "Who is it?"), (2, "it"), (3, "is it"), (4, " "), (5, "WHO is it"), (6, "éa")], "item_id long, text string")
     texts = ["So - who IS  it, then; who is it", "whois it", "its", "", None, "it", "who is", "it éa", "éab"]
-    got = {(r.doc_id, r.item_id): texts[r.doc_id].encode()[r.start : r.end].decode() for r in dc.find_leaks(docs(texts), benchmark).collect()}
-    assert got == {(0, 1): "who IS  it", (0, 2): "it", (0, 3): "IS  it", (0, 5): "who IS  it", (1, 2): "it", (5, 2): "it", (7, 2): "it", (7, 6): "éa"}
+    got = sorted((r.doc_id, r.item_id, texts[r.doc_id].encode()[r.start : r.end].decode()) for r in dc.find_leaks(docs(texts), benchmark).collect())
+    first = [(0, i, t) for i, t in ((1, "who IS  it"), (1, "who is it"), (2, "it"), (2, "it"), (3, "IS  it"), (3, "is it"), (5, "who IS  it"), (5, "who is it"))]
+    assert got == [*first, (1, 2, "it"), (5, 2, "it"), (7, 2, "it"), (7, 6, "éa")]
     assert sorted(r.doc_id for r in dc.decontaminate(docs(texts), benchmark).collect()) == [2, 3, 4, 6, 8]
 
 
@@ -253,17 +313,28 @@ def test_best_chain(rows):
     assert all(y[a] + n[a] <= y[b] and x[a] + n[a] <= x[b] for c in found for a, b in itertools.pairwise(c))
 
 
+def _seeds(*texts):
+    first = np.cumsum([0, *map(len, texts)])
+    return [c.tolist() for c in passages.seeds(np.concatenate([np.zeros(0, np.uint64), *texts]), first, np.ones(len(texts), bool))]
+
+
 def test_seeds_depend_on_their_words_alone():
     rng = np.random.default_rng(0)
-    for n in (1, 4, 5, 60, 300):
-        word = rng.integers(0, 2**63, n).astype(np.uint64)
-        key, at = passages.seeds(word)
-        for k, i in zip(key, at, strict=True):
-            assert passages.shingles(word[i : i + passages.K], passages.K)[0] == k and k % np.uint64(passages.KEEP) == 0
-        later = passages.seeds(np.concatenate((rng.integers(0, 2**63, 7).astype(np.uint64), word)))
-        assert set(zip(key.tolist(), (at + 7).tolist(), strict=True)) <= set(zip(*(c.tolist() for c in later), strict=True))
-    key, at = passages.seeds(np.full(400, 5, np.uint64))  # repeats have keys of their own
-    assert 100 < len(set(key.tolist())) <= len(key) < 300
+    texts = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 0, 4, 5, 60, 300, 7)]
+    every = list(zip(*_seeds(*texts), strict=True))
+    assert len(every) > 60 and not any(r[3] for r in every)
+    for t, key, at, _ in every:
+        assert passages.shingles(texts[t][at : at + passages.K], passages.K)[0] == key and key % passages.KEEP == 0 and at + passages.K <= len(texts[t])
+    for t, own in enumerate(texts):  # the same alone, or behind other words
+        alone = {(k, p) for _, k, p, _ in zip(*_seeds(own), strict=True)}
+        assert alone == {(k, p) for i, k, p, _ in every if i == t}
+        later = {(k, p - 7) for _, k, p, _ in zip(*_seeds(np.concatenate((texts[6], own))), strict=True)}
+        assert alone <= later
+    periodic = np.full(400, 5, np.uint64)
+    _, key, at, again = _seeds(periodic)
+    assert len(set(key)) == 396 - (key[0] % passages.KEEP != 0) and set(at) >= set(range(1, 396)) and sum(again) >= 394
+    _, key, _, _ = _seeds(periodic, periodic[:300])
+    assert len(key) > len(set(key)) >= 395  # ranks meet across texts
 
 
 def _needed_by_hand(pos, key):
@@ -285,8 +356,8 @@ def test_the_seeds_that_pair_texts(rows):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 1), st.integers(0, 3), st.integers(0, 2)), max_size=60), st.integers(1, 7))
-def test_hubs_are_the_first_of_runs(rows, size):
-    rows = sorted(rows)
+def test_hubs_are_the_least_of_runs(rows, size):
+    rows = sorted(rows, key=lambda r: r[0])
     table = pa.table({c: pa.array([r[i] for r in rows], pa.int16() if c == "part" else pa.int64()) for i, c in enumerate(("h", "part", "fp", "place"))})
     got = [tuple(r.values()) for b in passages._hubs(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
     want = []
@@ -299,10 +370,10 @@ def test_hubs_are_the_first_of_runs(rows, size):
 
 def test_long_runs_are_passed_on(monkeypatch):
     monkeypatch.setattr(passages, "LONG", 5)
-    rows = [(1, 0, 1, 0)] + [(2, 0, i, 0) for i in range(30)] + [(3, 0, 1, 0), (3, 0, 2, 0)]
+    rows = [(1, 0, 1, 0)] + [(2, i % 2, i, 0) for i in range(30)] + [(3, 0, 1, 0), (3, 0, 2, 0)]
     table = pa.table({c: pa.array([r[i] for r in rows], pa.int16() if c == "part" else pa.int64()) for i, c in enumerate(("h", "part", "fp", "place"))})
     got = [tuple(r.values()) for b in passages._hubs(iter(table.to_batches(max_chunksize=4))) for r in b.to_pylist()]
-    assert got == [(*r, 6, 0, 0) for r in rows[1:31]] + [(*r, 2, 1, 0) for r in rows[31:]]
+    assert sorted(got) == sorted([(*r, 6, r[1], 0) for r in rows[1:31]] + [(*r, 2, 1, 0) for r in rows[31:]])
 
 
 def test_passages(spark, docs):
@@ -379,7 +450,7 @@ def _pairs_with_edits(rate, n, seed=1):
     return rows
 
 
-@pytest.mark.parametrize(("rate", "least"), [(0.0, 1.0), (0.03, 1.0), (0.06, 1.0), (0.1, 0.98), (0.15, 0.9)])
+@pytest.mark.parametrize(("rate", "least"), [(0.0, 1.0), (0.03, 1.0), (0.06, 1.0), (0.1, 0.97), (0.14, 0.9)])
 def test_passages_with_edits_are_found(spark, docs, rate, least):
     rows = _pairs_with_edits(rate, 100)
     got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.find_passages(docs(rows)).collect()}

@@ -30,15 +30,16 @@ def test_words_and_lines(texts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.integers(0, 2)), max_size=40), st.integers(1, 7))
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 1), st.integers(0, 3), st.integers(0, 2)), max_size=40), st.integers(1, 7))
 def test_shared_runs(rows, size):
     rows = sorted(rows)
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], names=["h", "fp", "place"]) for i in range(0, len(rows), size)]
+    kinds = [pa.int64(), pa.int16(), pa.int64(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), kinds, strict=True)], names=["h", "part", "fp", "place"]) for i in range(0, len(rows), size)]
     got = [tuple(r.values()) for b in k.shared_runs(iter(batches)) for r in b.to_pylist()]
     fps = {}
-    for h, fp, _ in rows:
-        fps.setdefault(h, set()).add(fp)
-    assert got == [r for r in sorted(set(rows)) if len(fps[r[0]]) > 1]
+    for h, part, fp, _ in rows:
+        fps.setdefault((h, part), set()).add(fp)
+    assert got == [r for r in sorted(set(rows)) if r[1] or len(fps[r[:2]]) > 1]
 
 
 @settings(max_examples=100, deadline=None)

@@ -131,6 +131,26 @@ def test_licences_of_every_wording(spark, docs):
     assert got == {i: [label] for i, label in enumerate(want.values())}
 
 
+def _resolved(places):
+    kept = []
+    for p in sorted(places, key=lambda p: (-p[2], p[0], -p[1], p[3])):
+        if all(q[0] > p[1] or p[0] > q[1] for q in kept):
+            kept.append(p)
+    return sorted(kept)
+
+
+def test_overlaps_are_resolved_by_priority(spark):
+    rng = random.Random(7)
+    rows = [[(0, 4, 50, 0), (3, 8, 70, 1), (7, 9, 90, 2)]]  # the last overrules the second, which frees the first
+    for _ in range(40):
+        rows.append([(a, a + rng.randint(0, 6), rng.choice((50, 70, 80, 90)), n) for n, a in enumerate(rng.randrange(30) for _ in range(rng.randint(0, 12)))])
+    place = "array<struct<first:int,last:int,priority:int,order:int,rule:string,label:string>>"
+    table = spark.createDataFrame([(i, [(*p, "r", "l") for p in r]) for i, r in enumerate(rows)], f"i int, found {place}")
+    made = table.select("i", licenses._clusters(licenses._ordered(F.col("found"))).alias("c")).select("i", F.flatten(F.transform("c", licenses._strongest)).alias("d"))
+    got = {r.i: [(p["first"], p["last"], p["priority"], p["order"]) for p in r.d] for r in made.collect()}
+    assert got == {i: _resolved(r) for i, r in enumerate(rows)} and got[0] == [(0, 4, 50, 0), (7, 9, 90, 2)]
+
+
 def test_media(spark, docs):
     got = {r.doc_id: r for r in media.to_media(docs(ODD, extra=True)).collect()}
     for i, text in enumerate(ODD):
@@ -295,6 +315,22 @@ def test_chats(spark):
     assert chat.format_chats(made.limit(0).selectExpr("conv_id", "0L as turn", "'' as role", "formatted as text")).count() == 0
 
 
+def test_turns_of_one_place_sort_by_their_texts(spark):
+    texts = ["[/x", "[/INST]", "b", "a", None, "<s>", "</s>", "<a"]
+    rows = [(0, 1, "user", t) for t in texts] + [(0, 1, "assistant", t) for t in texts] + [(0, None, "user", "z"), (0, 0, None, "y")]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = made.select(chat.parse_turns(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    plain = sorted(t or "" for t in texts)
+    assert [(t["role"], t["text"]) for t in got.t] == [("user", "z"), ("", "y"), *(("assistant", t) for t in plain), *(("user", t) for t in plain)]
+    assert got.loss == "".join(plain)
+
+
+def test_very_long_turn(spark):
+    text = "</s>[INST] long " * 30000
+    made = chat.format_chats(spark.createDataFrame([(0, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    assert made.select(chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("t")).first().t == text
+
+
 def test_chat_parts(spark):
     parts = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
     rows = [(0, 0, "user", [("text", "see <s> ", None, None, None, None, None), ("image", None, "i.png", 56, 29, None, None), ("audio", None, "a.wav", None, None, 2.0, None)]), (0, 1, "assistant", [("document", None, "d.pdf", None, None, None, 2), ("text", "done", None, None, None, None, None)]), (0, 2, "user", None)]
