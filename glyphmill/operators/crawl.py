@@ -4,7 +4,8 @@ First-in-first-out order is level order, so a level can be fetched as a whole:
 its first occurrences that no earlier level has seen, in order, are cut where a
 running sum of fetched pages or of downloads meets its budget. A level is
 fetched before that point is known, so a live fetcher may fetch more of a level
-than counts.
+than counts. Files are written for what the cut leaves only; if some cannot be
+written, the rest of the level is cut again with the budget that they left.
 """
 
 from __future__ import annotations
@@ -71,11 +72,18 @@ def first_unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
 def within_budget(level: DataFrame, max_pages: int, max_downloads: int, pages: int = 0, downloads: int = 0) -> DataFrame:
     """Of level (ord, ok, downloaded): the rows before either budget is met, counting from pages and downloads.
 
-    The running sums go over the whole level in one order, on narrow columns.
+    Running sums go over ranges of the order, each in its own task; only the
+    ranges' totals are added up in one.
     """
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = lambda c, start: F.coalesce(F.sum(F.col(c).cast("long")).over(before), F.lit(0)) + start
-    return level.withColumns({"_p": so_far("ok", pages), "_d": so_far("downloaded", downloads)}).filter((F.col("_p") < max_pages) & (F.col("_d") < max_downloads)).drop("_p", "_d")
+    own = materialize(level.repartitionByRange("ord").withColumn("_part", F.spark_partition_id()))
+    sums = [F.sum(F.col(c).cast("long")) for c in ("ok", "downloaded")]
+    totals = own.groupBy("_part").agg(sums[0].alias("p"), sums[1].alias("d"))
+    earlier = "coalesce(sum({0}) over (order by _part rows between unbounded preceding and 1 preceding), 0) as _{0}0"
+    before = Window.partitionBy("_part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda total, start: F.coalesce(total.over(before), F.lit(0)) + start
+    placed = own.join(F.broadcast(totals.selectExpr("_part", earlier.format("p"), earlier.format("d"))), "_part")
+    placed = placed.withColumns({"_p": so_far(sums[0], pages) + F.col("_p0"), "_d": so_far(sums[1], downloads) + F.col("_d0")})
+    return placed.filter((F.col("_p") < max_pages) & (F.col("_d") < max_downloads)).select(*level.columns)
 
 
 @dataclass
@@ -93,7 +101,10 @@ def _no_failure(rows: DataFrame) -> DataFrame:
 
 
 def file_writer(directory: str) -> Callable[[DataFrame], DataFrame]:
-    """Writes downloads (url, content, path) under directory, a folder the executors share, with write_error for each."""
+    """Writes downloads (url, ord, content, path) under directory, a folder the executors share, with write_error for each.
+
+    What goes to one path is written by one task, in crawl order: the last stays.
+    """
 
     def write(rows: DataFrame) -> DataFrame:
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +120,8 @@ def file_writer(directory: str) -> Callable[[DataFrame], DataFrame]:
                         errors.append(str(e))
                 yield batch.assign(write_error=errors)
 
-        return rows.mapInPandas(work, T.StructType([*rows.schema.fields, T.StructField("write_error", T.StringType())]))
+        placed = rows.repartition("path").sortWithinPartitions("path", "ord")
+        return placed.mapInPandas(work, T.StructType([*rows.schema.fields, T.StructField("write_error", T.StringType())]))
 
     return write
 
@@ -127,23 +139,30 @@ def crawl(spark: SparkSession, seed: str, source, out_dir: str = "out", max_page
             break
         got = source.fetch(fresh)
         target = F.col("ok") & wants_download(F.col("url"), F.col("content_type"))
-        named = got.withColumns({"target": target, "path": F.when(target, F.concat(F.lit(folder), safe_filename(F.col("url"))))})
-        tried = materialize(write(named.filter("target")).unionByName(named.filter("not target").withColumn("write_error", F.lit(None).cast("string"))))
-        flags = tried.select("url", "ord", "ok", (F.col("target") & F.col("write_error").isNull()).alias("downloaded"))
-        kept = materialize(within_budget(flags, max_pages, max_downloads, pages, downloads))
-        mine = tried.join(kept.select("url", "downloaded"), "url")
-        kind = F.when(~F.col("ok"), "page_error").when(F.col("downloaded"), "download").when(F.col("target"), "download_error")
-        told = mine.withColumn("type", kind).filter(F.col("type").isNotNull()).select(
-            F.lit(level).cast("long").alias("level"), "ord", "type", "url",
-            F.when(F.col("type") == "download", F.col("path")).alias("path"),
-            F.when(F.col("type") == "download", F.lower(F.coalesce("content_type", F.lit("")))).alias("content_type"),
-            F.when(F.col("type") == "page_error", F.col("error")).when(F.col("type") == "download_error", F.col("write_error")).alias("error"),
-        )
-        events = materialize(events.unionByName(told))
-        visited = materialize(visited.unionByName(kept.select("url")))
-        n = kept.agg(F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0)).alias("p"), F.coalesce(F.sum(F.col("downloaded").cast("long")), F.lit(0)).alias("d")).first()
-        pages, downloads, level = pages + n["p"], downloads + n["d"], level + 1
-        parents = mine.filter(F.col("ok") & ~F.col("target") & is_html(F.col("content_type"), F.col("body"))).select("url", "body", "ord")
+        got = materialize(got.withColumns({"target": target, "path": F.when(target, F.concat(F.lit(folder), safe_filename(F.col("url"))))}))
+        left, parents = got.select("url", "ord", "ok", F.col("target").alias("downloaded")), None
+        while True:
+            kept = materialize(within_budget(left, max_pages, max_downloads, pages, downloads))
+            mine = got.join(kept.select("url"), "url")
+            mine = materialize(write(mine.filter("target")).unionByName(mine.filter("not target").withColumn("write_error", F.lit(None).cast("string"))))
+            kind = F.when(~F.col("ok"), "page_error").when(~F.col("target"), None).when(F.col("write_error").isNull(), "download").otherwise("download_error")
+            told = mine.withColumn("type", kind).filter(F.col("type").isNotNull()).select(
+                F.lit(level).cast("long").alias("level"), "ord", "type", "url",
+                F.when(F.col("type") == "download", F.col("path")).alias("path"),
+                F.when(F.col("type") == "download", F.lower(F.coalesce("content_type", F.lit("")))).alias("content_type"),
+                F.when(F.col("type") == "page_error", F.col("error")).when(F.col("type") == "download_error", F.col("write_error")).alias("error"),
+            )
+            events, visited = events.unionByName(told), visited.unionByName(mine.select("url"))
+            own = mine.filter(F.col("ok") & ~F.col("target") & is_html(F.col("content_type"), F.col("body"))).select("url", "body", "ord")
+            parents = own if parents is None else parents.unionByName(own)
+            n = mine.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in (("p", F.col("ok")), ("d", F.col("target") & F.col("write_error").isNull()), ("failed", F.col("write_error").isNotNull()))]).first()
+            pages, downloads = pages + n["p"], downloads + n["d"]
+            if not n["failed"] or pages >= max_pages or downloads >= max_downloads:
+                break
+            left = materialize(left.join(kept.select("url"), "url", "left_anti"))
+            if left.isEmpty():
+                break
+        events, visited, level = materialize(events), materialize(visited), level + 1
         frontier = materialize(next_frontier(parents, seed, same_host_only))
     return CrawlResult(events, visited, pages, downloads)
 

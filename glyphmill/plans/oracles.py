@@ -1,8 +1,9 @@
 """DuckDB SQL with the same results, for the registered queries.
 
-The lost letter becomes a character that no document holds, so it can be
-matched with nothing: every one of them is one edit, and the distance is their
-number.
+In the ocr_ queries the lost letter becomes a character that no document holds,
+so it can be matched with nothing: every one of them is one edit, and the
+distance is their number. The queries over turns and sentences compare with
+DuckDB's own distance, letters and words first made single bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,56 @@ _SUFFIX = "lower(regexp_extract(path, '/[^/]+(\\.[^./]+)$', 1))"
 _IMAGE = f"{_SUFFIX} IN ('.png', '.jpg', '.jpeg', '.webp', '.tif', '.tiff')"
 _STEM = f"substr(regexp_extract(path, '([^/]*)$', 1), 1, length(regexp_extract(path, '([^/]*)$', 1)) - length({_SUFFIX}))"
 
+_ERRORS = [("qu", ""), ("th", "thh"), ("e ", "a "), ("en", "e n")]
+
+
+def _misread(value: str, errors: list = _ERRORS) -> str:
+    for old, new in errors:
+        value = f"replace({value}, '{old}', '{new}')"
+    return value
+
+
+def _edited(value: str, columns: str, table: str) -> str:
+    """pred and ref with their distance: every letter of either becomes one byte, since the function counts bytes."""
+    return f"""
+        WITH x AS (SELECT {columns}, text AS ref, {value} AS pred FROM {table}),
+        letters AS (SELECT c, row_number() OVER (ORDER BY c) AS r FROM (SELECT DISTINCT unnest(string_split(ref || pred, '')) AS c FROM x) WHERE c <> ''),
+        v AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS f, coalesce(string_agg(chr(r::INT), '' ORDER BY c), '') AS t FROM letters)
+        SELECT x.*, levenshtein(translate(pred, f, t), translate(ref, f, t)) AS edits FROM x CROSS JOIN v"""
+
+
+def _cer(errors: list) -> str:
+    rate = "CASE WHEN ref = '' THEN CASE WHEN pred = '' THEN 0.0 ELSE 1.0 END ELSE edits / length(ref) END"
+    return f"(SELECT coalesce(avg({rate}), 0) AS cer, count(*) AS n FROM ({_edited(_misread('text', errors), 'turn', 'conversations')}))"
+
+
+_SPLIT = "list_filter(string_split_regex({0}, '[\\t-\\r\\x1c-\\x20]+'), lambda w: w <> '')"
+
 ORACLES: dict[str, str] = {
+    "turn_cer_rows": f"SELECT conv_id, turn, edits AS char_edits FROM ({_edited(_misread('text'), 'conv_id, turn', 'conversations')})",
+    "sentence_wer_rows": f"""
+        WITH s AS (SELECT conv_id, turn, unnest(string_split_regex(text, '[.\n]')) AS ref, unnest(range(len(string_split_regex(text, '[.\n]')))) AS n FROM conversations),
+        w AS (SELECT conv_id, turn, n, {_SPLIT.format('ref')} AS r, {_SPLIT.format(_misread("replace(ref, 'n, ', 'n,')"))} AS p FROM s),
+        v AS (SELECT *, list_distinct(r || p) AS known FROM w),
+        d AS (SELECT conv_id, turn, n, len(r) AS n_words, len(p) AS m, levenshtein(array_to_string(list_transform(p, lambda x: chr(list_position(known, x))), ''), array_to_string(list_transform(r, lambda x: chr(list_position(known, x))), '')) AS word_edits FROM v)
+        SELECT conv_id, turn, n::INT AS n, word_edits, n_words, round(CASE WHEN n_words = 0 THEN CASE WHEN m = 0 THEN 0.0 ELSE 1.0 END ELSE word_edits / n_words END, 6) AS wer FROM d""",
+    "predicted_rows": f"SELECT conv_id * 1000 + turn AS row_idx, conv_id || '-' || turn AS id, md5(text) AS ref_md5, md5({_misread('text')}) AS pred_md5, md5('/img/' || text || '.png') AS path_md5 FROM conversations",
+    "predicted_summary": f"SELECT round(a.cer, 6) AS base_cer, round(b.cer, 6) AS tuned_cer, round(b.cer - a.cer, 6) AS delta_cer, a.n AS base_samples FROM {_cer(_ERRORS)} a CROSS JOIN {_cer(_ERRORS[:2])} b",
+    "examples_file": """
+        WITH t AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS row_idx FROM benchmark)
+        SELECT row_idx, CASE item_id % 4 WHEN 0 THEN '/data/set/b/' || item_id WHEN 1 THEN '/abs/' || item_id ELSE '/data/set/i/' || item_id END AS image_path,
+          CASE WHEN item_id % 3 = 0 THEN 'n' || item_id ELSE row_idx::VARCHAR END AS id, md5(text) AS text_md5 FROM t""",
+    "eval_head": "SELECT row_idx, CASE WHEN doc_id % 3 = 0 THEN 'd' || doc_id ELSE row_idx::VARCHAR END AS id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, count(*) OVER () AS n FROM documents) WHERE row_idx < n - 7",
+    "collated_batches": f"""
+        WITH t AS (SELECT doc_id // 8 AS batch, list_transform(({_SPLIT.format('text')})[1:64], lambda w: length(w)) AS ids FROM documents),
+        b AS (SELECT batch, count(*) AS rows, max(len(ids)) AS width, sum(len(ids)) AS n, coalesce(sum(list_sum(ids)), 0) AS s FROM t GROUP BY batch)
+        SELECT batch, rows, width, s::BIGINT AS ids_sum, (s - 100 * (rows * width - n))::BIGINT AS labels_sum FROM b""",
+    "crawl_levels": """
+        WITH RECURSIVE s AS (SELECT count(*) AS n FROM supplier), r(k) AS (SELECT 1::BIGINT UNION ALL SELECT unnest([2 * k, 2 * k + 1]) FROM r CROSS JOIN s WHERE k <= n AND k % 7 <> 0),
+        e AS (SELECT k, CASE WHEN k <= n THEN 'download' ELSE 'page_error' END AS type, '/' || k || CASE WHEN k % 7 = 0 THEN '.png' ELSE '' END AS name, floor(log2(k)) AS level, k // 2 AS parent, k % 2 AS odd FROM r CROSS JOIN s WHERE k > n OR k % 7 = 0)
+        SELECT type, 'http://s' || name AS url, CASE WHEN type = 'download' THEN 'out/downloads' || name END AS path, (row_number() OVER (ORDER BY level, place) - 1)::INT AS position
+        FROM (SELECT *, list_reverse(list_transform(range(level::INT), lambda i: 1 - (k // (2 ** i)::BIGINT) % 2)) AS place FROM e)""",
+    "metric_table": "SELECT 'run' AS run, r_regionkey::BIGINT AS step, 'train/loss' AS name, 1.0 / (1 + r_regionkey) AS value FROM region UNION ALL SELECT 'run', r_regionkey::BIGINT, 'eval/' || r_name, r_regionkey FROM region",
     "ocr_cer_rows": f"SELECT doc_id, {_E} AS char_edits, length(text) AS n_chars, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE {_E} / length(text) END, 6) AS cer FROM documents",
     "ocr_wer_rows": f"SELECT doc_id, {_E} AS word_edits, {_WORDS} AS n_words, round(CASE WHEN {_WORDS} = 0 THEN 0.0 ELSE {_E} / {_WORDS} END, 6) AS wer FROM documents",
     "ocr_edge_cases": f"""

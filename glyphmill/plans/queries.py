@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import shared_dir, ship
 from ..functions import media, results, text, urls
 from ..functions.metrics import macro_metrics, score_rows
 from ..operators import chat, collate, crawl, evaluate, runs
@@ -258,11 +259,123 @@ def endpoint_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", chat.endpoint(F.col("base")).alias("address"), chat.headers(F.col("key"))["Authorization"].alias("authorization"))
 
 
+#: How a reading differs from its text: what is left out, doubled, mistaken and torn apart.
+ERRORS = (("qu", ""), ("th", "thh"), ("e ", "a "), ("en", "e n"))
+
+
+def _misread(value: Column, errors: tuple = ERRORS) -> Column:
+    for old, new in errors:
+        value = F.replace(value, F.lit(old), F.lit(new))
+    return value
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("ref")))
+
+
+def turn_cer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character edits between each turn and a reading of it with letters left out, added and mistaken."""
+    rows = _turns(spark, sf_dir)
+    return rows.select("conv_id", "turn", text.char_distance(_misread(F.col("ref")), F.col("ref")).alias("char_edits"))
+
+
+def sentence_wer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word edits and error rate of each sentence of the turns, read with words torn apart, joined and mistaken."""
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(F.split("ref", "[.\n]")).alias("n", "ref"))
+    rows = rows.withColumn("pred", _misread(F.replace("ref", F.lit("n, "), F.lit("n,"))))
+    counted = rows.select("conv_id", "turn", "n", text.word_distance("pred", "ref").alias("word_edits"), F.size(text.words(F.col("ref"))).cast("long").alias("n_words"), F.size(text.words(F.col("pred"))).alias("_p"))
+    rate = F.when(F.col("n_words") == 0, F.when(F.col("_p") == 0, 0.0).otherwise(1.0)).otherwise(F.col("word_edits") / F.col("n_words"))
+    return counted.withColumn("wer", F.round(rate, 6)).drop("_p")
+
+
+def _misreader(errors: tuple):
+    """A predictor that reads the text out of an image's path, with errors."""
+
+    def make():
+        def read(paths: list[str]) -> list:
+            answers = []
+            for i, path in enumerate(paths):
+                said = path.removeprefix("/img/").removesuffix(".png")
+                for old, new in errors:
+                    said = said.replace(old, new)
+                answers.append([said, {"text": said}, {"result": said}][i % 3])
+            return answers
+
+        return read
+
+    return make
+
+
+def _evaluated(spark: SparkSession, sf_dir: str, errors: tuple) -> DataFrame:
+    """The answers of a predictor to the turns, beside their references."""
+    rows = _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("/img/"), "ref", F.lit(".png")).alias("image_path"), F.col("ref").alias("text"))
+    return evaluate.result_rows(rows, _misreader(errors))
+
+
+def predicted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a predictor answers for each turn, paired with its reference."""
+    return _evaluated(spark, sf_dir, ERRORS).select("row_idx", "id", F.md5("ref").alias("ref_md5"), F.md5("pred").alias("pred_md5"), F.md5("image_path").alias("path_md5"))
+
+
+def predicted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The macro character error rate of a predictor over all turns, and a second one's, and their difference."""
+    both = evaluate.compare(_evaluated(spark, sf_dir, ERRORS), _evaluated(spark, sf_dir, ERRORS[:2]))
+    return both.select(F.round("base_cer", 6).alias("base_cer"), F.round("tuned_cer", 6).alias("tuned_cer"), F.round("delta_cer", 6).alias("delta_cer"), "base_samples")
+
+
+def examples_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of benchmark written as a file of JSON lines, with blank lines, dot paths and repeated keys, and read as examples."""
+    items = _table(spark, sf_dir, "benchmark")
+    k = F.col("item_id").cast("string")
+    path = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("./a/../b/"), k)).when(F.col("item_id") % 4 == 1, F.concat(F.lit("/abs/"), k)).otherwise(F.concat(F.lit("i/"), k))
+    own = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(',"id":"n'), k, F.lit('"'))).when(F.col("item_id") % 3 == 1, F.lit(',"id":null')).otherwise(F.lit(""))
+    twice = F.when(F.col("item_id") % 5 == 0, F.lit('"text":"first",')).otherwise(F.lit(""))
+    line = F.concat(F.lit('{"image_path":"'), path, F.lit('",'), twice, F.expr("substring(to_json(struct(text)), 2, length(to_json(struct(text))) - 2)"), own, F.lit("}"))
+    blank = F.when(F.col("item_id") % 2 == 0, F.array(line, F.lit(" \t"), F.lit(""))).otherwise(F.array(line))
+    lines = items.repartitionByRange(1, "item_id").sortWithinPartitions("item_id").select(F.explode(blank).alias("value"))
+    folder = f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    return examples.read_examples(spark, folder, FOLDER).select("row_idx", "image_path", "id", F.md5("text").alias("text_md5"))
+
+
+def eval_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that an evaluation keeps where a negative limit drops some from the end."""
+    return examples.head(examples.parse(_lines(spark, sf_dir)), -7).select("row_idx", "id")
+
+
+def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight documents as arrays of rows, cut to 64 ids, padded and masked."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), F.transform(text.words(F.col("text")), lambda w: F.char_length(w)).alias("input_ids"))
+    made = collate.collate(docs, 8, most=64)
+    total = lambda c: F.aggregate(F.flatten(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select("batch", F.size("input_ids").cast("long").alias("rows"), F.size(F.get("input_ids", F.lit(0))).cast("long").alias("width"), total("input_ids").alias("ids_sum"), total("labels").alias("labels_sum"))
+
+
+def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of several levels over a site made of suppliers: page k links to 2k and 2k + 1, every seventh is a file, the last ones lead nowhere."""
+    name = lambda k: F.concat(F.lit("/"), k.cast("string"), F.when(k % 7 == 0, ".png").otherwise(""))
+    k = F.col("s_suppkey") - F.lit(_table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0] or 0) + 1
+    link = lambda c: F.concat(F.lit('<p><a href="'), name(c), F.lit('">x</a>'))
+    pages = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("http://s"), name(k)).alias("url"), F.concat(link(2 * k + 1), F.lit("<img src='"), name(2 * k), F.lit("'>")).alias("body"), F.lit("text/html").alias("content_type"))
+    got = crawl.crawl(spark, "http://s/1", PageStore(pages), max_pages=10**6, max_downloads=10**6)
+    order = Window.orderBy("level", "ord")
+    return got.events.select("type", "url", "path", (F.row_number().over(order) - 1).alias("position"))
+
+
+def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a few steps appended to a run's metric table and read back."""
+    folder = f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").toLocalIterator():
+        runs.append_metrics(runs.metric_rows(spark, "run", r["r_regionkey"], {"train/loss": 1.0 / (1 + r["r_regionkey"]), f"eval/{r['r_name']}": r["r_regionkey"]}), folder)
+    return spark.read.schema(runs.METRIC).parquet(folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ocr_cer_rows, ocr_wer_rows, ocr_edge_cases, ocr_eval_summary, ocr_compare_delta, ocr_report_rows, dataset_scan, dataset_prefix, prompt_concat, batch_pad_mask,
         page_links, page_links_resolved, url_classify, safe_filenames, crawl_one_seed, crawl_budget_prefix, frontier_dedupe, chat_payload, chat_response,
         result_coercion, data_url, mime_by_suffix, stem_collision, trigger_steps, module_list_parse, metric_log, endpoint_headers,
+        turn_cer_rows, sentence_wer_rows, predicted_rows, predicted_summary, examples_file, eval_head, collated_batches, crawl_levels, metric_table,
     )
 }

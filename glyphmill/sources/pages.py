@@ -13,12 +13,13 @@ FETCHED = "url string, ok boolean, content_type string, body string, content bin
 
 
 class PageStore:
-    """Pages from a table (url, and some of content_type, body, content); a URL that it lacks is an error."""
+    """Pages from a table (url, and some of content_type, body, content); a URL that it lacks is an error, of several with one URL the least counts."""
 
     def __init__(self, pages: DataFrame):
         have = dict(pages.dtypes)
         typed = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
-        self.pages = pages.select("url", typed("content_type", "string"), typed("body", "string"), typed("content", "binary"), F.lit(True).alias("_known")).dropDuplicates(["url"])
+        rows = pages.select("url", F.struct(typed("content_type", "string"), typed("body", "string"), typed("content", "binary")).alias("p"))
+        self.pages = rows.groupBy("url").agg(F.min("p").alias("p")).select("url", "p.*", F.lit(True).alias("_known"))
 
     def fetch(self, urls: DataFrame) -> DataFrame:
         """urls (url, ...) with what was fetched."""

@@ -97,6 +97,45 @@ def test_writes(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "meta")).count() == 2 * got.events.count()
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 9])
+def test_files_on_disk_are_the_downloads(spark, tmp_path, most):
+    rows = [("http://h/0", "text/html", '<a href="a/x.png"><a href="a/..png/"><a href="b/y.png"><a href="c/x.png"><a href="d/z.png">', None)]
+    rows += [(f"http://h/{p}", "image/png", None, bytearray(p.encode())) for p in ("a/x.png", "b/y.png", "c/x.png", "d/z.png")] + [("http://h/a/..png/", "image/png", None, bytearray(b"?"))]
+    table = spark.createDataFrame(rows, "url string, content_type string, body string, content binary")
+    folder = tmp_path / "downloads"
+    folder.mkdir()
+    (folder / "y.png").mkdir()  # cannot be written
+    got = crawl.crawl(spark, "http://h/0", PageStore(table), str(tmp_path), max_downloads=most, write=crawl.file_writer(str(folder)))
+    events = [(r.type, r.url.removeprefix("http://h/")) for r in got.events.orderBy("level", "ord").collect()]
+    every = [("download", "a/x.png"), ("download", "a/..png/"), ("download_error", "b/y.png"), ("download", "c/x.png"), ("download", "d/z.png")]
+    want = every[: {1: 1, 2: 2, 3: 4, 9: 5}[most]]
+    assert events == want and got.downloads == sum(k == "download" for k, _ in want)
+    files = {f.name: f.read_bytes().decode() for f in folder.iterdir() if f.is_file()}
+    assert files == {urls_name: p for urls_name, p in (("x.png", "c/x.png" if most > 2 else "a/x.png"), ("..png", "?"), ("z.png", "d/z.png")) if any(k == "download" and u.rstrip("/").endswith(urls_name) for k, u in want)}
+
+
+def test_one_page_for_each_url(spark):
+    rows = [("u", "text/html", "b"), ("u", "text/html", "a"), ("u", "x", "a")]
+    for order in (rows, rows[::-1]):
+        pages = PageStore(spark.createDataFrame(order, "url string, content_type string, body string").repartition(3, "body"))
+        assert [(r.url, r.content_type, r.body) for r in pages.fetch(spark.createDataFrame([("u",)], "url string")).collect()] == [("u", "text/html", "a")]
+
+
+def test_budget_over_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [([i // 7, i], i, rng.random() < 0.7, rng.random() < 0.3) for i in range(200)]
+    level = spark.createDataFrame([(o, i, ok, ok and d) for o, i, ok, d in rows], "ord array<bigint>, i int, ok boolean, downloaded boolean").repartition(5)
+    for most_pages, most_downloads in ((50, 1000), (1000, 11), (0, 5), (1000, 1000)):
+        want, p, d = [], 3, 2
+        for _, i, ok, hit in rows:
+            if p >= most_pages or d >= most_downloads:
+                break
+            want.append(i)
+            p, d = p + ok, d + (ok and hit)
+        got = crawl.within_budget(level, most_pages, most_downloads, 3, 2)
+        assert sorted(r.i for r in got.collect()) == want and got.columns == level.columns
+
+
 def test_http_errors_are_rows(spark):
     rows = spark.createDataFrame([("http://127.0.0.1:9/x",)], "url string")
     got = HttpFetcher(timeout=1.0).fetch(rows).first()
