@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,10 @@ def _constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
-_BYTE = _constants(256, 17)
 _PLACE = _constants(64, 29)
-_ODD = 0xD6E8FEB86659FD93
+#: Bytes that a word has of eight, as masks, and the longest word that is hashed eight bytes at a time.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+LONG_WORD = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -35,12 +37,6 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> np.ndarray:
-    steps = np.full(n, _ODD, dtype=U64)
-    steps[:1] = 1
-    return np.cumprod(steps)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about limit bytes of text each."""
     for batch in batches:
@@ -81,17 +77,19 @@ def words(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tup
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; equal words, equal hashes wherever they stand."""
     size = ends - starts
-    total = np.cumsum(size)
-    # words go in groups of SLICE_BYTES, so that a very long text needs no more working memory than others
-    cut = np.r_[0, np.flatnonzero(np.diff((total - size) // SLICE_BYTES)) + 1, len(size)] if len(size) else [0]
-    out = [np.zeros(0, U64)]
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        own = size[a:b]
-        first = np.cumsum(own) - own
-        inner = np.arange(int(own.sum())) - np.repeat(first, own)
-        value = _BYTE[raw[inner + np.repeat(starts[a:b], own)]] * _powers(int(own.max()))[inner]
-        out.append(mix(np.add.reduceat(value, first) + own.astype(U64)))
-    return np.concatenate(out)
+    if not len(size):
+        return np.zeros(0, U64)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
+    out = mix((eight[starts] & _MASK[np.minimum(size, 8)]) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    for at in range(8, LONG_WORD, 8):
+        rest = np.flatnonzero(size > at)
+        if not len(rest):
+            break
+        out[rest] = mix(out[rest] ^ (eight[starts[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]) * _PLACE[at // 8])
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(word: np.ndarray, width: int) -> np.ndarray:
@@ -106,18 +104,32 @@ def shingles(word: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
+_STEPS = mix(np.arange(1, (1 << 12) + 1, dtype=U64))
+
+
+def _steps(n: int) -> np.ndarray:
+    return _STEPS[:n] if n <= len(_STEPS) else mix(np.arange(1, n + 1, dtype=U64))
+
+
 def fold(values: np.ndarray) -> int:
     """One signed 64-bit hash of a sequence, by value and place."""
-    with np.errstate(over="ignore"):
-        total = np.add.reduce(mix(values ^ _PLACE[0]) * mix(np.arange(1, len(values) + 1, dtype=U64))) if len(values) else U64(0)
-        return int(mix(np.array([total + U64(len(values))], dtype=U64)).view(np.int64)[0])
+    total = (mix(values ^ _PLACE[0]) * _steps(len(values))).sum(dtype=U64)
+    return int(mix(np.array([(int(total) + len(values)) & ((1 << 64) - 1)], dtype=U64)).view(np.int64)[0])
+
+
+def folds(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """fold() of each of the sequences that stand end to end, first the index of each one's first value."""
+    size = np.diff(first)
+    step = np.arange(len(values)) - np.repeat(first[:-1], size)
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(values ^ _PLACE[0]) * mix(step.astype(U64) + U64(1)))))
+    return mix(total[first[1:]] - total[first[:-1]] + size.astype(U64)).view(np.int64)
 
 
 def runs(key: np.ndarray) -> np.ndarray:
     """First index of each run of equal values, then the length."""
     if not len(key):
         return np.zeros(1, np.int64)
-    return np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+    return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
 
 
 def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

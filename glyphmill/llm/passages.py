@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._kernel import LOWER, U64, flat, fold, mix, runs, shingles, slices, whole_groups, word_hashes, words
+from ._kernel import LOWER, U64, flat, folds, mix, runs, shingles, slices, whole_groups, word_hashes, words
 from ._store import likely, materialize, once_each, settle
 
 K, KEEP = 5, 3
@@ -62,8 +62,8 @@ GAP = 0.1
 MARGIN, FIRM = 64, 4
 #: Steps of the distance between two places, twice what edits may change it by.
 GRID = 32
-#: Words that _extend compares at once, and how far an end may fall behind one edit in SLOPPY words.
-STEP, DROP = 64, 15
+#: How far an end may fall behind one edit in SLOPPY words.
+DROP = 15
 #: A seed that one in SHARE of the first LOOK texts of slices have is dealt out over PARTS by text; runs longer than LONG rows count as equally frequent.
 SHARE, LOOK, PARTS, LONG = 16, 64, 64, 1 << 20
 
@@ -116,12 +116,12 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _unseen(token: np.ndarray, first: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint of each text, and whether it is long enough and not in seen, where it goes then."""
-    fp, fresh = np.empty(len(first) - 1, np.int64), np.zeros(len(first) - 1, bool)
-    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        fp[i] = ident = fold(token[a:b])
-        if b - a >= SHORTEST and ident not in seen:
-            seen.add(ident)
-            fresh[i] = True
+    fp = folds(token, first)
+    fresh = np.diff(first) >= SHORTEST
+    for i in np.flatnonzero(fresh).tolist():
+        if (ident := int(fp[i])) in seen:
+            fresh[i] = False
+        seen.add(ident)
     return fp, fresh
 
 
@@ -342,11 +342,10 @@ def _both(fp: np.ndarray, top: np.ndarray, place: np.ndarray, diagonal: np.ndarr
 
 def segments(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matches of K words, merged along diagonals: start in y, start in x, length; by start in y."""
-    y, x = np.unique(np.stack([y, x]), axis=1)
     order = np.lexsort((y, y - x))
     y, x = y[order], x[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(y - x) != 0) | (np.diff(y) > K)])
-    last = np.r_[cut[1:] - 1, len(y) - 1]
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(y - x) != 0) | (np.diff(y) > K))))
+    last = np.append(cut[1:] - 1, len(y) - 1)
     size = y[last] + K - y[cut]
     by = np.lexsort((x[cut], y[cut]))
     return y[cut][by], x[cut][by], size[by]
@@ -407,31 +406,32 @@ def _distance(u: list, v: list) -> int:
     return row[-1]
 
 
-def _extend(u: np.ndarray, v: np.ndarray) -> tuple[int, int, int]:
+_STEPS = ((1, 1, 1), (1, 1, 0), (1, 0, 1), (2, 2, 2), (2, 2, 1), (2, 1, 2), (2, 2, 0), (2, 0, 2), (3, 3, 3))
+
+
+def _extend(u: list, v: list) -> tuple[int, int, int]:
     """How far u and v match from their start, in each, over edits that FIRM equal words follow; and the edits."""
     i = j = edits = 0
+    n, m = len(u), len(v)
     while True:
-        n = min(len(u) - i, len(v) - j, STEP)
-        bad = np.flatnonzero(u[i : i + n] != v[j : j + n])
-        step = int(bad[0]) if len(bad) else n
-        i, j = i + step, j + step
-        if step == STEP:
-            continue
-        for cost, di, dj in ((1, 1, 1), (1, 1, 0), (1, 0, 1), (2, 2, 2), (2, 2, 1), (2, 1, 2), (2, 2, 0), (2, 0, 2), (3, 3, 3)):
-            p, q = u[i + di : i + di + FIRM], v[j + dj : j + dj + FIRM]
-            if len(p) == len(q) == FIRM and (p == q).all():
+        while i < n and j < m and u[i] == v[j]:
+            i += 1
+            j += 1
+        for cost, di, dj in _STEPS:
+            p = u[i + di : i + di + FIRM]
+            if len(p) == FIRM and p == v[j + dj : j + dj + FIRM]:
                 i, j, edits = i + di, j + dj, edits + cost
                 break
         else:
             return i, j, edits
 
 
-def align_chain(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: list[int]) -> list[tuple[int, int, int, int, int]]:
+def align_chain(u: list, v: list, ys: list[int], xs: list[int], size: list[int]) -> list[tuple[int, int, int, int, int]]:
     """The passages in a chain of segments of u and v: start and end in u, in v, and edits.
 
     A chain with too many edits is cut at its worst gap.
     """
-    gap = [_distance(u[ys[k - 1] + size[k - 1] : ys[k]].tolist(), v[xs[k - 1] + size[k - 1] : xs[k]].tolist()) for k in range(1, len(ys))]
+    gap = [_distance(u[ys[k - 1] + size[k - 1] : ys[k]], v[xs[k - 1] + size[k - 1] : xs[k]]) for k in range(1, len(ys))]
     todo, out = [(0, len(ys))], []
     while todo:
         a, b = todo.pop()
@@ -448,7 +448,7 @@ def align_chain(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size
     return out
 
 
-def _passage(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: list[int], edits: int) -> tuple[int, int, int, int, int]:
+def _passage(u: list, v: list, ys: list[int], xs: list[int], size: list[int], edits: int) -> tuple[int, int, int, int, int]:
     i, j, e = _extend(u[: ys[0]][::-1], v[: xs[0]][::-1])
     p, q, f = _extend(u[ys[-1] + size[-1] :], v[xs[-1] + size[-1] :])
     return ys[0] - i, ys[-1] + size[-1] + p, xs[0] - j, xs[-1] + size[-1] + q, edits + e + f
@@ -477,11 +477,11 @@ def _reaches(u: list, v: list) -> list[tuple[int, int, int]]:
     return out
 
 
-def _stretched(u: np.ndarray, v: np.ndarray, ys: list[int], xs: list[int], size: list[int], edits: int) -> tuple[int, int, int, int, int]:
+def _stretched(u: list, v: list, ys: list[int], xs: list[int], size: list[int], edits: int) -> tuple[int, int, int, int, int]:
     """As _passage, by the longest ends that have one edit in SLOPPY words themselves, for chains that FIRM ends leave too short."""
     y, x = ys[-1] + size[-1], xs[-1] + size[-1]
-    before = _reaches(u[max(0, ys[0] - MARGIN) : ys[0]][::-1].tolist(), v[max(0, xs[0] - MARGIN) : xs[0]][::-1].tolist())
-    after = _reaches(u[y : y + MARGIN].tolist(), v[x : x + MARGIN].tolist())
+    before = _reaches(u[max(0, ys[0] - MARGIN) : ys[0]][::-1], v[max(0, xs[0] - MARGIN) : xs[0]][::-1])
+    after = _reaches(u[y : y + MARGIN], v[x : x + MARGIN])
     i, j, e = max(before, key=lambda r: (min(r[:2]), -r[2]))
     p, q, f = max(after, key=lambda r: (min(r[:2]), -r[2]))
     return ys[0] - i, y + p, xs[0] - j, x + q, edits + e + f
@@ -492,6 +492,10 @@ def matches(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if min(len(u), len(v)) < K:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     (h, y), (g, x) = (ranked(shingles(s, K)) for s in (u, v))
+    if len(g) + len(h) == len(u) + len(v) - 2 * (K - 1):  # no repeats: keys are sorted and each is there once
+        at = np.minimum(np.searchsorted(g, h), len(g) - 1)
+        same = g[at] == h
+        return y[same], x[at[same]]
     order = np.argsort(g, kind="stable")
     g, x = g[order], x[order]
     low, high = np.searchsorted(g, h, "left"), np.searchsorted(g, h, "right")
@@ -506,6 +510,7 @@ def passages(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int, int, int, int
     if len(y) < MANY:
         return []
     own, out = segments(y, x), []
+    u, v = u.tolist(), v.tolist()
     for chain in chains(*own):
         s, t, n = (c[chain] for c in own)
         if n.sum() < COVER or any(a <= s[0] and s[-1] + n[-1] <= b for a, b, *_ in out):
