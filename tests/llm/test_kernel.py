@@ -29,6 +29,18 @@ def test_words_and_lines(texts):
         assert [got[i][n] for n in range(len(got[i]))] == "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split("\n")
 
 
+def test_hashes_of_long_words_and_folds():
+    rng = np.random.default_rng(1)
+    every = {bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in range(1, 200) for _ in range(3)} | {b"a" * n for n in range(1, 200)}
+    raw = np.frombuffer(b" ".join(every) + b" " + b" ".join(every), np.uint8)
+    starts, ends, _ = k.words(raw, np.array([0, len(raw)]))
+    h = k.word_hashes(raw, starts, ends)
+    assert len(set(h.tolist())) == len(every) and np.array_equal(h[: len(every)], h[len(every) :])
+    values, first = rng.integers(0, 2**63, 9000).astype(np.uint64), np.array([0, 0, 3, 3, 5000, 9000, 9000])
+    assert k.folds(values, first).tolist() == [k.fold(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert k.folds(values[:0], np.zeros(1, np.int64)).tolist() == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 1), st.integers(0, 3), st.integers(0, 2)), max_size=40), st.integers(1, 7))
 def test_shared_runs(rows, size):
