@@ -497,3 +497,24 @@ def test_pipeline(spark, tmp_path):
     assert 63 in counts["near_duplicates"] and 63 not in counts["benchmark"]
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} == counts["benchmark"] and all(r.intact and r.n_tokens == len(r.ids) for r in final)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = "the cat sat on a mat and then it ran off to find some more food in old house".split()
+    rng = random.Random(3)
+    full = [(i, " ".join(rng.choice(words) for _ in range(40)), "xx", None, None) for i in range(12)]
+    odd = [(None, full[0][1], None, "s", 1), (None, None, None, None, None), (3, full[3][1], "xx", "t", 2), (20, "", "xx", "s", 0), (21, full[1][1] + " " + "food " * 30000, "xx", "s", 0)]
+    for n, rows in enumerate(([], odd[1:2], full + odd)):
+        folder = tmp_path / str(n)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, None), (1, "")] if n else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        if n < 2:
+            assert got == []
+        else:
+            ids = [r.doc_id for r in got]
+            assert len(ids) == len(set(ids)) and all(r.intact for r in got)
+            # a null id is the earliest: its copy of the first text stays, the first one's own lines go
+            assert None in ids and 0 not in ids and set(range(1, 12)) <= set(ids) and 20 not in ids

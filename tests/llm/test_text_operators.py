@@ -57,6 +57,78 @@ def test_kneser_ney_is_a_distribution():
     assert seen < other
 
 
+def _kneser_ney(counts, order):
+    """The probability of a gram's last symbol after the others, from the definition."""
+    raw = [collections.Counter() for _ in range(order)]
+    for w, c in counts.items():
+        own = f"\x02{w}\x03"
+        for k in range(order):
+            for i in range(len(own) - k):
+                raw[k][own[i : i + k + 1]] += c
+    n, cut = [], []
+    for k in range(order):
+        n.append({g: c if k + 1 == order or g[0] == "\x02" else sum(x[1:] == g for x in raw[k + 1]) for g, c in raw[k].items()})
+        once, twice = ([c for g, c in n[k].items() if g[-1] != "\x02"].count(x) for x in (1, 2))
+        cut.append(once / (once + 2 * twice) if once and twice else 0.5)
+    given = [c for g, c in n[0].items() if g != "\x02"]
+
+    def p(g):
+        k = len(g) - 1
+        if k == 0:
+            return (max(n[0].get(g, 0) - cut[0], 0) + cut[0] * len(given) / (len(given) + 1)) / sum(given)
+        after = [c for x, c in n[k].items() if x[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        return max(n[k].get(g, 0) - cut[k], 0) / sum(after) + cut[k] * len(after) / sum(after) * p(g[1:])
+
+    return p
+
+
+def _bits_by_hand(word, p, order):
+    own = f"\x02{word}\x03"
+    return -sum(math.log2(p(own[max(0, i - order + 1) : i + 1])) for i in range(1, len(own)))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_kneser_ney_is_that_of_the_definition(order):
+    rng = random.Random(order)
+    known = [collections.Counter("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(60)) for letters in ("aabcd", "abbce")]
+    models = [langid.fit(c, order) for c in known]
+    tables, floor = langid.union(models), np.array([m[0]["floor"][0] for m in models], np.float32)
+    words = [*list(known[0])[:20], *list(known[1])[:20], "a", "zz", "abz", "eeeee", "dcbaabcd"]
+    got = langid.bits(words, tables, floor)
+    for j, counts in enumerate(known):
+        p = _kneser_ney(counts, order)
+        for w, b in zip(words, got[:, j].tolist(), strict=True):
+            assert b == pytest.approx(_bits_by_hand(w, p, order), rel=1e-4), (w, j)
+
+
+def test_lowest_cross_entropy_wins():
+    rng = random.Random(11)
+    known = {x: collections.Counter(_speech(rng, x, 200).split()) for x in LANGUAGES}
+    found = langid.Identifier({x: langid.fit(c) for x, c in known.items()})
+    texts = [_speech(rng, rng.choice(list(LANGUAGES)), rng.randint(1, 5)) for _ in range(30)] + ["zzz qqq", "catze das", "und and"]
+    got, symbols = found.entropies(texts)
+    by_hand = {x: _kneser_ney(c, langid.ORDER) for x, c in known.items()}
+    for i, t in enumerate(texts):
+        size = sum(len(w) + 1 for w in t.split())
+        assert symbols[i] == size
+        want = [sum(_bits_by_hand(w, by_hand[x], langid.ORDER) for w in t.split()) / size for x in found.names]
+        assert got[i].tolist() == pytest.approx(want, rel=1e-4)
+
+
+def test_language_of_long_texts_and_other_columns(spark):
+    rng = random.Random(2)
+    rows = [(i, _speech(rng, x, 60), x) for i, x in enumerate(["xx", "yy"] * 40)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = _speech(rng, "yy", 100000)
+    probe = spark.createDataFrame([(1, long, "a", 0.5), (1, long, "b", 0.5), (None, "the cat", None, None)], "doc_id long, text string, rejected string, cross_entropy double")
+    got = langid.identify(probe.select("doc_id", "text"), model).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred, r.rejected) for r in got) == [(0, "xx", False), (1, "yy", False), (1, "yy", False)]
+    clashing = langid.identify(probe, model, keep=["doc_id"])
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in clashing.collect()) == [(0, "xx"), (1, "yy"), (1, "yy")]
+
+
 def _scan_by_hand(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     joined = " ".join(words)
@@ -206,6 +278,18 @@ def test_scores(spark, docs, head, monkeypatch):
         assert got[i].base_score == pytest.approx(base) and got[i].score < 0
 
 
+def test_scores_of_odd_tables(spark, docs):
+    assert lm.score(docs([]), ~lm.held_out(F.col("doc_id"))).count() == 0
+    rows = [(None, "a b a"), (None, "a b a"), (4, "b c"), (4, "b c"), (4, None), (5, "")]
+    got = lm.score(docs(rows, extra=True).withColumn("score", F.lit("s")), ~lm.held_out(F.col("doc_id"))).collect()
+    assert len(got) == 6 and sorted(r.n_tokens for r in got) == [1, 1, 3, 3, 4, 4]
+    for a, b in itertools.combinations(got, 2):
+        if a.n_tokens == b.n_tokens:
+            assert (a.score, a.base_score) == pytest.approx((b.score, b.base_score))
+    unlearned = lm.score(docs(["x y", None]), F.lit(False)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.held_out for r in unlearned)
+
+
 def _ppm_by_hand(counts, context, symbol):
     p, gone = 1.0, set()
     for order in (3, 2, 1, 0):
@@ -277,6 +361,15 @@ def test_bpe_is_that_of_the_library(spark, docs, vocabulary):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_of_odd_tables(spark, docs):
+    known = bpe.read_vocabulary(vocabulary_path())
+    assert bpe.digests(docs([]), known).count() == 0
+    rows = [(None, "a b"), (None, "a b"), (3, None), (3, "a b"), (3, "")]
+    got = bpe.digests(docs(rows, extra=True).withColumn("ids", F.lit(1)), known).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == [(False, 0), (False, 0), (False, 2), (True, 2), (True, 2)]
+    assert len({r.ids_sha256 for r in got if r.n_tokens}) == 1
+
+
 @pytest.mark.parametrize("kind", range(4))
 def test_transducer_with_little_memory(vocabulary, kind):
     rng = random.Random(kind)
