@@ -624,7 +624,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # written, so that the joins are of two plain shuffles and a text of very many copies can be split
     first = rows.filter(F.col("n_words") >= SHORTEST).groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("n"))
     first = materialize(_class_of(first, classes.withColumnRenamed("node", "node"), "fp"))
-    ids = first.groupBy("class_fp").agg(F.min("least").alias("class_id"))
+    ids = materialize(first.groupBy("class_fp").agg(F.min("least").alias("class_id")))
     first = materialize(first.join(ids, "class_fp"))
     name = lambda side: first.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_id"), F.col("class_id").alias(f"{side}_class"))
     pairs = found.join(name("a"), "a").join(name("b"), "b")
