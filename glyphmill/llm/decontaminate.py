@@ -30,7 +30,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._kernel import U64, flat, mix, slices, word_hashes
 

@@ -266,9 +266,9 @@ def _close(percent: int):
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int, shared) -> DataFrame:
     """The pairs (a, b, p, q) that are similar."""
     sets = _sets_of(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")), texts, width, percent, shared)
-    short = lambda side, own, head, n, at: sets.select(F.col("fp").alias(side), F.col("cells").alias(own), F.col("head").alias(head), F.col("size").alias(n))
-    met = pairs.join(short("a", "x", "s", "m", "p"), "a").withColumn("s", F.slice("s", 1, F.col("p").cast("int")))
-    met = met.join(short("b", "y", "t", "n", "q"), "b").withColumn("t", F.slice("t", 1, F.col("q").cast("int")))
+    short = lambda side, own, head, n: sets.select(F.col("fp").alias(side), F.col("cells").alias(own), F.col("head").alias(head), F.col("size").alias(n))
+    met = pairs.join(short("a", "x", "s", "m"), "a").withColumn("s", F.slice("s", 1, F.col("p").cast("int")))
+    met = met.join(short("b", "y", "t", "n"), "b").withColumn("t", F.slice("t", 1, F.col("q").cast("int")))
     close = materialize(met.select("a", "b", "x", "y", "s", "t", "m", "n", "p", "q").mapInArrow(_close(percent), "a long, b long"))
     both = close.join(sets.select(F.col("fp").alias("a"), F.col("values").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("values").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")

@@ -586,13 +586,12 @@ def repeated(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
     tokens = once_each(likely(texts.select("text").mapInArrow(_tokens, "fp long, values array<int>"), wanted))
     settle(texts.sparkSession)
-    linked = lambda f: components(f.select("a", "b"))
-    passages_ = _between(pairs.filter("NOT later"), tokens)
-    classes = linked(passages_)
+    made = _between(pairs.filter("NOT later"), tokens)
+    classes = components(made.select("a", "b"))
     rest = materialize(_apart(pairs.filter("later"), classes))
     if not rest.isEmpty():
-        passages_ = passages_.unionAll(_between(rest, tokens))
-        classes = linked(passages_)
+        made = made.unionAll(_between(rest, tokens))
+        classes = components(made.select("a", "b"))
     # texts that meet the same two hubs in turn, as far apart, meet the least of them
     step = F.explode(F.array(F.struct(F.lit(0).alias("grid"), F.col("lo_b").alias("at")), F.struct(F.lit(1).alias("grid"), F.col("hi_b").alias("at"))))
     members = _class_of(met.filter("h IS NOT NULL").select("a", "b", "h", F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi"), step.alias("step")), classes, "a")
@@ -600,7 +599,7 @@ def repeated(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     named = first.withColumnsRenamed({"a": "to", "lo": "lo_b", "hi": "hi_b", "class_a": "class_b"})
     across = members.join(named, ["b", "h", "step"]).filter("class_a <> class_b").groupBy("a", F.col("to").alias("b"))
     across = materialize(across.agg(F.min("lo").alias("lo_a"), F.max("hi").alias("hi_a"), F.min("lo_b").alias("lo_b"), F.max("hi_b").alias("hi_b")))
-    return passages_ if across.isEmpty() else passages_.unionAll(_between(across, tokens))
+    return made if across.isEmpty() else made.unionAll(_between(across, tokens))
 
 
 def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -623,7 +622,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = components(found.select("a", "b"))
     # written, so that the joins are of two plain shuffles and a text of very many copies can be split
     first = rows.filter(F.col("n_words") >= SHORTEST).groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("n"))
-    first = materialize(_class_of(first, classes.withColumnRenamed("node", "node"), "fp"))
+    first = materialize(_class_of(first, classes, "fp"))
     ids = materialize(first.groupBy("class_fp").agg(F.min("least").alias("class_id")))
     first = materialize(first.join(ids, "class_fp"))
     name = lambda side: first.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_id"), F.col("class_id").alias(f"{side}_class"))
