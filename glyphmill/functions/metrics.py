@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import char_distance, word_distance, words
+from .text import text_edits
 
 
 def _rate(nothing: Column, other_nothing: Column, edits: Column, size: Column) -> Column:
@@ -15,13 +15,13 @@ def _rate(nothing: Column, other_nothing: Column, edits: Column, size: Column) -
 
 def cer(pred: Column, ref: Column) -> Column:
     """Character error rate, not clipped at 1."""
-    return _rate(ref == "", pred == "", char_distance(pred, ref), F.char_length(ref))
+    return _rate(ref == "", pred == "", text_edits(pred, ref)["chars"], F.char_length(ref))
 
 
 def wer(pred: Column, ref: Column) -> Column:
     """Word error rate, not clipped at 1."""
-    p, r = F.size(words(pred)), F.size(words(ref))
-    return _rate(r == 0, p == 0, word_distance(pred, ref), r)
+    found = text_edits(pred, ref)
+    return _rate(found["ref_words"] == 0, found["pred_words"] == 0, found["words"], found["ref_words"])
 
 
 def score_rows(rows: DataFrame) -> DataFrame:

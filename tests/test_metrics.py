@@ -1,11 +1,12 @@
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphmill.functions.metrics import macro_metrics, pair_by_position, score_rows
-from glyphmill.functions.text import edit_distance, is_blank, words
+from glyphmill.functions.text import edit_distance, edits_and_words, is_blank, words
 
 CASES = [
     ("", "", 0.0, 0.0),
@@ -82,3 +83,35 @@ def test_distance_laws(a, b, c):
 def test_long_texts_are_quick():
     a = "the quick brown fox " * 2000
     assert edit_distance(a, a.replace("e ", "c ")) == 2000 and math.isfinite(len(a))
+
+
+ODD_PAIRS = [
+    ("", ""), ("a", ""), ("", " "), ("a b", "a b"), ("ab cd", "xb cy"), ("ab", "ba"), ("a b", "a　b"), ("a b", "acb"), ("ab ab", "xb ab"), ("xb ab", "ab ab"),
+    ("aa ba", "ab bb"), ("、a b", "、a c"), ("\U0001f600 a", "é a"), ("\ud800x y", "\ud800z y"), (" a\x1cb ", " c\x1cb "), ("th\ue000 old on\ue000 ", "the old one "),
+]
+
+
+@pytest.mark.parametrize(("a", "b"), ODD_PAIRS)
+def test_edits_of_letters_and_words(a, b):
+    assert edits_and_words(a, b) == (slow(a, b), slow(a.split(), b.split()), len(a.split()), len(b.split()))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab 　é"), st.sampled_from("abx 　\U0001f600")), max_size=40))
+def test_edits_of_texts_of_one_length(pairs):
+    a, b = ("".join(p[i] for p in pairs) for i in (0, 1))
+    assert edits_and_words(a, b) == (slow(a, b), slow(a.split(), b.split()), len(a.split()), len(b.split()))
+
+
+def test_replaced_letters_take_linear_time():
+    a = "the quick brown fox " * 25_000
+    start = time.process_time()
+    assert edits_and_words(a.replace("e ", "\ue000 "), a) == (25_000, 25_000, 100_000, 100_000)
+    assert edit_distance(a.replace("e ", "\ue000 "), a) == 25_000
+    assert time.process_time() - start < 5
+
+
+def test_rates_of_nulls(spark):
+    rows = spark.createDataFrame([(0, None, "a b"), (1, "a", None), (2, None, ""), (3, "a c", "a b")], "i int, pred string, ref string")
+    got = [(r.cer, r.wer) for r in score_rows(rows).orderBy("i").collect()]
+    assert got == [(None, None), (None, None), (1.0, 1.0), (1 / 3, 0.5)]
