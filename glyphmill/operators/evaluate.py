@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import macro_metrics, score_rows
-from ..sources.examples import head
+from ..sources.examples import head, index_by
 from .predict import Factory, apply_predictor
 
 _EXAMPLE = ("id", "image_path", "ref", "pred")
@@ -35,6 +35,15 @@ def report(results: DataFrame) -> DataFrame:
     return one.select(F.struct("cer", "wer").alias("metrics"), "num_samples", F.transform("x", lambda e: F.struct(*[e[c].alias(c) for c in _EXAMPLE])).alias("examples"))
 
 
+def example_rows(results: DataFrame, *shown: Column | str) -> DataFrame:
+    """A report's examples as rows: shown, or all of their columns, and position (long) in the report. Gathers nothing.
+
+    Only what is shown is written when rows are counted; texts cross one shuffle.
+    """
+    rows = results.select(F.col("row_idx").alias("_row"), *_EXAMPLE)
+    return index_by(rows, "_row", "id", "image_path", ties=("ref", "pred"), keep=shown or _EXAMPLE).withColumnRenamed("row_idx", "position")
+
+
 def compare(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """The difference of two models' rates, the second less the first, from result rows of the same items."""
     a, b = summary(base), summary(tuned)

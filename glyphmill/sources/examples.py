@@ -34,9 +34,13 @@ def index_file(lines: DataFrame) -> DataFrame:
     return _numbered(lines)
 
 
-def index_by(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with row_idx by the columns of order, which tell rows apart."""
-    return _numbered(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+def index_by(rows: DataFrame, *order: str, ties: tuple[str, ...] = (), keep: tuple[Column | str, ...] = ("*",)) -> DataFrame:
+    """rows with row_idx by the columns of order, which tell rows apart.
+
+    Rows of equal order share a task and go by ties there; bounds of tasks are
+    taken from order alone, so long texts belong in ties. keep: what is written of each row.
+    """
+    return _numbered(rows.repartitionByRange(*order).sortWithinPartitions(*order, *ties).select(*keep))
 
 
 def parse(lines: DataFrame, strict: bool = True) -> DataFrame:

@@ -36,6 +36,24 @@ def test_report(spark, tmp_path):
     assert evaluate.report_dict(rows.limit(0)) == {"metrics": {"cer": 0.0, "wer": 0.0}, "num_samples": 0, "examples": []}
 
 
+def test_example_rows_are_those_of_the_report(spark):
+    rows = [(i // 3, str(i % 2), f"/{i % 2}", "é" * (i % 5), "x" * (i % 7) if i % 4 else None) for i in range(200)]
+    made = spark.createDataFrame(rows, "row_idx long, id string, image_path string, ref string, pred string").repartition(7)
+    listed = evaluate.example_rows(made)
+    got = sorted((r.asDict() for r in listed.collect()), key=lambda r: r["position"])
+    assert [r.pop("position") for r in got] == list(range(200)) and got == evaluate.report_dict(made)["examples"]
+    assert evaluate.example_rows(made.limit(0), "id").collect() == []
+
+
+def test_report_rows_are_not_gathered(spark, tmp_path):
+    from glyphmill.plans.queries import ocr_report_rows
+
+    spark.createDataFrame([(3, "ye "), (1, None), (2, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = ocr_report_rows(spark, str(tmp_path))
+    assert "collect_list" not in made._jdf.queryExecution().toString()
+    assert [(r.position, r.id, r.ref_chars) for r in made.orderBy("position").collect()] == [(0, "1", None), (1, "2", 0), (2, "3", 3)]
+
+
 def test_compare(spark):
     items = _items(spark)
     base, tuned = evaluate.result_rows(items, _answers("e")), evaluate.result_rows(items, _answers("zzz"))
