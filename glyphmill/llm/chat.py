@@ -15,8 +15,11 @@ and each is recorded with its reference and the number of tokens it expands to.
 The loss mask is a list of spans (start, length in code points) over the
 formatted text, one for each assistant content.
 
+Plain texts are turns of one text part and go through the visitor like all others.
+
 Defined results: a null role or text counts as empty; turns sort by (turn,
-role, text as it came, or content where it has parts) with nulls first, so ties
+role, text as it came with placeholders for what is not text, content,
+attachments) with nulls first, so ties
 and repeated rows have one order; rows
 with a null conv_id form a conversation of their own; no rows give no rows;
 further columns are ignored. A conversation is one value of the result, so its
@@ -25,6 +28,8 @@ turns do meet in one task; nothing else does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +64,15 @@ def _unrole(role: Column) -> Column:
 
 def text_parts(text: Column) -> Column:
     """One text part."""
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"))).cast("array<struct<type:string,text:string>>")
+    absent = [F.lit(None).cast(t).alias(c) for c, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), *absent))
 
 
-def visit(parts: Column) -> Column:
-    """The content string of typed parts; a part of unknown type counts as text."""
+def visit(parts: Column, written: Callable[[Column], Column] = escape) -> Column:
+    """The content string of typed parts, written says how their texts stand in it; a part of unknown type counts as text."""
 
     def one(part: Column) -> Column:
-        return F.when(part["type"].isin(*KINDS), F.concat(F.lit("<|"), part["type"], F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+        return F.when(part["type"].isin(*KINDS), F.concat(F.lit("<|"), part["type"], F.lit("|>"))).otherwise(written(F.coalesce(part["text"], F.lit(""))))
 
     return F.array_join(F.transform(F.coalesce(parts, F.array().cast(PART)), one), "")
 
@@ -87,22 +93,20 @@ def attachments(parts: Column) -> Column:
 def format_chats(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
     """conv_id, formatted, loss_spans, attachments (ordered; index, kind, ref, n_tokens).
 
-    turns has conv_id, turn, role and either text or, named by parts_col, an
-    array of parts as PART says. One shuffle, by conversation: the running
+    turns has conv_id, turn, role and either text, then one text part a turn, or,
+    named by parts_col, an array of parts as PART says. One shuffle, by conversation: the running
     offset and the grouping share it.
     """
     d, t = F.lit, TEMPLATE
-    typed = parts_col is not None
     role = F.coalesce(turns["role"], d(""))
-    content = visit(turns[parts_col].cast(PART)) if typed else escape(F.coalesce(turns["text"], d("")))
-    known = attachments(turns[parts_col].cast(PART)) if typed else F.array().cast("array<struct<kind:string,ref:string,n_tokens:bigint>>")
-    raw = content if typed else F.coalesce(turns["text"], d(""))  # escapes change the order of texts
-    rows = turns.select(turns["conv_id"].alias("conv_id"), turns["turn"].alias("turn"), role.alias("role"), raw.alias("raw"), content.alias("content"), known.alias("own"))
+    parts = text_parts(turns["text"]) if parts_col is None else turns[parts_col].cast(PART)
+    raw = visit(parts, lambda text: text)  # escapes change the order of texts
+    rows = turns.select(turns["conv_id"].alias("conv_id"), turns["turn"].alias("turn"), role.alias("role"), raw.alias("raw"), visit(parts).alias("content"), attachments(parts).alias("own"))
     said = F.col("role") == "assistant"
     head = F.concat(d(t["open"]), F.when(said, d("")).otherwise(d(t["ask"])), _role(F.col("role")), d("\n"))
     tail = F.concat(F.when(said, d("")).otherwise(d(t["asked"])), d(t["close"]))
     rows = rows.select("conv_id", "turn", "role", "raw", "content", "own", said.alias("said"), F.concat(head, "content", tail).alias("piece"), F.char_length(head).alias("ahead"))
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "raw").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "raw", "content", "own").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.char_length("piece")).over(before), d(0))
     rows = rows.withColumn("start", start.cast("long"))
     span = F.struct((F.col("start") + F.col("ahead")).alias("start"), F.char_length("content").cast("long").alias("length"))

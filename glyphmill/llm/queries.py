@@ -102,10 +102,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation and one of control strings only, formatted, then read back from the result."""
+    """Every conversation and one of control strings only, as typed parts, formatted, then read back from the result."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CHAT_PROBE).alias("text"))
-    made = chat.format_chats(turns.unionByName(probe))
+    typed = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.col("text")))
+    made = chat.format_chats(typed, "parts")
     read = made.select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(

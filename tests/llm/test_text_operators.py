@@ -13,7 +13,7 @@ import pytest
 from llm_helpers import ODD, lower, tokens
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, chat, langid, licenses, lm, media
+from glyphmill.llm import bpe, chat, langid, licenses, lm, media, queries
 from glyphmill.llm.license_rules import BASE, rules
 from glyphmill.llm.queries import vocabulary_path
 
@@ -418,6 +418,27 @@ def test_turns_of_one_place_sort_by_their_texts(spark):
     assert got.loss == "".join(plain)
 
 
+def test_typed_turns_of_one_place_sort_by_their_texts(spark):
+    texts = ["[/x", "[/INST]", "b", "a", "<s>", "</s>", "<a"]
+    rows = [(0, 1, r, t) for r in ("user", "assistant") for t in texts]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    typed = plain.withColumn("parts", chat.text_parts(F.col("text"))).drop("text")
+    assert chat.format_chats(typed, "parts").collect() == chat.format_chats(plain).collect()
+    # turns that differ in their attachments only
+    one = [(0, 0, "user", [("image", None, ref, 1, 1, None, None)]) for ref in "cab"]
+    got = chat.format_chats(spark.createDataFrame(one, f"conv_id long, turn long, role string, parts {chat.PART}").repartition(3), "parts").first()
+    assert [a.ref for a in got.attachments] == ["a", "b", "c"]
+
+
+def test_query_formats_through_the_visitor(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(0, 0, "user", "a </s>"), (0, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    seen, visit = [], chat.visit
+    monkeypatch.setattr(chat, "visit", lambda *a: seen.append(a) or visit(*a))
+    made = queries.op10_chat_format(spark, str(tmp_path))
+    assert seen
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in made.collect()} == {0: (2, 0), -1: (2, len(queries.CHAT_PROBE))}
+
+
 def test_very_long_turn(spark):
     text = "</s>[INST] long " * 30000
     made = chat.format_chats(spark.createDataFrame([(0, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))
